@@ -14,4 +14,4 @@ from pyspark.sql import functions as F
 
 def fixed_decimals(x: Column, digits: int) -> Column:
     pattern = "0" if digits == 0 else "0." + "0" * digits
-    return F.format_number(x, pattern)
+    return F.call_function("format_number", x, F.lit(pattern))

@@ -15,7 +15,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, StringType
 
-from nightjar.functions.text import nullify_missing_text
 
 FINITE_NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 NONFINITE_NUMBER_RE = r"^\s*[+-]?(?i:nan|inf|infinity)\s*$"
@@ -53,9 +52,17 @@ def strict_number(c: Column, dtype: DataType) -> Column:
     return F.when(text.rlike(ANY_NUMBER_RE), text.try_cast("double"))
 
 
+def lenient_number_raw(c: Column, dtype: DataType) -> Column:
+    """Lenient parse before the finiteness test (may still be +-inf on overflow).
+
+    Missing-value spellings never match the number pattern, so no separate
+    missing-text step is needed here.
+    """
+    if isinstance(dtype, NumericType):
+        return c.cast("double")
+    return F.when(_as_text(c, dtype).rlike(FINITE_NUMBER_RE), _as_text(c, dtype).try_cast("double"))
+
+
 def lenient_number(c: Column, dtype: DataType) -> Column:
     """Missing text, non-numeric text and non-finite values all become NULL."""
-    if isinstance(dtype, NumericType):
-        return finite_or_null(c.cast("double"))
-    text = nullify_missing_text(_as_text(c, dtype))
-    return finite_or_null(F.when(text.rlike(FINITE_NUMBER_RE), text.try_cast("double")))
+    return finite_or_null(lenient_number_raw(c, dtype))

@@ -233,6 +233,328 @@ def q_training_set(spark, sf_dir):
                     *[r9(f).alias(f) for f in K.MODEL_FEATURES], "efficiency")
 
 
+# ---------------------------------------------------------------- presentation
+def present(df: DataFrame, doubles: list[str]) -> DataFrame:
+    """Round the listed double columns with ``r9`` (same as the oracle)."""
+    return df.select(*[r9(c).alias(c) if c in doubles else F.col(c) for c in df.columns])
+
+
+def present_sql(inner: str, columns: list[str], doubles: list[str]) -> str:
+    cols = ", ".join(f"{O.r9(c)} as {c}" if c in doubles else c for c in columns)
+    return f"select {cols} from (\n{inner}\n) t"
+
+
+def both(name: str, columns: list[str], doubles: list[str], inner_sql: str | None):
+    """Register a query whose double columns are presented with r9 on both sides."""
+    sql = present_sql(inner_sql, columns, doubles) if inner_sql is not None else None
+
+    def deco(fn):
+        def wrapped(spark, sf_dir):
+            out = fn(spark, sf_dir)
+            return present(out.select(*columns), doubles)
+        wrapped.__name__ = fn.__name__
+        CATALOG[name] = (wrapped, sql)
+        return wrapped
+    return deco
+
+
+# ---------------------------------------------------------------- E: folds, medians, CV
+from nightjar.operators import explain as X  # noqa: E402
+from nightjar.operators import folds as FO  # noqa: E402
+from nightjar.operators import impute as IM  # noqa: E402
+from nightjar.operators import metrics as ME  # noqa: E402
+from nightjar.operators import model as MO  # noqa: E402
+from nightjar.operators import report as RE  # noqa: E402
+from nightjar.operators import score as SC  # noqa: E402
+from nightjar.plans import training as TR  # noqa: E402
+from nightjar.plans.batch import fit_fixture_model  # noqa: E402
+
+SPLITS = K.DEFAULT_SPLITS
+_CV = [O.NIGHTS, *O.training_ctes(), *O.oof_ctes(SPLITS)]
+
+
+def cv(spark, sf_dir) -> TR.CVResult:
+    return TR.cross_validate_linear(training(spark, sf_dir), SPLITS)
+
+
+@both("participant_folds", ["participant_id", "n_rows", "fold"], [],
+      O.with_(*_CV) + "select participant_id, n_rows, fold from folds")
+def q_participant_folds(spark, sf_dir):
+    return FO.participant_folds(training(spark, sf_dir), SPLITS)
+
+
+@both("fold_overlap", ["fold", "n_participants", "participant_overlap_count"], [],
+      O.with_(*_CV, *O.fold_metric_ctes()) + "select fold, n_participants, participant_overlap_count from ov")
+def q_fold_overlap(spark, sf_dir):
+    return cv(spark, sf_dir).overlap()
+
+
+@both("fold_medians", ["fold", "feature", "median", "n_values"], ["median"],
+      O.with_(*_CV) + "select fold, feature, median, n_values from med")
+def q_fold_medians(spark, sf_dir):
+    return cv(spark, sf_dir).medians
+
+
+_IMP = ["source_index", "fold", *K.MODEL_FEATURES]
+
+
+@both("impute", _IMP, list(K.MODEL_FEATURES), O.with_(*_CV) + f"select {', '.join(_IMP)} from imp")
+def q_impute(spark, sf_dir):
+    r = cv(spark, sf_dir)
+    return IM.impute_by_fold(r.with_folds, r.medians)
+
+
+_OOF = ["source_index", "participant_id", "date", "actual_efficiency", "predicted_efficiency",
+        "absolute_error", "fold"]
+
+
+@both("oof_predictions", _OOF, ["actual_efficiency", "predicted_efficiency", "absolute_error"],
+      O.with_(*_CV) + "select source_index, participant_id, strftime(date, '%Y-%m-%d') as date, "
+      "actual_efficiency, predicted_efficiency, absolute_error, fold from oof")
+def q_oof_predictions(spark, sf_dir):
+    return cv(spark, sf_dir).predictions.withColumn("date", iso("date"))
+
+
+_FM = ["fold", *ME.METRIC_NAMES, "number_of_rows", "number_of_participants", "mean_actual_efficiency",
+       "mean_predicted_efficiency", "participant_overlap_count"]
+_FM_D = [*ME.METRIC_NAMES, "mean_actual_efficiency", "mean_predicted_efficiency"]
+
+
+@both("fold_metrics", _FM, _FM_D, O.with_(*_CV, *O.fold_metric_ctes()) + f"select {', '.join(_FM)} from fmx")
+def q_fold_metrics(spark, sf_dir):
+    return cv(spark, sf_dir).fold_metrics()
+
+
+@both("spearman", ["fold", "spearman_correlation"], ["spearman_correlation"],
+      O.with_(*_CV, *O.spearman_ctes()) + "select fold, spearman_correlation from sp")
+def q_spearman(spark, sf_dir):
+    return cv(spark, sf_dir).spearman()
+
+
+_SUM_STATS = [f"{m}_{s}" for m in ME.METRIC_NAMES for s in ("mean", "std")]
+_SUM = [*ME.METRIC_NAMES, "number_of_rows", "number_of_participants", "mean_actual_efficiency",
+        "mean_predicted_efficiency", *_SUM_STATS, "validation", "n_splits"]
+
+
+def _cv_summary_sql() -> str:
+    stats = ", ".join(f"{agg}({m}) as {m}_{s}" for m in ME.METRIC_NAMES
+                      for agg, s in (("avg", "mean"), ("stddev_pop", "std")))
+    return O.with_(*_CV, *O.fold_metric_ctes(),
+                   f"ovr as (select {O.metric_aggs()} from oof)",
+                   f"acr as (select {stats} from fmx)") + (
+        f"select ovr.*, (select spearman_correlation from sp where fold = 0) as spearman_correlation, acr.*, "
+        f"{O.lit(K.VALIDATION_NAME)} as validation, {SPLITS} as n_splits from ovr cross join acr")
+
+
+@both("cv_summary", _SUM, [*_FM_D, *_SUM_STATS], _cv_summary_sql())
+def q_cv_summary(spark, sf_dir):
+    return cv(spark, sf_dir).summary()
+
+
+_RES = ["source_index", "actual_efficiency", "predicted_efficiency", "residual", "axis_min", "axis_max"]
+
+
+@both("residuals", _RES, _RES[1:], O.with_(*_CV) + (
+      "select source_index, actual_efficiency, predicted_efficiency, actual_efficiency - predicted_efficiency "
+      "as residual, (select least(min(actual_efficiency), min(predicted_efficiency)) from oof) as axis_min, "
+      "(select greatest(max(actual_efficiency), max(predicted_efficiency)) from oof) as axis_max from oof"))
+def q_residuals(spark, sf_dir):
+    return ME.residuals(cv(spark, sf_dir).predictions)
+
+
+def _histogram_sql(bins: int = K.HISTOGRAM_BINS) -> str:
+    edge = ("(case when {i} = {b} then hi else cast({i} as double) * ((hi - lo) / {bf}) + lo end)")
+    e = lambda i: edge.format(i=i, b=bins, bf=float(bins))
+    return O.with_(*_CV,
+                   "r0 as (select min(absolute_error) as a, max(absolute_error) as z from oof)",
+                   "rg as (select case when a = z then a - 0.5 else a end as lo, case when a = z then z + 0.5 else z end as hi from r0)",
+                   f"i0 as (select o.absolute_error as x, lo, hi, cast(floor((o.absolute_error - lo) * ({float(bins)} / (hi - lo))) as bigint) as i from oof o cross join rg where o.absolute_error is not null)",
+                   f"i1 as (select x, lo, hi, case when i = {bins} then {bins - 1} else i end as i from i0)",
+                   f"i2 as (select x, lo, hi, case when x < {e('i')} then i - 1 else i end as i from i1)",
+                   f"i3 as (select case when x >= {e('(i + 1)')} and i <> {bins - 1} then i + 1 else i end as i from i2)",
+                   "cnt as (select i, count(*) as n from i3 group by i)",
+                   f"gr as (select cast(unnest(range(0, {bins})) as integer) as bin)") + (
+        f"select gr.bin, {e('gr.bin').replace('hi', 'rg.hi').replace('lo', 'rg.lo')} as bin_start, "
+        f"{e('(gr.bin + 1)').replace('hi', 'rg.hi').replace('lo', 'rg.lo')} as bin_end, "
+        "coalesce(cnt.n, 0) as count from gr cross join rg left join cnt on cnt.i = gr.bin")
+
+
+@both("error_histogram", ["bin", "bin_start", "bin_end", "count"], ["bin_start", "bin_end"], _histogram_sql())
+def q_error_histogram(spark, sf_dir):
+    return ME.error_histogram(cv(spark, sf_dir).predictions)
+
+
+# ---------------------------------------------------------------- F: scoring
+def scored(spark, sf_dir, with_metrics: bool = False):
+    n = nights(spark, sf_dir)
+    model = fit_fixture_model(n, SPLITS, with_metrics=with_metrics)
+    return SC.score_nights(n, model), model
+
+
+def passed(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("error").isNull())
+
+
+_BATCH = O.batch_ctes(with_mae=False)
+_BATCH_MAE = O.batch_ctes(with_mae=True)
+
+
+@both("score_linear", ["source_index", "predicted_efficiency", "base_value"], ["predicted_efficiency", "base_value"],
+      O.with_(*_BATCH) + "select source_index, pred as predicted_efficiency, 85.0 as base_value from sc where err is null")
+def q_score_linear(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    return passed(s).select("source_index", F.col("prediction").alias("predicted_efficiency"), "base_value")
+
+
+@both("efficiency_band", ["source_index", "predicted_efficiency", "efficiency_band"], ["predicted_efficiency"],
+      O.with_(*_BATCH) + f"select source_index, pred as predicted_efficiency, {O.band_sql('pred')} as efficiency_band "
+      "from sc where err is null")
+def q_efficiency_band(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    return passed(s).select("source_index", F.col("prediction").alias("predicted_efficiency"),
+                            SC.efficiency_band(F.col("prediction")).alias("efficiency_band"))
+
+
+_ATT = ["source_index", "base_value", "predicted_efficiency", *[MO.shap_col(f) for f in K.MODEL_FEATURES]]
+
+
+@both("attributions_linear", _ATT, _ATT[1:],
+      O.with_(*_BATCH) + "select source_index, 85.0 as base_value, pred as predicted_efficiency, "
+      + ", ".join(f"shap_{f}" for f in K.MODEL_FEATURES) + " from sc where err is null")
+def q_attributions_linear(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    return passed(s).withColumn("predicted_efficiency", F.col("prediction"))
+
+
+_LONG = ["source_index", "feature_position", "feature", "display_name", "feature_value", "shap_value"]
+
+
+@both("attribution_long", _LONG, ["feature_value", "shap_value"],
+      O.with_(*_BATCH) + "select fl.source_index, pos as feature_position, feature, display_name, feature_value, "
+      "shap_value from fl join sc using (source_index) where sc.err is null")
+def q_attribution_long(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    return X.attribution_long(passed(s))
+
+
+_TOP = ["source_index", "factor_rank", "feature", "display_name", "shap_value", "direction"]
+
+
+@both("top_factors", _TOP, ["shap_value"],
+      O.with_(*_BATCH) + "select rk.source_index, rnk as factor_rank, feature, display_name, shap_value, "
+      "case when shap_value < 0 then 'lowering' else 'increasing' end as direction from rk join sc using (source_index) "
+      "where sc.err is null and rnk <= 5 and shap_value <> 0")
+def q_top_factors(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    top = passed(s).select("source_index", F.posexplode(X.top_factors(F.col("factors"))).alias("p", "x"))
+    return top.filter(F.col("x.shap_value") != 0).select(
+        "source_index", (F.col("p") + 1).alias("factor_rank"), F.col("x.feature").alias("feature"),
+        F.col("x.display_name").alias("display_name"), F.col("x.shap_value").alias("shap_value"),
+        F.when(F.col("x.shap_value") < 0, F.lit("lowering")).otherwise(F.lit("increasing")).alias("direction"))
+
+
+_CHART = ["source_index", "bar_rank", "display_name", "shap_value", "sign"]
+
+
+@both("contribution_chart", _CHART, ["shap_value"],
+      O.with_(*_BATCH, "tk as (select rk.* from rk join sc using (source_index) where sc.err is null and rnk <= 5 "
+              "and shap_value <> 0), ord as (select *, row_number() over (partition by source_index order by "
+              "abs(shap_value) desc, case when shap_value < 0 then 0 else 1 end, rnk) as bar_rank from tk)")
+      + "select source_index, bar_rank, display_name, shap_value, case when shap_value >= 0 then 'positive' "
+        "else 'negative' end as sign from ord where bar_rank <= 8")
+def q_contribution_chart(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    chart = passed(s).select("source_index", F.posexplode(
+        X.contribution_chart(F.col("factors_lowering"), F.col("factors_increasing"))).alias("p", "x"))
+    return chart.select("source_index", (F.col("p") + 1).alias("bar_rank"), F.col("x.display_name").alias("display_name"),
+                        F.col("x.shap_value").alias("shap_value"), F.col("x.sign").alias("sign"))
+
+
+_PE = ["source_index", "predicted_efficiency", "actual_efficiency", "prediction_error", "absolute_error"]
+
+
+@both("prediction_error", _PE, _PE[1:],
+      O.with_(*_BATCH) + "select source_index, pred as predicted_efficiency, actual as actual_efficiency, "
+      "pred - actual as prediction_error, abs(pred - actual) as absolute_error from sc where err is null and actual is not null")
+def q_prediction_error(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    ok = passed(s).filter(F.col("actual_efficiency").isNotNull())
+    return ok.select("source_index", F.col("prediction").alias("predicted_efficiency"), "actual_efficiency",
+                     (F.col("prediction") - F.col("actual_efficiency")).alias("prediction_error"),
+                     F.abs(F.col("prediction") - F.col("actual_efficiency")).alias("absolute_error"))
+
+
+@both("record_labels", ["source_index", "participant_id", "record_label"], [],
+      f"{O.with_(O.NIGHTS)}select source_index, coalesce(participant_id, email) as participant_id, "
+      f"{O.label_sql()} as record_label from nights")
+def q_record_labels(spark, sf_dir):
+    n = nights(spark, sf_dir)
+    return n.select("source_index", SC.local_participant(n).alias("participant_id"),
+                    SC.record_label(n).alias("record_label"))
+
+
+_BR_D = ["predicted_efficiency", "actual_efficiency", "absolute_error", "model_mae"]
+
+
+@both("batch_results", list(K.BATCH_RESULT_COLUMNS), _BR_D, O.batch_results_sql(with_mae=True))
+def q_batch_results(spark, sf_dir):
+    s, model = scored(spark, sf_dir, with_metrics=True)
+    return SC.batch_results(s, model.model_mae)
+
+
+@both("batch_summary", ["n_rows", "n_success", "n_failed", "mean_predicted_efficiency"], ["mean_predicted_efficiency"],
+      "select count(*) as n_rows, count(*) filter (where error is null) as n_success, count(*) filter (where error is not null) "
+      "as n_failed, avg(predicted_efficiency) filter (where error is null) as mean_predicted_efficiency from ("
+      + O.batch_results_sql(with_mae=False) + ") b")
+def q_batch_summary(spark, sf_dir):
+    s, model = scored(spark, sf_dir)
+    return SC.batch_summary(SC.batch_results(s, model.model_mae))
+
+
+@both("select_first_n", ["source_index", "record_label"], [],
+      O.with_(O.NIGHTS, *O.quality_ctes()) + f"select source_index, {O.label_sql()} as record_label from q "
+      f"where errors_text = '' order by source_index limit {K.MAX_BATCH_RECORDS}")
+def q_select_first_n(spark, sf_dir):
+    n = nights(spark, sf_dir)
+    valid = quality.valid_rows(quality.annotate_quality(n.withColumn("record_label", SC.record_label(n))))
+    return SC.select_first_n(valid.select("source_index", "record_label"))
+
+
+@both("select_by_label", ["source_index", "record_label", "quality"], [],
+      O.with_(O.NIGHTS, *O.quality_ctes(), f"lb as (select source_index, {O.label_sql()} as record_label, quality, errors_text from q)")
+      + "select source_index, record_label, quality from lb where errors_text = '' and record_label in "
+        "(select record_label from lb where quality = 'Limited')")
+def q_select_by_label(spark, sf_dir):
+    n = nights(spark, sf_dir)
+    ann = quality.annotate_quality(n.withColumn("record_label", SC.record_label(n)))
+    chosen = ann.filter(F.col("quality") == "Limited").select("record_label")
+    return SC.select_by_label(quality.valid_rows(ann), chosen).select("source_index", "record_label", "quality")
+
+
+@both("processing_errors", ["source_row", "record_label", "error"], [],
+      "select source_row, record_label, error from (" + O.batch_results_sql(with_mae=False) + ") b where error is not null")
+def q_processing_errors(spark, sf_dir):
+    s, model = scored(spark, sf_dir)
+    return SC.processing_errors(SC.batch_results(s, model.model_mae))
+
+
+@both("input_preview", ["source_index", *O.NIGHT_COLUMNS], [],
+      f"{O.with_(O.NIGHTS)}select * from nights order by source_index limit {K.MAX_BATCH_RECORDS}")
+def q_input_preview(spark, sf_dir):
+    return SC.input_preview(nights(spark, sf_dir))
+
+
+@both("all_warnings", ["source_index", "warnings", "n_warnings"], [],
+      O.with_(*_BATCH) + "select source_index, coalesce(all_warnings_text, '') as warnings, "
+      "cast(coalesce(len(string_split(all_warnings_text, '; ')), 0) "
+      "- (case when all_warnings_text like '%Optional temperature trend data is missing; the model%' then 1 else 0 end) as integer) "
+      "as n_warnings from sc where err is null")
+def q_all_warnings(spark, sf_dir):
+    s, _ = scored(spark, sf_dir)
+    return passed(s).select("source_index", joined("all_warnings").alias("warnings"),
+                            F.size("all_warnings").alias("n_warnings"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in CATALOG.items()}
 

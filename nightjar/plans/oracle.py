@@ -128,22 +128,188 @@ def feature_exprs(prefix: str = "") -> dict[str, str]:
     return {k: f"(case when isfinite({v}) then {v} end)" for k, v in raw.items()}
 
 
-def features_ctes(src: str = "nights") -> list[str]:
-    """CTE ``feat``: every source column plus lenient numbers ``n_*``, ``night_date`` and features."""
+def features_ctes(src: str = "nights", name: str = "feat") -> list[str]:
+    """CTE ``<name>``: every source column plus lenient numbers ``n_*``, ``night_date`` and ``<f>_f``."""
     nums = ", ".join(f"{lenient_num(c)} as n_{c}" for c in K.RAW_NUMERIC_COLUMNS)
     fx = feature_exprs()
-    feats = ", ".join(f"{expr} as {name}_f" for name, expr in fx.items())
+    feats = ", ".join(f"{expr} as {f}_f" for f, expr in fx.items())
     return [
-        f"fn as (select *, {nums}, {parse_date('date')} as night_date from {src})",
-        f"feat as (select *, {feats} from fn)",
+        f"{name}_n as (select *, {nums}, {parse_date('date')} as night_date from {src})",
+        f"{name} as (select *, {feats} from {name}_n)",
     ]
 
 
 def training_ctes(src: str = "nights") -> list[str]:
     """CTE ``train``: prepared training rows (email dropped; participant_id kept)."""
     fcols = ", ".join(f"{f}_f as {f}" for f in K.MODEL_FEATURES)
-    return features_ctes(src) + [
+    return features_ctes(src, "tfeat") + [
         f"train as (select source_index, {nullify('participant_id')} as participant_id, night_date as date, "
-        f"{fcols}, n_efficiency as efficiency from feat "
+        f"{fcols}, n_efficiency as efficiency from tfeat "
         f"where n_efficiency is not null and {nullify('participant_id')} is not null and night_date is not null)"
     ]
+
+
+def dbl(x: float) -> str:
+    return f"cast({x!r} as double)"
+
+
+def folds_ctes(k: int) -> list[str]:
+    """``folds`` (participant_id, n_rows, fold) and ``wf`` (train + fold): serpentine deal."""
+    return [
+        "pc as (select participant_id, count(*) as n_rows from train group by participant_id)",
+        "pr as (select participant_id, n_rows, row_number() over (order by n_rows desc, participant_id) - 1 as r0 from pc)",
+        f"folds as (select participant_id, n_rows, cast(1 + case when (r0 // {k}) % 2 = 0 then r0 % {k} "
+        f"else {k - 1} - r0 % {k} end as integer) as fold from pr)",
+        "wf as (select t.*, f.fold from train t join folds f using (participant_id))",
+    ]
+
+
+def medians_ctes(k: int, src: str = "wf") -> list[str]:
+    """``med`` (fold, feature, median, n_values): fold 0 = all rows, k = rows with fold <> k."""
+    feats = ", ".join(K.MODEL_FEATURES)
+    names = ", ".join(f"('{f}')" for f in K.MODEL_FEATURES)
+    return [
+        f"lng as (unpivot (select fold, {feats} from {src}) on {feats} into name feature value value)",
+        f"ks as (select cast(unnest(range(0, {k + 1})) as integer) as fold)",
+        f"grid as (select ks.fold, fe.feature from ks cross join (values {names}) fe(feature))",
+        "mv as (select ks.fold, l.feature, median(l.value) as median, count(*) as n_values "
+        "from lng l join ks on l.fold <> ks.fold group by ks.fold, l.feature)",
+        "med as (select g.fold, g.feature, mv.median, coalesce(mv.n_values, 0) as n_values "
+        "from grid g left join mv using (fold, feature))",
+        "medw as (select fold, " + ", ".join(
+            f"max(case when feature = '{f}' then median end) as med_{f}" for f in K.MODEL_FEATURES)
+        + " from med group by fold)",
+    ]
+
+
+def linear_terms(value) -> dict[str, str]:
+    """Contribution SQL per feature; ``value(f)`` gives the imputed feature SQL."""
+    out = {}
+    for f in K.MODEL_FEATURES:
+        coef, centre = K.LINEAR_COEFFICIENTS.get(f, (0.0, 0.0))
+        out[f] = f"({dbl(coef)} * ({value(f)} - {dbl(centre)}))" if coef != 0.0 else "0.0"
+    return out
+
+
+def linear_prediction(terms: dict[str, str]) -> str:
+    parts = [dbl(K.LINEAR_BASE)] + [terms[f] for f in K.MODEL_FEATURES if K.LINEAR_COEFFICIENTS.get(f, (0, 0))[0]]
+    return "(" + " + ".join(parts) + ")"
+
+
+def oof_ctes(k: int) -> list[str]:
+    """``imp`` (fold-imputed rows) and ``oof`` (out-of-fold linear predictions)."""
+    imp_cols = ", ".join(f"coalesce(wf.{f}, m.med_{f}, 0.0) as {f}" for f in K.MODEL_FEATURES)
+    pred = linear_prediction(linear_terms(lambda f: f))
+    return folds_ctes(k) + medians_ctes(k) + [
+        f"imp as (select wf.source_index, wf.participant_id, wf.date, wf.efficiency, wf.fold, {imp_cols} "
+        "from wf left join medw m using (fold))",
+        f"oof as (select source_index, participant_id, date, efficiency as actual_efficiency, "
+        f"{pred} as predicted_efficiency, abs(efficiency - {pred}) as absolute_error, fold from imp)",
+    ]
+
+
+def metric_aggs(a: str = "actual_efficiency", p: str = "predicted_efficiency") -> str:
+    err = f"({a} - {p})"
+    return (
+        f"count(*) as number_of_rows, avg(abs({err})) as mae, sqrt(avg({err} * {err})) as rmse, "
+        f"case when count(*) < 2 then null when var_pop({a}) * count(*) = 0 then "
+        f"case when sum({err} * {err}) = 0 then 1.0 else 0.0 end "
+        f"else 1.0 - sum({err} * {err}) / (var_pop({a}) * count(*)) end as r2, "
+        f"case when count(*) >= 2 and min({a}) < max({a}) and min({p}) < max({p}) "
+        f"then greatest(-1.0, least(1.0, corr({a}, {p}))) end as pearson_correlation, "
+        f"avg({a}) as mean_actual_efficiency, avg({p}) as mean_predicted_efficiency, "
+        f"count(distinct participant_id) as number_of_participants"
+    )
+
+
+def spearman_ctes() -> list[str]:
+    """``sp`` (fold, spearman_correlation), fold 0 = all rows."""
+    rk = ("rank() over (partition by g order by {c}) + (count(*) over (partition by g, {c}) - 1) / 2.0")
+    return [
+        "sb as (select fold as g, actual_efficiency, predicted_efficiency from oof "
+        "union all select 0 as g, actual_efficiency, predicted_efficiency from oof)",
+        f"sr as (select g, actual_efficiency, predicted_efficiency, {rk.format(c='actual_efficiency')} as ra, "
+        f"{rk.format(c='predicted_efficiency')} as rp from sb)",
+        "sp as (select g as fold, case when count(*) >= 2 and min(actual_efficiency) < max(actual_efficiency) "
+        "and min(predicted_efficiency) < max(predicted_efficiency) then greatest(-1.0, least(1.0, corr(ra, rp))) end "
+        "as spearman_correlation from sr group by g)",
+    ]
+
+
+def fold_metric_ctes() -> list[str]:
+    return spearman_ctes() + [
+        "ov as (select fold, count(*) as n_participants, count(*) filter (where n_folds > 1) as participant_overlap_count "
+        "from (select participant_id, fold, count(*) over (partition by participant_id) as n_folds "
+        "from (select distinct participant_id, fold from wf)) group by fold)",
+        f"fm as (select fold, {metric_aggs()} from oof group by fold)",
+        "fmx as (select fm.*, sp.spearman_correlation, ov.participant_overlap_count "
+        "from fm left join sp using (fold) left join ov using (fold))",
+    ]
+
+
+def band_sql(p: str) -> str:
+    whens = " ".join(f"when {p} >= {b} then {lit(label)}" for b, label in K.EFFICIENCY_BANDS)
+    return f"(case {whens} else {lit(K.EFFICIENCY_BAND_LOWEST)} end)"
+
+
+def label_sql() -> str:
+    pid, email = strip("participant_id"), strip("email")
+    masked = (f"case when contains({email}, '@') then substr(split_part({email}, '@', 1), 1, 2) || '***@' || "
+              f"substr({email}, instr({email}, '@') + 1) else substr({email}, 1, 2) || '***' end")
+    ident = f"case when {pid} <> '' then {pid} when {email} <> '' then {masked} end"
+    return (f"concat_ws({lit(K.LABEL_SEPARATOR)}, {ident}, {iso(parse_date('date'))}, "
+            f"'Row ' || cast(source_index + 2 as varchar))")
+
+
+def batch_ctes(k: int = K.DEFAULT_SPLITS, with_mae: bool = True) -> list[str]:
+    """``sc`` (scored nights), ``fl``/``rk`` (ranked factors), ``mains``; linear fixture model.
+
+    The model's medians are fold 0 of ``med`` (all training rows); its MAE is
+    the mean fold MAE of the same model's cross-validation.
+    """
+    value = {f: f"coalesce(b.{f}_f, m0.med_{f}, 0.0)" for f in K.MODEL_FEATURES}
+    terms = linear_terms(lambda f: value[f])
+    pred = linear_prediction({f: f"shap_{f}" for f in K.MODEL_FEATURES})
+    shap = ", ".join(f"{terms[f]} as shap_{f}" for f in K.MODEL_FEATURES)
+    actual_text = nullify("b.efficiency")
+    actual_num = strict_num(actual_text)
+    fw = ", ".join(f"case when b.{f}_f is null then {lit(K.WARN_FEATURE_IMPUTED.format(feature=f))} end"
+                   for f in K.MODEL_FEATURES)
+    ctes = [NIGHTS, *quality_ctes(), *features_ctes("q", "bfeat"), *training_ctes(), *oof_ctes(k)]
+    mae = "null"
+    if with_mae:
+        ctes += [f"fmm as (select fold, {metric_aggs()} from oof group by fold)",
+                 "mm as (select avg(mae) as mae_mean from fmm)"]
+        mae = "(select mae_mean from mm)"
+    ctes += [
+        f"s0 as (select b.*, {shap}, {label_sql()} as record_label, "
+        f"case when isfinite({actual_num}) then {actual_num} end as actual, "
+        f"case when {actual_text} is not null and {actual_num} is null then "
+        f"'could not convert string to float: ''' || {actual_text} || '''' end as actual_error, "
+        f"concat_ws('; ', {fw}) as fw_text, cast({mae} as double) as model_mae "
+        f"from bfeat b cross join (select * from medw where fold = 0) m0)",
+        f"sc as (select *, {pred} as pred, coalesce(error, actual_error) as err, "
+        f"concat_ws('; ', nullif(warnings_text, ''), nullif(fw_text, '')) as all_warnings_text from s0)",
+        "fl as (" + " union all ".join(
+            f"select source_index, {i + 1} as pos, {lit(f)} as feature, {lit(K.FEATURE_LABELS[f])} as display_name, "
+            f"{f}_f as feature_value, shap_{f} as shap_value from sc" for i, f in enumerate(K.MODEL_FEATURES)) + ")",
+        "rk as (select *, row_number() over (partition by source_index order by abs(shap_value) desc, pos) as rnk from fl)",
+        "mains as (select source_index, arg_min(display_name, rnk) filter (where rnk <= 5 and shap_value < 0) as main_low, "
+        "arg_min(display_name, rnk) filter (where rnk <= 5 and shap_value > 0) as main_inc from rk group by source_index)",
+    ]
+    return ctes
+
+
+def batch_results_sql(with_mae: bool = True) -> str:
+    ok = "sc.err is null"
+    return with_(*batch_ctes(with_mae=with_mae)) + (
+        "select sc.source_index + 2 as source_row, record_label, coalesce(participant_id, email) as participant_id, "
+        f"date, case when {ok} then quality else 'Poor' end as data_quality, "
+        f"case when {ok} then pred end as predicted_efficiency, actual as actual_efficiency, "
+        f"case when {ok} then abs(pred - actual) end as absolute_error, "
+        f"case when {ok} then {band_sql('pred')} end as efficiency_band, "
+        f"case when {ok} then model_mae end as model_mae, "
+        f"case when {ok} then main_low end as main_lowering_factor, "
+        f"case when {ok} then main_inc end as main_increasing_factor, "
+        f"case when {ok} then {lit(K.REPORT_NOT_REQUESTED)} else {lit(K.REPORT_FAILED)} end as report_status, "
+        "err as error from sc left join mains using (source_index)")

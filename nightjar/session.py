@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a shared folder; lineage is cut there.")
     scratch = tempfile.mkdtemp(prefix="nightjar-ckpt-")
     sc.setCheckpointDir(scratch)
     return scratch
