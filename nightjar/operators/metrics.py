@@ -18,7 +18,6 @@ from nightjar import constants as K
 from nightjar.operators.ranks import average_ranks
 
 ACTUAL, PREDICTED = "actual_efficiency", "predicted_efficiency"
-BROADCAST_MAX_KEYS = 2_000_000
 METRIC_NAMES = ["mae", "rmse", "r2", "pearson_correlation", "spearman_correlation"]
 
 
@@ -64,20 +63,24 @@ def _finish(agg: DataFrame) -> DataFrame:
         .drop("_sse", "_sst", "_n", "_cov", "_vx", "_vy", "_x_varies", "_y_varies")
 
 
-def _rank_table(preds: DataFrame, col: str, groups: Sequence[str], num_buckets: int | None) -> DataFrame:
-    keys = preds.groupBy(*groups, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranks = average_ranks(keys, col, "_cnt", groups, num_buckets).select(*groups, col, "avg_rank")
-    n_keys = ranks.count()  # cheap: ranks are built on a checkpoint
-    return F.broadcast(ranks) if n_keys <= BROADCAST_MAX_KEYS else ranks
-
-
 def spearman(preds: DataFrame, fold: str = "fold", actual: str = ACTUAL, predicted: str = PREDICTED,
              num_buckets: int | None = None) -> DataFrame:
-    """``fold, spearman_correlation`` per fold and for all rows (fold 0)."""
+    """``fold, spearman_correlation`` per fold and for all rows (fold 0).
+
+    Both sides are ranked in one range-partitioned pass over their distinct
+    (side, group, value) keys. The rank tables are joined back without a
+    hint: they grow with the number of distinct values, so AQE decides
+    from their runtime size whether to broadcast them, and splits a skewed
+    key (one value held by many rows) on the row side.
+    """
     base = preds.select(F.col(fold).alias("_g"), actual, predicted)
     both = base.unionByName(base.withColumn("_g", F.lit(0)))
-    ra = _rank_table(both, actual, ["_g"], num_buckets).withColumnRenamed("avg_rank", "_ra")
-    rp = _rank_table(both, predicted, ["_g"], num_buckets).withColumnRenamed("avg_rank", "_rp")
+    keys = both.select("_g", F.lit("a").alias("_side"), F.col(actual).alias("_v")).unionByName(
+        both.select("_g", F.lit("p").alias("_side"), F.col(predicted).alias("_v"))
+    ).groupBy("_side", "_g", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    ranks = average_ranks(keys, "_v", "_cnt", ["_side", "_g"], num_buckets).select("_side", "_g", "_v", "avg_rank")
+    ra = ranks.filter(F.col("_side") == "a").select("_g", F.col("_v").alias(actual), F.col("avg_rank").alias("_ra"))
+    rp = ranks.filter(F.col("_side") == "p").select("_g", F.col("_v").alias(predicted), F.col("avg_rank").alias("_rp"))
     ranked = both.join(ra, ["_g", actual]).join(rp, ["_g", predicted])
     agg = ranked.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_n"),

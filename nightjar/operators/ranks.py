@@ -2,7 +2,8 @@
 
 ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
 Instead the (pre-aggregated) keys are range-partitioned into B buckets,
-checkpointed so that every consumer sees the same buckets, and each row's
+written once (``lineage.materialize``) so that every consumer sees the same
+buckets, and each row's
 position is the weight of all earlier buckets (a B-row table) plus a window
 *inside* its bucket. Equal keys always land in the same bucket, so ties are
 never split; the result does not depend on B.
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightjar.session import ensure_checkpoint_dir
+from nightjar.operators.lineage import materialize
 
 BUCKET = "_bucket"
 
@@ -24,15 +25,15 @@ def default_buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's checkpoint dir (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpointed(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage: write under the session's checkpoint dir and read back."""
+    return materialize(df, label)
 
 
 def range_buckets(df: DataFrame, order: Sequence[Column], num_buckets: int | None = None) -> DataFrame:
+    """Keys with their range bucket, written once so every consumer sees the same buckets."""
     b = num_buckets or default_buckets(df)
-    return checkpointed(df.repartitionByRange(b, *order).withColumn(BUCKET, F.spark_partition_id()))
+    return checkpointed(df.repartitionByRange(b, *order).withColumn(BUCKET, F.spark_partition_id()), "buckets")
 
 
 def rows_before(bucketed: DataFrame, order: Sequence[Column], weights: Sequence[str],

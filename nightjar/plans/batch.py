@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from nightjar.operators.features import prepare_training
 from nightjar.operators.model import LinearScorer, fit_linear_scorer
 from nightjar.operators.score import batch_results, score_nights
-from nightjar.plans.training import cross_validate_linear, summary_dict
+from nightjar.operators.impute import imputation_values
+from nightjar.plans.training import cross_validate_linear
 
 
 def fit_fixture_model(nights: DataFrame, n_splits: int = 5, with_metrics: bool = True) -> LinearScorer:
@@ -22,11 +23,11 @@ def fit_fixture_model(nights: DataFrame, n_splits: int = 5, with_metrics: bool =
     Email is masked into labels and dropped before training (participant_id kept).
     """
     train = prepare_training(nights.drop("email") if "participant_id" in nights.columns else nights)
-    metrics = {}
-    if with_metrics:
-        summary = cross_validate_linear(train, n_splits).summary()
-        metrics = summary_dict(summary.select("mae", "mae_mean"))
-    return fit_linear_scorer(train, metrics)
+    if not with_metrics:
+        return fit_linear_scorer(train)
+    # Fold 0 of the CV medians is the median over all training rows: the fit.
+    result = cross_validate_linear(train, n_splits)
+    return LinearScorer(medians=imputation_values(result.medians, 0), metrics=result.mae_metrics())
 
 
 def run_batch(nights: DataFrame, scorer, generate_reports: bool = False,

@@ -545,16 +545,82 @@ def q_input_preview(spark, sf_dir):
 
 
 @both("all_warnings", ["source_index", "warnings", "n_warnings"], [],
-      O.with_(*_BATCH) + "select source_index, coalesce(all_warnings_text, '') as warnings, "
-      "cast(coalesce(len(string_split(all_warnings_text, '; ')), 0) "
-      "- (case when all_warnings_text like '%Optional temperature trend data is missing; the model%' then 1 else 0 end) as integer) "
-      "as n_warnings from sc where err is null")
+      O.with_(*_BATCH) + "select source_index, all_warnings_text as warnings, "
+      "cast(n_warnings_q + n_fw as integer) as n_warnings from sc where err is null")
 def q_all_warnings(spark, sf_dir):
     s, _ = scored(spark, sf_dir)
     return passed(s).select("source_index", joined("all_warnings").alias("warnings"),
                             F.size("all_warnings").alias("n_warnings"))
 
 
+@both("reports", ["source_index", "report"], [], O.report_sql())
+def q_reports(spark, sf_dir):
+    s, model = scored(spark, sf_dir, with_metrics=True)
+    return passed(RE.with_reports(s, model.model_mae))
+
+
+_PAY = ["source_index", "predicted_efficiency_percent", "efficiency_band", "model_mae_percent", "measurement_date",
+        "rem_sleep_percent", "factors_lowering", "factors_increasing", "data_quality_warnings"]
+
+
+@both("report_payload", _PAY, ["predicted_efficiency_percent", "model_mae_percent", "rem_sleep_percent"], O.payload_sql())
+def q_report_payload(spark, sf_dir):
+    s, model = scored(spark, sf_dir, with_metrics=True)
+    doc = passed(s).select("source_index", F.to_json(RE.report_payload(s, model.model_mae)).alias("j"))
+    schema = ("predicted_efficiency_percent double, efficiency_band string, model_mae_percent double, "
+              "verified_measurements struct<date: string, rem_sleep_percent: double>, "
+              "factors_lowering_prediction array<struct<display_name: string>>, "
+              "factors_increasing_prediction array<struct<display_name: string>>, "
+              "data_quality_warnings array<string>")
+    p = doc.select("source_index", F.from_json("j", schema).alias("p"))
+    names = lambda c: F.array_join(F.transform(F.col(c), lambda x: x["display_name"]), "; ")
+    return p.select("source_index", "p.predicted_efficiency_percent", "p.efficiency_band", "p.model_mae_percent",
+                    F.col("p.verified_measurements.date").alias("measurement_date"),
+                    F.col("p.verified_measurements.rem_sleep_percent").alias("rem_sleep_percent"),
+                    names("p.factors_lowering_prediction").alias("factors_lowering"),
+                    names("p.factors_increasing_prediction").alias("factors_increasing"),
+                    joined("p.data_quality_warnings").alias("data_quality_warnings"))
+
+
+def single_result(s: DataFrame, model) -> DataFrame:
+    """The single-night result document (with identifiers that the export must drop)."""
+    return s.select(
+        "source_index",
+        F.sha2(F.coalesce(F.col("participant_id"), F.lit("")), 256).alias("participant_uid"),
+        F.struct("quality", "warnings", "errors", "missing_optional_fields",
+                 F.col("email").alias("participant_email")).alias("data_quality"),
+        RE.display_struct().alias("display_measurements"),
+        F.struct(*[F.col(f) for f in K.MODEL_FEATURES]).alias("model_features"),
+        F.col("prediction").alias("predicted_efficiency_percent"),
+        SC.efficiency_band(F.col("prediction")).alias("efficiency_band"),
+        F.lit(model.model_mae).cast("double").alias("model_mae_percent"),
+        "base_value",
+        F.col("factors_lowering").alias("factors_lowering_prediction"),
+        F.col("factors_increasing").alias("factors_increasing_prediction"),
+    )
+
+
+_RJ = ["source_index", "keys", "quality", "predicted_efficiency_percent", "has_sensitive"]
+_RJ_KEYS = ",".join(sorted(["data_quality", "display_measurements", "model_features", "predicted_efficiency_percent",
+                            "efficiency_band", "model_mae_percent", "base_value", "factors_lowering_prediction",
+                            "factors_increasing_prediction", "source_index"]))
+
+
+@both("result_json", _RJ, ["predicted_efficiency_percent"],
+      O.with_(*O.batch_ctes(with_mae=False)) + f"select source_index, '{_RJ_KEYS}' as keys, quality, "
+      "pred as predicted_efficiency_percent, false as has_sensitive from sc where err is null")
+def q_result_json(spark, sf_dir):
+    s, model = scored(spark, sf_dir)
+    doc = single_result(passed(s), model)
+    js = doc.select("source_index", RE.result_json(doc).alias("j"))
+    return js.select(
+        "source_index",
+        F.array_join(F.array_sort(F.json_object_keys("j")), ",").alias("keys"),
+        F.get_json_object("j", "$.data_quality.quality").alias("quality"),
+        F.get_json_object("j", "$.predicted_efficiency_percent").cast("double").alias("predicted_efficiency_percent"),
+        (F.col("j").contains("participant_uid") | F.col("j").contains("participant_email")).alias("has_sensitive"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in CATALOG.items()}
 

@@ -100,6 +100,7 @@ def quality_ctes(src: str = "nights") -> list[str]:
         warns.append(f"case when not ({fin[f]} between {lo} and {hi}) then {lit(K.WARN_RANGE.format(field=f))} end")
     q1 = [f"concat_ws('; ', {', '.join(errs)}) as errors_text",
           f"concat_ws('; ', {', '.join(warns)}) as warnings_text",
+          " + ".join(f"(case when ({w}) is not null then 1 else 0 end)" for w in warns) + " as n_warnings_q",
           "case when m_temperature_trend_deviation then 'temperature_trend_deviation' else '' end as missing_optional_text"]
     return [
         f"q0 as (select *, {', '.join(q0)} from {src})",
@@ -286,7 +287,9 @@ def batch_ctes(k: int = K.DEFAULT_SPLITS, with_mae: bool = True) -> list[str]:
         f"case when isfinite({actual_num}) then {actual_num} end as actual, "
         f"case when {actual_text} is not null and {actual_num} is null then "
         f"'could not convert string to float: ''' || {actual_text} || '''' end as actual_error, "
-        f"concat_ws('; ', {fw}) as fw_text, cast({mae} as double) as model_mae "
+        f"concat_ws('; ', {fw}) as fw_text, "
+        + " + ".join(f"(case when b.{f}_f is null then 1 else 0 end)" for f in K.MODEL_FEATURES)
+        + f" as n_fw, cast({mae} as double) as model_mae "
         f"from bfeat b cross join (select * from medw where fold = 0) m0)",
         f"sc as (select *, {pred} as pred, coalesce(error, actual_error) as err, "
         f"concat_ws('; ', nullif(warnings_text, ''), nullif(fw_text, '')) as all_warnings_text from s0)",
@@ -313,3 +316,43 @@ def batch_results_sql(with_mae: bool = True) -> str:
         f"case when {ok} then main_inc end as main_increasing_factor, "
         f"case when {ok} then {lit(K.REPORT_NOT_REQUESTED)} else {lit(K.REPORT_FAILED)} end as report_status, "
         "err as error from sc left join mains using (source_index)")
+
+
+def report_sql() -> str:
+    """Report text per passed night (same template; numbers via printf)."""
+    low = (f"'- ' || display_name || ' ' || {lit(K.REPORT_LOWER)} || "
+           f"'; its SHAP contribution was approximately ' || printf('%.2f', abs(shap_value)) || ' percentage points.'")
+    inc = low.replace(lit(K.REPORT_LOWER), lit(K.REPORT_HIGHER))
+    nl = "chr(10)"
+    ctes = batch_ctes(with_mae=True) + [
+        "lines as (select rk.source_index, case when shap_value < 0 then 0 else 1 end as d, rnk, "
+        f"case when shap_value < 0 then {low} else {inc} end as line from rk "
+        "where rnk <= 5 and shap_value <> 0)",
+        f"infl as (select source_index, string_agg(line, {nl} order by d, rnk) as influence from lines group by source_index)",
+    ]
+    unc = (f"case when model_mae is not null then 'Typical validation MAE was ' || printf('%.1f', model_mae) || "
+           f"' percentage points, so the estimate should not be treated as exact.' else {lit(K.REPORT_NO_MAE)} end")
+    notes = f"case when coalesce(all_warnings_text, '') <> '' then {lit(K.REPORT_NOTES)} || all_warnings_text else '' end"
+    parts = [lit(K.REPORT_TITLE),
+             f"'The model estimated sleep efficiency at ' || printf('%.1f', pred) || '% (' || {band_sql('pred')} || ').'",
+             "''", lit(K.REPORT_INFLUENCE_HEADING), f"coalesce(infl.influence, {lit(K.REPORT_NO_FACTORS)})",
+             lit(K.REPORT_NOT_CAUSAL), "''", lit(K.REPORT_SUGGESTIONS_HEADING), lit(K.REPORT_SUGGESTION), "''",
+             lit(K.REPORT_LIMITS_HEADING), unc, f"{lit(K.REPORT_ESTIMATES)} || ({notes})", lit(K.REPORT_ADVICE)]
+    return with_(*ctes) + (f"select sc.source_index, concat_ws({nl}, {', '.join(parts)}) as report "
+                           "from sc left join infl using (source_index) where sc.err is null")
+
+
+def payload_sql() -> str:
+    """Selected keys of the report payload, computed directly."""
+    ctes = batch_ctes(with_mae=True) + [
+        "fac as (select rk.source_index, "
+        "string_agg(display_name, '; ' order by rnk) filter (where shap_value < 0) as lowering, "
+        "string_agg(display_name, '; ' order by rnk) filter (where shap_value > 0) as increasing "
+        "from rk where rnk <= 5 group by rk.source_index)",
+    ]
+    return with_(*ctes) + (
+        f"select sc.source_index, pred as predicted_efficiency_percent, {band_sql('pred')} as efficiency_band, "
+        f"model_mae as model_mae_percent, coalesce({iso('night_date')}, date) as measurement_date, "
+        "rem_sleep_percent_f as rem_sleep_percent, coalesce(fac.lowering, '') as factors_lowering, "
+        "coalesce(fac.increasing, '') as factors_increasing, coalesce(all_warnings_text, '') as data_quality_warnings "
+        "from sc left join fac using (source_index) where sc.err is null")

@@ -18,6 +18,7 @@ from nightjar.operators.folds import attach_folds, check_participants, fold_over
 from nightjar.operators.impute import fold_medians
 from nightjar.operators.metrics import cv_summary, fold_metrics, spearman
 from nightjar.operators.model import linear_oof_predictions
+from nightjar.operators.ranks import checkpointed
 
 
 @dataclass
@@ -37,6 +38,14 @@ class CVResult:
     def fold_metrics(self) -> DataFrame:
         return fold_metrics(self.predictions, spearman_table=self.spearman(), overlap=self.overlap())
 
+    def mae_metrics(self) -> dict:
+        """Overall and mean fold MAE (one small aggregate, collected)."""
+        err = F.abs(F.col("actual_efficiency") - F.col("predicted_efficiency"))
+        per_fold = self.predictions.groupBy("fold").agg(F.avg(err).alias("m"), F.sum(err).alias("s"),
+                                                        F.count(F.lit(1)).alias("n"))
+        row = per_fold.agg(F.avg("m").alias("mae_mean"), (F.sum("s") / F.sum("n")).alias("mae")).first()
+        return {"mae": row["mae"], "mae_mean": row["mae_mean"]}
+
     def summary(self) -> DataFrame:
         sp = self.spearman()
         folds = fold_metrics(self.predictions, spearman_table=sp, overlap=self.overlap())
@@ -52,16 +61,18 @@ def prediction_columns(scored: DataFrame, predicted: str = "predicted_efficiency
 
 
 def assign(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS, num_buckets: int | None = None):
-    folds = participant_folds(train, n_splits, num_buckets=num_buckets)
+    folds = checkpointed(participant_folds(train, n_splits, num_buckets=num_buckets), "folds")
     n = check_participants(folds, n_splits)
     return folds, attach_folds(train, folds, n_participants=n)
 
 
 def cross_validate_linear(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS,
                           num_buckets: int | None = None) -> CVResult:
+    # Each intermediate below is read by several later steps: write it once.
+    train = checkpointed(train, "train")
     folds, wf = assign(train, n_splits, num_buckets)
-    med = fold_medians(wf, n_splits, num_buckets=num_buckets)
-    preds = prediction_columns(linear_oof_predictions(wf, med))
+    med = checkpointed(fold_medians(wf, n_splits, num_buckets=num_buckets), "medians")
+    preds = checkpointed(prediction_columns(linear_oof_predictions(wf, med)), "oof")
     return CVResult(wf, folds, med, preds, n_splits)
 
 
