@@ -37,3 +37,20 @@ def run_batch(nights: DataFrame, scorer, generate_reports: bool = False,
 
 
 
+
+
+def learnable_nights(nights: DataFrame) -> DataFrame:
+    """Valid nights whose target is the fixture's learnable clean variant.
+
+    efficiency = 85 + 0.05 (rmssd - 60) - 0.03 (restless - 60), on rows that
+    pass validation (the raw efficiency column is noise by construction).
+    """
+    from nightjar.functions.numbers import lenient_number
+    from nightjar.operators.quality import annotate_quality
+
+    valid = annotate_quality(nights).filter(F.size("errors") == 0)
+    types = {f.name: f.dataType for f in nights.schema.fields}
+    rmssd = lenient_number(F.col("rmssd"), types["rmssd"])
+    restless = lenient_number(F.col("restless"), types["restless"])
+    target = F.lit(85.0) + F.lit(0.05) * (rmssd - F.lit(60.0)) - F.lit(0.03) * (restless - F.lit(60.0))
+    return valid.select(*[c for c in nights.columns if c != "efficiency"], target.alias("efficiency"))

@@ -621,6 +621,40 @@ def q_result_json(spark, sf_dir):
         (F.col("j").contains("participant_uid") | F.col("j").contains("participant_email")).alias("has_sensitive"))
 
 
+# ---------------------------------------------------------------- E2 / F3: boosted trees (rows-only checks)
+GBT_QUERY_TREES = 20  # query-time ensemble size; the library default is the reference's 500
+
+
+def learnable_training(spark, sf_dir) -> DataFrame:
+    """Valid nights with the fixture's learnable target (see FIXTURES.md)."""
+    from nightjar.plans.batch import learnable_nights
+
+    return feat.prepare_training(learnable_nights(nights(spark, sf_dir)).drop("email"))
+
+
+@register("gbt_predictions", None)
+def q_gbt_predictions(spark, sf_dir):
+    res = TR.cross_validate_gbt(learnable_training(spark, sf_dir), SPLITS, max_iter=GBT_QUERY_TREES)
+    return res.predictions.withColumn("date", iso("date"))
+
+
+@register("attributions_gbt", None)
+def q_attributions_gbt(spark, sf_dir):
+    from nightjar.operators.gbt import fit_gbt
+    from nightjar.operators.impute import fold_medians, imputation_values
+
+    train = TR.checkpointed(learnable_training(spark, sf_dir), "train")
+    med = imputation_values(fold_medians(train.withColumn("fold", F.lit(0)), n_splits=0), 0)
+    scorer = fit_gbt(train, med, max_iter=GBT_QUERY_TREES)
+    s = passed(SC.score_nights(nights(spark, sf_dir), scorer))
+    total = F.col("base_value")
+    for f in K.MODEL_FEATURES:
+        total = total + F.col(MO.shap_col(f))
+    return s.select("source_index", "base_value", F.col("prediction").alias("predicted_efficiency"),
+                    *[MO.shap_col(f) for f in K.MODEL_FEATURES],
+                    F.abs(F.col("prediction") - total).alias("additivity_error"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in CATALOG.items()}
 

@@ -80,3 +80,46 @@ def summary_dict(summary: DataFrame) -> dict:
     """Collect the one-row summary (bounded: one row)."""
     row = summary.first()
     return row.asDict() if row is not None else {}
+
+
+def fold_imputation(medians: DataFrame) -> dict[int, dict[str, float | None]]:
+    """(k+1) x 15 medians collected for the per-fold fits (bounded by the fit parameters)."""
+    out: dict[int, dict[str, float | None]] = {}
+    for r in medians.select("fold", "feature", "median").collect():
+        out.setdefault(int(r["fold"]), {})[r["feature"]] = r["median"]
+    return out
+
+
+def cross_validate_gbt(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS,
+                       max_iter: int = K.GBT_PARAMS["n_estimators"], num_buckets: int | None = None) -> CVResult:
+    """One distributed MLlib fit per held-out fold; predictions of all folds unioned."""
+    from functools import reduce
+
+    from nightjar.operators.gbt import fit_gbt
+
+    train = checkpointed(train, "train")
+    folds, wf = assign(train, n_splits, num_buckets)
+    wf = checkpointed(wf, "train_folds")
+    med = checkpointed(fold_medians(wf, n_splits, num_buckets=num_buckets), "medians")
+    imputation = fold_imputation(med)
+    parts = []
+    for k in range(1, n_splits + 1):
+        scorer = fit_gbt(wf.filter(F.col("fold") != k), imputation.get(k, {}), max_iter=max_iter)
+        parts.append(scorer.predict(wf.filter(F.col("fold") == k)))
+    scored = reduce(lambda a, b: a.unionByName(b), parts)
+    preds = checkpointed(prediction_columns(scored, "prediction"), "oof")
+    return CVResult(wf, folds, med, preds, n_splits)
+
+
+def train_and_save(train: DataFrame, path: str, n_splits: int = K.DEFAULT_SPLITS,
+                   max_iter: int = K.GBT_PARAMS["n_estimators"]):
+    """Grouped CV, then the final fit on all rows, then the bundle."""
+    from nightjar.operators.gbt import fit_gbt, save_bundle
+
+    result = cross_validate_gbt(train, n_splits, max_iter)
+    metrics = summary_dict(result.summary())
+    scorer = fit_gbt(result.with_folds, fold_imputation(result.medians).get(0, {}), max_iter=max_iter,
+                     metrics=metrics)
+    counts = result.folds.agg(F.sum("n_rows").alias("rows"), F.count(F.lit(1)).alias("participants")).first()
+    save_bundle(scorer, path, counts["rows"], counts["participants"])
+    return scorer, result
