@@ -15,6 +15,7 @@ from nightjar.operators.model import LinearScorer, fit_linear_scorer
 from nightjar.operators.score import batch_results, score_nights
 from nightjar.operators.impute import imputation_values
 from nightjar.plans.training import cross_validate_linear
+from nightjar.session import tune_session
 
 
 def fit_fixture_model(nights: DataFrame, n_splits: int = 5, with_metrics: bool = True) -> LinearScorer:
@@ -22,6 +23,7 @@ def fit_fixture_model(nights: DataFrame, n_splits: int = 5, with_metrics: bool =
 
     Email is masked into labels and dropped before training (participant_id kept).
     """
+    tune_session(nights.sparkSession)
     train = prepare_training(nights.drop("email") if "participant_id" in nights.columns else nights)
     if not with_metrics:
         return fit_linear_scorer(train)
@@ -32,6 +34,7 @@ def fit_fixture_model(nights: DataFrame, n_splits: int = 5, with_metrics: bool =
 
 def run_batch(nights: DataFrame, scorer, generate_reports: bool = False,
               fallback_only: bool = False) -> DataFrame:
+    tune_session(nights.sparkSession)
     scored = score_nights(nights, scorer)
     return batch_results(scored, scorer.model_mae, generate_reports, fallback_only)
 

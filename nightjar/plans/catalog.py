@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 
 from nightjar import constants as K
 from nightjar.operators import coerce, features as feat, quality
+from nightjar.operators import explain as X
+from nightjar.operators import folds as FO
+from nightjar.operators import impute as IM
+from nightjar.operators import metrics as ME
+from nightjar.operators import model as MO
+from nightjar.operators import report as RE
+from nightjar.operators import score as SC
 from nightjar.plans import oracle as O
+from nightjar.plans import training as TR
+from nightjar.plans.batch import fit_fixture_model
+from nightjar.session import tune_session
 from nightjar.sources.nights import nights_from_events, normalise_columns, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +54,7 @@ def iso(c) -> Column:
 
 
 def nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune_session(spark)
     return nights_from_events(read_table(spark, sf_dir, "events"))
 
 
@@ -259,15 +270,6 @@ def both(name: str, columns: list[str], doubles: list[str], inner_sql: str | Non
 
 
 # ---------------------------------------------------------------- E: folds, medians, CV
-from nightjar.operators import explain as X  # noqa: E402
-from nightjar.operators import folds as FO  # noqa: E402
-from nightjar.operators import impute as IM  # noqa: E402
-from nightjar.operators import metrics as ME  # noqa: E402
-from nightjar.operators import model as MO  # noqa: E402
-from nightjar.operators import report as RE  # noqa: E402
-from nightjar.operators import score as SC  # noqa: E402
-from nightjar.plans import training as TR  # noqa: E402
-from nightjar.plans.batch import fit_fixture_model  # noqa: E402
 
 SPLITS = K.DEFAULT_SPLITS
 _CV = [O.NIGHTS, *O.training_ctes(), *O.oof_ctes(SPLITS)]

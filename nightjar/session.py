@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Night plans are wide projections (dozens of aliased message and feature
+    # expressions) under explicit filters; inferring constraints over them
+    # costs minutes of planning and adds nothing.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -40,6 +44,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+RUNTIME_CONF = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings the night plans rely on (idempotent)."""
+    for key, value in RUNTIME_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the configured checkpoint dir; set a scratch one only if unset."""
     sc = spark.sparkContext
