@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from nightjar.session import ensure_checkpoint_dir
 
@@ -23,3 +24,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{base}/nightjar/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def filter_derived(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns derived by a long projection chain.
+
+    A plain filter is pushed below the projections with every alias
+    replaced by its definition; definitions that use an input twice make the
+    pushed condition grow with each layer and it is evaluated on top of the
+    projections themselves. Pairing the condition with a trivially true,
+    non-deterministic term keeps it above the projection that computes it,
+    so it reads the already computed column.
+    """
+    keep = condition & (F.spark_partition_id() >= 0)
+    return df.withColumn("__keep", keep).filter(F.col("__keep")).drop("__keep")

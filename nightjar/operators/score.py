@@ -17,6 +17,7 @@ from nightjar.functions.numbers import finite_or_null, raw_is_missing, strict_nu
 from nightjar.functions.text import nullify_missing_text, strip_ws
 from nightjar.operators.explain import main_label, with_factors
 from nightjar.operators.features import engineer_features, feature_warnings
+from nightjar.operators.lineage import filter_derived
 from nightjar.operators.quality import annotate_quality, quality_gate
 
 INVALID_PREDICTION = "Model returned an invalid efficiency prediction."
@@ -147,9 +148,14 @@ def select_by_label(rows: DataFrame, labels: DataFrame, label_col: str = "record
     return rows.join(labels.select(F.col(label_col)).distinct(), on=label_col, how="left_semi")
 
 
+def passed(scored: DataFrame) -> DataFrame:
+    """Rows that reached the model without any failure."""
+    return filter_derived(scored, F.col("error").isNull())
+
+
 def processing_errors(results: DataFrame) -> DataFrame:
     """K2: the error sheet."""
-    return results.filter(F.col("error").isNotNull()).select("source_row", "record_label", "error")
+    return filter_derived(results, F.col("error").isNotNull()).select("source_row", "record_label", "error")
 
 
 def input_preview(nights: DataFrame, n: int = K.MAX_BATCH_RECORDS) -> DataFrame:

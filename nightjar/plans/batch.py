@@ -49,9 +49,10 @@ def learnable_nights(nights: DataFrame) -> DataFrame:
     pass validation (the raw efficiency column is noise by construction).
     """
     from nightjar.functions.numbers import lenient_number
+    from nightjar.operators.lineage import filter_derived
     from nightjar.operators.quality import annotate_quality
 
-    valid = annotate_quality(nights).filter(F.size("errors") == 0)
+    valid = filter_derived(annotate_quality(nights), F.size("errors") == 0)
     types = {f.name: f.dataType for f in nights.schema.fields}
     rmssd = lenient_number(F.col("rmssd"), types["rmssd"])
     restless = lenient_number(F.col("restless"), types["restless"])

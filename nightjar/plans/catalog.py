@@ -22,6 +22,7 @@ from nightjar.operators import metrics as ME
 from nightjar.operators import model as MO
 from nightjar.operators import report as RE
 from nightjar.operators import score as SC
+from nightjar.operators.lineage import filter_derived
 from nightjar.plans import oracle as O
 from nightjar.plans import training as TR
 from nightjar.plans.batch import fit_fixture_model
@@ -226,7 +227,7 @@ def _display_sql() -> str:
 
 @register("display_measurements", _display_sql())
 def q_display_measurements(spark, sf_dir):
-    gated = quality.quality_gate(annotated(spark, sf_dir)).filter(F.col("error").isNull())
+    gated = filter_derived(quality.quality_gate(annotated(spark, sf_dir)), F.col("error").isNull())
     eng = feat.engineer_features(gated)
     cols = feat.display_measurements(eng, nights(spark, sf_dir).schema["date"].dataType)
     return eng.select("source_index", *cols).select(
@@ -394,7 +395,7 @@ def scored(spark, sf_dir, with_metrics: bool = False):
 
 
 def passed(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("error").isNull())
+    return SC.passed(df)
 
 
 _BATCH = O.batch_ctes(with_mae=False)
@@ -480,7 +481,7 @@ _PE = ["source_index", "predicted_efficiency", "actual_efficiency", "prediction_
       "pred - actual as prediction_error, abs(pred - actual) as absolute_error from sc where err is null and actual is not null")
 def q_prediction_error(spark, sf_dir):
     s, _ = scored(spark, sf_dir)
-    ok = passed(s).filter(F.col("actual_efficiency").isNotNull())
+    ok = filter_derived(s, F.col("error").isNull() & F.col("actual_efficiency").isNotNull())
     return ok.select("source_index", F.col("prediction").alias("predicted_efficiency"), "actual_efficiency",
                      (F.col("prediction") - F.col("actual_efficiency")).alias("prediction_error"),
                      F.abs(F.col("prediction") - F.col("actual_efficiency")).alias("absolute_error"))
@@ -529,7 +530,7 @@ def q_select_first_n(spark, sf_dir):
 def q_select_by_label(spark, sf_dir):
     n = nights(spark, sf_dir)
     ann = quality.annotate_quality(n.withColumn("record_label", SC.record_label(n)))
-    chosen = ann.filter(F.col("quality") == "Limited").select("record_label")
+    chosen = filter_derived(ann, F.col("quality") == "Limited").select("record_label")
     return SC.select_by_label(quality.valid_rows(ann), chosen).select("source_index", "record_label", "quality")
 
 

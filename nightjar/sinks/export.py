@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar import constants as K
+from nightjar.operators.lineage import filter_derived
 from nightjar.operators.report import result_json
 
 # FIXED VALUES: part names of the three-part export.
@@ -20,7 +21,7 @@ def write_batch_csv(results: DataFrame, path: str, mode: str = "overwrite") -> N
 def write_batch_export(results: DataFrame, errors: DataFrame, path: str, preview: DataFrame | None = None,
                        fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
     """K2: results (rows without error), errors, optional preview of at most 100 rows."""
-    parts = [(EXPORT_PARTS[0], results.filter(F.col("error").isNull())), (EXPORT_PARTS[1], errors)]
+    parts = [(EXPORT_PARTS[0], filter_derived(results, F.col("error").isNull())), (EXPORT_PARTS[1], errors)]
     if preview is not None:
         parts.append((EXPORT_PARTS[2], preview.orderBy("source_index").limit(K.MAX_BATCH_RECORDS)
                        if "source_index" in preview.columns else preview.limit(K.MAX_BATCH_RECORDS)))
