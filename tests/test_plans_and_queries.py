@@ -95,3 +95,15 @@ def test_streaming_smoke(spark, tmp_path):
     q.awaitTermination(240)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 1000 and out.columns == K.BATCH_RESULT_COLUMNS
+
+
+def test_filter_on_scored_rows_stays_above_the_projection(spark):
+    from nightjar.operators.model import LinearScorer
+    from nightjar.operators.score import passed, score_nights
+    from nightjar.sources.nights import nights_from_events
+
+    nights = nights_from_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
+    scorer = LinearScorer(medians={f: 1.0 for f in K.MODEL_FEATURES})
+    plan = passed(score_nights(nights, scorer))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and all("Filter __keep" in line for line in filters)
