@@ -4,24 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nightjar.llm import mixing, url_filters
+from nightjar.llm import mixing, sp_codec, token_counts, toxicity, url_filters
 from nightjar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rules_table(spark))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.digests(sp_codec.encode(table(spark, sf_dir, "documents"), PIECE_MODEL))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filters, op6_mixing)}
+    return {f.__name__: f for f in (op2_url_filters, op3_sentencepiece, op5_toxicity, op6_mixing, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

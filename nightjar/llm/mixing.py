@@ -39,7 +39,7 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 MIN_BLOCK_WORDS = 512
 MAX_BLOCKS = 1 << 16
-CELL_ROWS = 50_000
+CELL_ROWS = 8192
 SHARDS = 16
 SEED = 20
 
