@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nightjar.llm import mixing, sp_codec, token_counts, toxicity, url_filters
+from nightjar.llm import ann, html_extract, line_dedup, mixing, sp_codec, spotsigs, token_counts, toxicity, url_filters
 from nightjar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.digests(sp_codec.encode(table(spark, sf_dir, "documents"), PIECE_MODEL))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -32,12 +37,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % ann.QUERY_STEP == 0)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filters, op3_sentencepiece, op5_toxicity, op6_mixing, op8_token_counts)}
+    return {f.__name__: f for f in (op2_url_filters, op3_sentencepiece, op4_line_dedup, op5_toxicity, op6_mixing, op7_spotsigs, op8_token_counts, op9_nearest_neighbours, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
