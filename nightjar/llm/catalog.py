@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import ann, html_extract, line_dedup, mixing, sp_codec, spotsigs, token_counts, toxicity, url_filters
+from nightjar.llm import ann, html_extract, line_dedup, minhash, mixing, sp_codec, spotsigs, token_counts, toxicity, url_filters
 from nightjar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rules_table(spark))
 
@@ -54,7 +58,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filters, op3_sentencepiece, op4_line_dedup, op5_toxicity, op6_mixing, op7_spotsigs, op8_token_counts, op9_nearest_neighbours, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_minhash, op2_url_filters, op3_sentencepiece, op4_line_dedup, op5_toxicity, op6_mixing, op7_spotsigs, op8_token_counts, op9_nearest_neighbours, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,7 +74,7 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
 
 def ordered_words(line: Column, ranks: np.ndarray) -> Column:
     """Sorted keys of a line's words: the bucket's place, then the other bits of the hash. A key stands for one hash."""
-    table = F.lit(ranks)
+    table = F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<int>")  # folded to one array when planned
     low = (1 << LOW_BITS) - 1
     return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.get(table, _bucket(h).cast("int")).cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))))
 
