@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 SPACE = "▁"
 #: Pre-tokens whose encoding a worker remembers; then it starts afresh.
@@ -28,7 +29,6 @@ REMEMBERED = 400_000
 
 #: Runs longer than this many characters are hashed one by one.
 LONG = 64
-MASK = (1 << 64) - 1
 RADIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -184,9 +184,13 @@ class Pieces:
 
     def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct pre-tokens of normalised texts; for each occurrence its number and the text it is in."""
+        return self.cut_hashed(texts)[:3]
+
+    def cut_hashed(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """As ``cut``, and a 64-bit hash of each distinct pre-token, the same in every process."""
         joined = "".join(texts)
         if not joined:
-            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         heads = np.cumsum([0] + [len(t) for t in texts])[:-1]
         letters = self.letter[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
         new = np.ones(len(letters) + 1, bool)
@@ -198,14 +202,15 @@ class Pieces:
         codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         key, check = (run_hashes(codes, starts, ends, k) for k in (0, 1))
         for i in np.flatnonzero(ends - starts > LONG).tolist():
-            run = joined[starts[i]:ends[i]]
-            key[i], check[i] = hash(run) & MASK, hash("+" + run) & MASK
-        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            run = joined[starts[i]:ends[i]].encode()
+            key[i], check[i] = xxhash.xxh3_64_intdigest(run), xxhash.xxh3_64_intdigest(run, 1)
+        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
         if (check[first][of] != check).any():  # two runs share a hash
             found = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
             number = {c: i for i, c in enumerate(dict.fromkeys(found))}
-            return list(number), np.fromiter(map(number.__getitem__, found), np.int64, len(found)), doc
-        return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], of, doc
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in number), np.uint64, len(number))
+            return list(number), np.fromiter(map(number.__getitem__, found), np.int64, len(found)), doc, keys
+        return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], of, doc, keys
 
     def ids(self, tokens: list[str]) -> list[bytes]:
         """The ids of each pre-token, as int32 bytes. A line feed before it keeps the word mark away that the library puts first."""

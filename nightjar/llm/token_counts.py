@@ -1,15 +1,18 @@
 """Token counts without ids: pieces per distinct pre-token times its frequency in each document.
 
 The scan cuts texts into pre-tokens (see ``pieces``) and gathers, per block of
-documents, each distinct pre-token once with its frequencies: two packed lists,
-documents that hold it once, and (document, count) pairs. One shuffle by
-pre-token brings all lists of a pre-token to one partition, where its pieces are
-counted once and added to per-document sums; a second, small shuffle by block
-adds the partial sums up. No ids are ever kept.
-
-Skew and memory: a pre-token in at least one document of sixteen of a block is
-salted with the block, so its lists spread over all partitions. Workers hold one
-block, a bounded memory of counted pre-tokens and at most ``OPEN_BLOCKS`` sums.
+documents, each distinct pre-token once with its frequencies: the documents that
+hold it once, and (document, count) pairs. The pre-tokens of a block are dealt
+to buckets by their hash, one row for all of a bucket. One shuffle by bucket
+brings all frequencies of a pre-token to one task, where its pieces are counted
+once and joined to them; the sums go to per-document totals, and a second, small
+shuffle by block adds these up. No ids are ever kept.
+
+Skew and memory: a pre-token in at least one document of sixteen of a block goes
+to the block's own bucket, so its frequencies spread over all buckets. There are
+four buckets to a shuffle partition, so they grow in number with the session's
+setting. Workers hold one block, a bounded memory of counted pre-tokens and at
+most ``OPEN_BLOCKS`` sums.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
 and repeated or null ids each get their own row; an empty table gives no rows;
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +31,60 @@ LIMIT = 4096
 BLOCK_CHARS = 6_000_000
 BLOCK_DOCS = 4096
 OPEN_BLOCKS = 2000
-#: A pre-token in this share of a block's documents is spread over the partitions.
+#: A pre-token in this share of a block's documents is spread over the buckets.
 HOT_SHARE = 1 / 16
+BUCKETS_PER_PARTITION = 4
 
 PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
-LISTS = pa.schema([("token", pa.string()), ("salt", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("more", pa.binary()),
-                   ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
-SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
-
-
-def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths * values.dtype.itemsize, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
-
-
-def _unpacked(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All packed values of a binary column, and the row of each."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].tobytes() if data is not None else b""
-    return np.frombuffer(raw, dtype), np.repeat(np.arange(len(column)), np.diff(offsets) // dtype.itemsize)
-
-
-def _gather(path: str):
+#: Per pre-token: its bytes, the documents that hold it once, the documents that hold it more often.
+SIZES = np.dtype([("bytes", "<u4"), ("once", "<u2"), ("more", "<u2")])
+LISTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("once", pa.binary()), ("more", pa.binary()),
+                   ("doc_ids", pa.binary()), ("n_bytes", pa.binary())])
+SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("doc_ids", pa.binary()), ("n_bytes", pa.binary())])
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'bigint' if f.type == pa.int64() else 'binary'}" for f in schema)
+
+
+def _ids(column: pa.Array) -> bytes:
+    """Values and null marks of an id column."""
+    marks = np.asarray(column.is_null().to_numpy(zero_copy_only=False), np.uint8)
+    return column.fill_null(0).to_numpy().astype("<i8").tobytes() + marks.tobytes()
+
+
+def _frequencies(model, texts: list[str], block: int, buckets: int):
+    """(bucket, tokens, sizes, once, more) for the buckets that the block's pre-tokens fall into."""
+    tokens, of, doc, keys = model.cut_hashed(texts)
+    if not tokens:
+        return
+    n_docs = len(texts)
+    key, count = np.unique(of * n_docs + doc, return_counts=True)
+    token, doc = key // n_docs, (key % n_docs).astype("<u2")
+    held = np.bincount(token, minlength=len(tokens))
+    spread = held >= max(64, n_docs * HOT_SHARE)
+    bucket = np.where(spread, (block * 0x9E3779B1 >> 16) % buckets, (keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(tokens), np.int64)
+    place[order] = np.arange(len(tokens))
+    by = np.argsort(place[token], kind="stable")
+    token, doc, count = place[token][by], doc[by], count[by]
+    data = [tokens[i].encode() for i in order.tolist()]
+    sizes = np.zeros(len(tokens), SIZES)
+    sizes["bytes"] = np.fromiter(map(len, data), np.int64, len(data))
+    one = count == 1
+    sizes["once"], sizes["more"] = np.bincount(token[one], minlength=len(data)), np.bincount(token[~one], minlength=len(data))
+    more = np.zeros(int((~one).sum()), PAIR)
+    more["doc"], more["n"] = doc[~one], count[~one]
+    once = doc[one]
+    ends = {c: np.concatenate([[0], np.cumsum(sizes[c].astype(np.int64))]) for c in SIZES.names}
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(data)]):
+        cut = {c: slice(e[a], e[b]) for c, e in ends.items()}
+        yield int(bucket[order[a]]), b"".join(data[a:b]), sizes[a:b].tobytes(), once[cut["once"]].tobytes(), more[cut["more"]].tobytes()
+
+
+def _gather(path: str, buckets: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -61,25 +95,9 @@ def _gather(path: str):
             block = (TaskContext.get().partitionId() << 32) + seq
             seq += 1
             texts = [model.normaliser.text(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
-                [None, block, block, b"", b"", batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()], LISTS.types)], schema=LISTS)
-            tokens, of, doc = model.cut(texts)
-            if not tokens:
-                continue
-            key, count = np.unique(of * len(texts) + doc, return_counts=True)
-            token, doc = key // len(texts), (key % len(texts)).astype("<u2")
-            more = np.zeros(int((count > 1).sum()), PAIR)
-            more["doc"], more["n"] = doc[count > 1], count[count > 1]
-            held = np.bincount(token, minlength=len(tokens))
-            salt = np.where(held >= max(64, len(texts) * HOT_SHARE), block + 1, 0)
-            n = len(tokens)
-            nothing = pa.nulls(n, LISTS.field("doc_ids").type)
-            out = pa.RecordBatch.from_arrays([
-                pa.array(tokens, pa.string()), pa.array(salt, pa.int64()), pa.array(np.full(n, block), pa.int64()),
-                _packed(doc[count == 1], np.bincount(token[count == 1], minlength=n)), _packed(more, np.bincount(token[count > 1], minlength=n)),
-                nothing, nothing], schema=LISTS)
-            for at in range(0, n, 50_000):
-                yield out.slice(at, 50_000)
+            rows = [(block % buckets, block, b"", b"", b"", b"", _ids(batch.column("doc_id")), _ids(batch.column("n_bytes")))]
+            rows += [(bucket, block, *packed, None, None) for bucket, *packed in _frequencies(model, texts, block, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), LISTS.types)], schema=LISTS)
 
     return run
 
@@ -92,37 +110,30 @@ def _count(path: str):
             pairs["doc"] = np.flatnonzero(sums)
             pairs["n"] = sums[pairs["doc"]]
             packed.append(pairs.tobytes())
-        nothing = pa.nulls(len(held), SUMS.field("doc_ids").type)
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary()), nothing, nothing], schema=SUMS)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(held), pa.binary()), pa.nulls(len(held), pa.binary())], schema=SUMS)
 
     def run(batches):
         from nightjar.llm.pieces import pieces
 
         model, held = pieces(path), {}
         for batch in batches:
-            head = batch.filter(pa.compute.is_null(batch.column("token")))
-            if head.num_rows:
-                yield pa.RecordBatch.from_arrays([head.column("block"), head.column("once"), head.column("doc_ids"), head.column("n_bytes")], schema=SUMS)
-                batch = batch.filter(pa.compute.is_valid(batch.column("token")))
-            if not batch.num_rows:
-                continue
-            n = np.fromiter(map(len, model.ids(batch.column("token").to_pylist())), np.int64, batch.num_rows) // 4
-            block, at = np.unique(batch.column("block").to_numpy(), return_inverse=True)
-            once, row = _unpacked(batch.column("once"), np.dtype("<u2"))
-            more, row2 = _unpacked(batch.column("more"), PAIR)
-            where = np.concatenate([at[row], at[row2]])
-            doc = np.concatenate([once, more["doc"]])
-            add = np.concatenate([n[row], n[row2] * more["n"].astype(np.int64)])
-            order = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[order], np.arange(len(block) + 1))
-            for i, b in enumerate(block.tolist()):
-                mine = order[edges[i]:edges[i + 1]]
-                if b not in held:
+            head = pc.is_valid(batch.column("doc_ids"))
+            heads = batch.filter(head)
+            if heads.num_rows:
+                yield pa.RecordBatch.from_arrays([heads.column("block"), heads.column("tokens"), heads.column("doc_ids"), heads.column("n_bytes")], schema=SUMS)
+            for row in batch.filter(pc.invert(head)).select(LISTS.names[1:6]).to_pylist():
+                sizes = np.frombuffer(row["sizes"], SIZES)
+                ends = np.cumsum(sizes["bytes"].astype(np.int64)).tolist()
+                tokens = [row["tokens"][a:b].decode() for a, b in zip([0, *ends], ends)]
+                n = np.fromiter(map(len, model.ids(tokens)), np.int64, len(tokens)) // 4
+                once, more = np.frombuffer(row["once"], "<u2"), np.frombuffer(row["more"], PAIR)
+                if row["block"] not in held:
                     if len(held) >= OPEN_BLOCKS:
                         yield flush(held)
                         held.clear()
-                    held[b] = np.zeros(BLOCK_DOCS, np.int64)
-                held[b] += np.bincount(doc[mine], add[mine], BLOCK_DOCS).astype(np.int64)
+                    held[row["block"]] = np.zeros(BLOCK_DOCS, np.int64)
+                add = np.bincount(once, np.repeat(n, sizes["once"]), BLOCK_DOCS) + np.bincount(more["doc"], np.repeat(n, sizes["more"]) * more["n"], BLOCK_DOCS)
+                held[row["block"]] += add.astype(np.int64)
         if held:
             yield flush(held)
 
@@ -130,21 +141,25 @@ def _count(path: str):
 
 
 def _add_up(group: pa.Table) -> pa.Table:
-    heads = group.filter(pa.compute.is_valid(group.column("doc_ids")))
-    ids, sizes = heads.column("doc_ids")[0].as_py(), heads.column("n_bytes")[0].as_py()
+    head = group.filter(pc.is_valid(group.column("doc_ids")))
+    columns = []
+    for name in ("doc_ids", "n_bytes"):
+        data = head.column(name)[0].as_py()
+        n = len(data) // 9
+        columns.append(pa.array(np.frombuffer(data, "<i8", n), pa.int64(), mask=np.frombuffer(data, np.uint8, n, 8 * n).astype(bool)))
     total = np.zeros(BLOCK_DOCS, np.int64)
     for packed in group.column("sums").to_pylist():
         pairs = np.frombuffer(packed, PAIR)
-        np.add.at(total, pairs["doc"], pairs["n"])
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": total[:len(ids)]})
+        total += np.bincount(pairs["doc"], pairs["n"], BLOCK_DOCS).astype(np.int64)
+    return pa.table({"doc_id": columns[0], "n_bytes": columns[1], "n_tokens": total[:len(columns[0])]})
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    arrays = "doc_ids array<bigint>, n_bytes array<bigint>"
-    lists = slim.mapInArrow(_gather(model_path), f"token string, salt bigint, block bigint, once binary, more binary, {arrays}")
-    sums = lists.repartition("token", "salt").mapInArrow(_count(model_path), f"block bigint, sums binary, {arrays}")
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = slim.mapInArrow(_gather(model_path, buckets), ddl(LISTS))
+    sums = lists.repartition("bucket").mapInArrow(_count(model_path), ddl(SUMS))
     counted = sums.groupBy("block").applyInArrow(_add_up, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
