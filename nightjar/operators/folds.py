@@ -1,11 +1,11 @@
 """Participant-disjoint, row-balanced folds.
 
-Participants are ordered by (row count desc, id) with a distributed row
-number and dealt to folds in a serpentine (1..k, k..1, ...), so each
-participant is in exactly one fold and fold sizes stay balanced. The
-per-participant table is attached to rows by a broadcast join when its
-size (known from the bucketed checkpoint) is under a threshold, otherwise
-by a shuffle join (AQE splits a participant holding many rows).
+A participant is in one fold whole. Those with more than N / (LARGE * k) of the
+N rows are at most LARGE * k; they are dealt one by one, most rows first, to the
+fold with the fewest rows so far, on the driver. All others are small against a
+fold: the room that the large ones leave up to a common level is filled with them
+in order of a distributed running total. Folds so differ by at most one small
+participant, unless a large one alone exceeds N / k.
 """
 
 from __future__ import annotations
@@ -14,25 +14,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar.constants import DEFAULT_SPLITS, PARTICIPANT_COLUMN
-from nightjar.operators.ranks import row_positions
+from nightjar.operators.lineage import materialize
+from nightjar.operators.ranks import rows_before, range_buckets
 
-BROADCAST_MAX_ROWS = 2_000_000
+#: A fold's rows divided by this: participants with more are dealt one by one.
+LARGE = 100
 
 
 class GroupedValidationError(ValueError):
     pass
 
 
+def deal_large(sizes: list[tuple[str, int]], n_splits: int) -> tuple[dict[str, int], list[int]]:
+    """Fold (from 1) per participant, given in falling order of rows, and the rows dealt to each fold."""
+    held, fold = [0] * n_splits, {}
+    for name, rows in sizes:
+        least = held.index(min(held))
+        held[least] += rows
+        fold[name] = least + 1
+    return fold, held
+
+
+def room_left(held: list[int], small: int) -> list[float]:
+    """How many of ``small`` rows each fold takes so that all filled folds end at one level."""
+    level, left = 0.0, float(small)
+    order = sorted(held)
+    for i, rows in enumerate(order):
+        below = order[i + 1] if i + 1 < len(order) else float("inf")
+        level = rows + left / (i + 1)
+        if level <= below:
+            break
+        left -= (below - rows) * (i + 1)
+    return [max(0.0, level - rows) for rows in held]
+
+
 def participant_folds(train: DataFrame, n_splits: int = DEFAULT_SPLITS,
                       participant: str = PARTICIPANT_COLUMN, num_buckets: int | None = None) -> DataFrame:
     """``participant_id, n_rows, fold`` (1-based), one row per participant."""
-    counts = train.groupBy(participant).agg(F.count(F.lit(1)).alias("n_rows"))
-    ranked = row_positions(counts, [F.col("n_rows").desc(), F.col(participant).asc()], num_buckets)
-    r0 = F.col("position") - 1
-    block = F.floor(r0 / n_splits)
-    pos = F.pmod(r0, F.lit(n_splits))
-    fold = F.lit(1) + F.when(F.pmod(block, F.lit(2)) == 0, pos).otherwise(F.lit(n_splits - 1) - pos)
-    return ranked.select(participant, "n_rows", fold.cast("int").alias("fold"))
+    counts = materialize(train.groupBy(participant).agg(F.count(F.lit(1)).alias("n_rows")), "participants")
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    is_large = F.col("n_rows") * (LARGE * n_splits) > total
+    # At most LARGE * n_splits participants can hold that many rows.
+    large = counts.filter(is_large).orderBy(F.col("n_rows").desc(), F.col(participant).asc()).collect()
+    fold, held = deal_large([(r[participant], r["n_rows"]) for r in large], n_splits)
+    room = room_left(held, total - sum(held))
+    edges = [sum(room[:i + 1]) for i in range(n_splits - 1)]
+    order = [F.col("n_rows").desc(), F.col(participant).asc()]
+    rest = rows_before(range_buckets(counts.filter(~is_large), order, num_buckets), order, ["n_rows"])
+    number = F.lit(1)
+    for edge in edges:
+        number = number + (F.col("_before_n_rows") >= F.lit(edge) - F.lit(1e-6)).cast("int")
+    small = rest.select(participant, "n_rows", number.cast("int").alias("fold"))
+    kind = counts.schema[participant].dataType.simpleString()
+    dealt = counts.sparkSession.createDataFrame([(r[participant], r["n_rows"], fold[r[participant]]) for r in large],
+                                                f"{participant} {kind}, n_rows bigint, fold int")
+    return small.unionByName(dealt)
 
 
 def check_participants(folds: DataFrame, n_splits: int) -> int:
@@ -44,12 +80,9 @@ def check_participants(folds: DataFrame, n_splits: int) -> int:
     return n
 
 
-def attach_folds(train: DataFrame, folds: DataFrame, participant: str = PARTICIPANT_COLUMN,
-                 n_participants: int | None = None) -> DataFrame:
-    small = folds.select(participant, "fold")
-    if n_participants is not None and n_participants <= BROADCAST_MAX_ROWS:
-        small = F.broadcast(small)
-    return train.join(small, on=participant, how="inner")
+def attach_folds(train: DataFrame, folds: DataFrame, participant: str = PARTICIPANT_COLUMN) -> DataFrame:
+    """Rows with their fold; the side's size decides the join, and a participant of many rows is split by AQE."""
+    return train.join(folds.select(participant, "fold"), on=participant, how="inner")
 
 
 def fold_overlap(with_folds: DataFrame, participant: str = PARTICIPANT_COLUMN) -> DataFrame:
@@ -61,3 +94,11 @@ def fold_overlap(with_folds: DataFrame, participant: str = PARTICIPANT_COLUMN) -
     return pairs.withColumn("n_folds", n_folds).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_participants"),
         F.count_if(F.col("n_folds") > 1).alias("participant_overlap_count"))
+
+
+def refuse_overlap(overlap: DataFrame) -> DataFrame:
+    """E5: no participant may be in the training and the test part of a fold (k rows are looked at)."""
+    shared = {r["fold"]: r["participant_overlap_count"] for r in overlap.collect() if r["participant_overlap_count"]}
+    if shared:
+        raise GroupedValidationError(f"Participants are in both parts of folds (fold: how many): {shared}")
+    return overlap

@@ -137,15 +137,20 @@ def batch_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def select_first_n(valid: DataFrame, n: int | None = K.MAX_BATCH_RECORDS) -> DataFrame:
-    """valid rows in source order, capped at ``n`` (None = all)."""
+def select_first_n(valid: DataFrame, n: int | None = None) -> DataFrame:
+    """valid rows in source order, all of them or the first ``n``."""
     ordered = valid.orderBy("source_index")
-    return ordered.limit(n) if n is not None else ordered
+    return ordered if n is None else ordered.limit(n)
+
+
+def selection_warning(n_selected: int, n: int = K.MAX_BATCH_RECORDS) -> str | None:
+    """what a caller that takes ``n`` rows has to tell when more were selected."""
+    return K.SELECTION_CAPPED.format(selected=n_selected, limit=n) if n_selected > n else None
 
 
 def select_by_label(rows: DataFrame, labels: DataFrame, label_col: str = "record_label") -> DataFrame:
     """rows whose label is in a chosen label table (semi join, no duplication)."""
-    return rows.join(labels.select(F.col(label_col)).distinct(), on=label_col, how="left_semi")
+    return rows.join(labels.select(F.col(label_col)), on=label_col, how="left_semi")
 
 
 def passed(scored: DataFrame) -> DataFrame:

@@ -39,9 +39,6 @@ def run_batch(nights: DataFrame, scorer, generate_reports: bool = False,
     return batch_results(scored, scorer.model_mae, generate_reports, fallback_only)
 
 
-
-
-
 def learnable_nights(nights: DataFrame) -> DataFrame:
     """Valid nights whose target is the fixture's learnable clean variant.
 

@@ -8,6 +8,7 @@ formats dates and rounds floating values (``r9``) exactly like the oracle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,8 @@ from nightjar.operators.lineage import filter_derived
 from nightjar.plans import oracle as O
 from nightjar.plans import training as TR
 from nightjar.plans.batch import fit_fixture_model
-from nightjar.session import tune_session
-from nightjar.sources.nights import nights_from_events, normalise_columns, read_table
+from nightjar.session import ensure_checkpoint_dir, tune_session
+from nightjar.sources.nights import nights_from_events, normalise_columns, read_nights, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[QueryFn, str | None]] = {}
@@ -286,16 +287,20 @@ def q_participant_folds(spark, sf_dir):
     return FO.participant_folds(training(spark, sf_dir), SPLITS)
 
 
+def folded(spark, sf_dir) -> DataFrame:
+    return TR.assign(TR.checkpointed(training(spark, sf_dir), "train"), SPLITS)[1]
+
+
 @both("fold_overlap", ["fold", "n_participants", "participant_overlap_count"], [],
       O.with_(*_CV, *O.fold_metric_ctes()) + "select fold, n_participants, participant_overlap_count from ov")
 def q_fold_overlap(spark, sf_dir):
-    return cv(spark, sf_dir).overlap()
+    return FO.fold_overlap(folded(spark, sf_dir))
 
 
 @both("fold_medians", ["fold", "feature", "median", "n_values"], ["median"],
       O.with_(*_CV) + "select fold, feature, median, n_values from med")
 def q_fold_medians(spark, sf_dir):
-    return cv(spark, sf_dir).medians
+    return IM.fold_medians(folded(spark, sf_dir), SPLITS)
 
 
 _IMP = ["source_index", "fold", *K.MODEL_FEATURES]
@@ -303,8 +308,8 @@ _IMP = ["source_index", "fold", *K.MODEL_FEATURES]
 
 @both("impute", _IMP, list(K.MODEL_FEATURES), O.with_(*_CV) + f"select {', '.join(_IMP)} from imp")
 def q_impute(spark, sf_dir):
-    r = cv(spark, sf_dir)
-    return IM.impute_by_fold(r.with_folds, r.medians)
+    wf = TR.checkpointed(folded(spark, sf_dir), "train_folds")
+    return IM.impute_by_fold(wf, IM.fold_medians(wf, SPLITS))
 
 
 _OOF = ["source_index", "participant_id", "date", "actual_efficiency", "predicted_efficiency",
@@ -520,7 +525,7 @@ def q_batch_summary(spark, sf_dir):
 def q_select_first_n(spark, sf_dir):
     n = nights(spark, sf_dir)
     valid = quality.valid_rows(quality.annotate_quality(n.withColumn("record_label", SC.record_label(n))))
-    return SC.select_first_n(valid.select("source_index", "record_label"))
+    return SC.select_first_n(valid.select("source_index", "record_label"), K.MAX_BATCH_RECORDS)
 
 
 @both("select_by_label", ["source_index", "record_label", "quality"], [],
@@ -649,7 +654,8 @@ def q_attributions_gbt(spark, sf_dir):
     train = TR.checkpointed(learnable_training(spark, sf_dir), "train")
     med = imputation_values(fold_medians(train.withColumn("fold", F.lit(0)), n_splits=0), 0)
     scorer = fit_gbt(train, med, max_iter=GBT_QUERY_TREES)
-    s = passed(SC.score_nights(nights(spark, sf_dir), scorer))
+    # Rows that fail validation never reach the model.
+    s = passed(SC.score_nights(quality.valid_rows(annotated(spark, sf_dir)).select(*nights(spark, sf_dir).columns), scorer))
     total = F.col("base_value")
     for f in K.MODEL_FEATURES:
         total = total + F.col(MO.shap_col(f))
@@ -658,6 +664,65 @@ def q_attributions_gbt(spark, sf_dir):
                     F.abs(F.col("prediction") - total).alias("additivity_error"))
 
 
+def fixed_nodes() -> tuple:
+    """The fixed ensemble as a node table of the kind that a saved model has."""
+    import pandas as pd
+
+    rows = []
+    for number, tree in enumerate(K.FIXED_TREES):
+        flat: list[dict] = []
+
+        def add(node, flat=flat) -> tuple[int, float]:
+            me = len(flat)
+            flat.append({"id": me, "leftChild": -1, "rightChild": -1, "prediction": 0.0, "split": None})
+            if len(node) == 2:
+                flat[me].update(prediction=node[0], impurityStats=[float(node[1])])
+                return me, float(node[1])
+            (left, n), (right, m) = add(node[2]), add(node[3])
+            flat[me].update(leftChild=left, rightChild=right, impurityStats=[n + m], split={
+                "featureIndex": K.MODEL_FEATURES.index(node[0]), "leftCategoriesOrThreshold": [node[1]], "numCategories": -1})
+            return me, n + m
+
+        add(tree)
+        rows += [(number, node) for node in flat]
+    return pd.DataFrame(rows, columns=["treeID", "nodeData"]), K.FIXED_TREE_WEIGHTS
+
+
+_TA = ["source_index", "base_value", *[MO.shap_col(f) for f in K.MODEL_FEATURES], "predicted_efficiency"]
+
+
+@both("tree_attribution_fixed", _TA, _TA[1:], O.tree_attribution_sql())
+def q_tree_attribution_fixed(spark, sf_dir):
+    from nightjar.operators.gbt import trees_from_nodes, with_attributions, with_imputed
+
+    rows = feat.engineer_features(nights(spark, sf_dir)).select("source_index", *K.MODEL_FEATURES)
+    out = with_attributions(with_imputed(rows, {}), trees_from_nodes(*fixed_nodes()))
+    total = F.col("base_value")
+    for f in K.MODEL_FEATURES:
+        total = total + F.col(MO.shap_col(f))
+    return out.withColumn("predicted_efficiency", total)
+
+
+@register("date_spellings", f"select event_id as source_index, spelled, {O.iso(O.parse_date('spelled'))} as night_date "
+                            f"from (select event_id, {O.SPELLED_DATE} as spelled from events) d")
+def q_date_spellings(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "events").selectExpr("event_id as source_index", f"{O.SPELLED_DATE} as date")
+    return coerce.parse_dates(rows).select("source_index", F.col("date").alias("spelled"), iso("night_date").alias("night_date"))
+
+
+@both("read_nights_csv", ["file_row", "record_label", "errors", "predicted_efficiency"], ["predicted_efficiency"],
+      O.with_(*O.batch_ctes(with_mae=False)) + f"select file_row, {O.label_sql('file_row')} as record_label, errors_text as errors, case when err is null then pred end as predicted_efficiency "
+      "from (select * exclude (record_label), cast(row_number() over (order by source_index) - 1 as bigint) as file_row from sc) x")
+def q_read_nights_csv(spark, sf_dir):
+    """Nights written as CSV, read back by the engine's own reader, numbered and scored."""
+    model = fit_fixture_model(nights(spark, sf_dir), with_metrics=False)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/nightjar/csv-{uuid.uuid4().hex}"
+    nights(spark, sf_dir).orderBy("source_index").drop("source_index").write.option("header", True).csv(path)
+    s = SC.score_nights(read_nights(spark, path, "csv", null_values=False), model)
+    return s.select(F.col("source_index").cast("long").alias("file_row"), "record_label", joined("errors").alias("errors"),
+                    F.when(F.col("error").isNull(), F.col("prediction")).alias("predicted_efficiency"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in CATALOG.items()}
 

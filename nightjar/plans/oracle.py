@@ -1,8 +1,8 @@
 """Independent DuckDB SQL for every catalog query (the correctness oracle).
 
 The SQL restates each operator's semantics directly in SQL over the
-``events`` view; it shares only the fixed values (messages, field lists,
-regular expressions) with the Spark code. Conventions: arrays are compared
+``events`` view; it shares only the fixed values (messages, field lists)
+with the Spark code; its patterns are its own. Conventions: arrays are compared
 as '; '-joined text, dates as ISO text, floating results through ``r9``
 (9 decimals, tiny values folded to 0.0 so both engines agree on the sign).
 """
@@ -12,12 +12,10 @@ from __future__ import annotations
 import math
 
 from nightjar import constants as K
-from nightjar.functions.dates import (
-    COMPACT_DATE_RE, ISO_DATE_RE, ISO_DATETIME_RE, MONTH_NAME_RE, SLASH_DATE_RE,
-)
-from nightjar.functions.numbers import FINITE_NUMBER_RE, NONFINITE_NUMBER_RE
 from nightjar.sources.nights import night_view_sql
 
+FINITE_NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NONFINITE_NUMBER_RE = r"^\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
 TWO_PI = repr(2 * math.pi)
 
 
@@ -50,15 +48,34 @@ def lenient_num(c: str) -> str:
     return f"(case when isfinite({inner}) then {inner} end)"
 
 
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
 def parse_date(c: str) -> str:
     s = strip(nullify(c))
+    month = f"list_position([{', '.join(lit(m) for m in MONTHS)}], m)"
+    short = f"list_position([{', '.join(lit(m[:3]) for m in MONTHS)}], m)"
+
+    def ymd(y: str, m: str, d: str) -> str:
+        return f"try_cast(concat(lpad({y}, 4, '0'), '-', lpad({m}, 2, '0'), '-', lpad({d}, 2, '0')) as date)"
+
+    def part(pattern: str, n: int) -> str:
+        return f"regexp_extract({s}, {lit(pattern)}, {n})"
+
+    year_first = r"^(\d{4})([-/.])(\d{1,2})([-/.])(\d{1,2})$"
+    year_last = r"^(\d{1,2})([-/.])(\d{1,2})([-/.])(\d{4})$"
+    named_first = r"^([A-Za-z]+)\.? (\d{1,2}),? (\d{4})$"
+    named_second = r"^(\d{1,2}) ([A-Za-z]+)\.?,? (\d{4})$"
+    stamp = r"^\d{4}-\d\d-\d\d[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)?$"
+    a, b, y = part(year_last, 1), part(year_last, 3), part(year_last, 5)
+    named = lambda name: f"(select cast(coalesce({month}, {short}, case when m = 'sept' then 9 end) as varchar) from (select lower({name}) as m))"
     return (
-        f"(case when regexp_matches({s}, {lit(ISO_DATE_RE)}) then cast(try_strptime({s}, '%Y-%m-%d') as date) "
-        f"when regexp_matches({s}, {lit(ISO_DATETIME_RE)}) then cast(try_strptime(substr({s}, 1, 10), '%Y-%m-%d') as date) "
-        f"when regexp_matches({s}, {lit(COMPACT_DATE_RE)}) then cast(try_strptime({s}, '%Y%m%d') as date) "
-        f"when regexp_matches({s}, {lit(SLASH_DATE_RE)}) then coalesce(cast(try_strptime({s}, '%m/%d/%Y') as date), "
-        f"cast(try_strptime({s}, '%d/%m/%Y') as date)) "
-        f"when regexp_matches({s}, {lit(MONTH_NAME_RE)}) then cast(try_strptime({s}, '%B %d, %Y') as date) end)"
+        f"(case when regexp_matches({s}, {lit(stamp)}) then try_cast(substr({s}, 1, 10) as date) "
+        f"when regexp_matches({s}, '^\\d{{8}}$') then {ymd(f'substr({s}, 1, 4)', f'substr({s}, 5, 2)', f'substr({s}, 7, 2)')} "
+        f"when regexp_matches({s}, {lit(year_first)}) and {part(year_first, 2)} = {part(year_first, 4)} then {ymd(part(year_first, 1), part(year_first, 3), part(year_first, 5))} "
+        f"when regexp_matches({s}, {lit(year_last)}) and {part(year_last, 2)} = {part(year_last, 4)} then coalesce({ymd(y, a, b)}, {ymd(y, b, a)}) "
+        f"when regexp_matches({s}, {lit(named_first)}) then {ymd(part(named_first, 3), named(part(named_first, 1)), part(named_first, 2))} "
+        f"when regexp_matches({s}, {lit(named_second)}) then {ymd(part(named_second, 3), named(part(named_second, 2)), part(named_second, 1))} end)"
     )
 
 
@@ -67,7 +84,7 @@ def iso(d: str) -> str:
 
 
 def with_(*ctes: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n"
+    return "with recursive " + ",\n".join(ctes) + "\n"
 
 
 NIGHTS = f"nights as (\n{night_view_sql('events')}\n)"
@@ -155,12 +172,30 @@ def dbl(x: float) -> str:
 
 
 def folds_ctes(k: int) -> list[str]:
-    """``folds`` (participant_id, n_rows, fold) and ``wf`` (train + fold): serpentine deal."""
+    """``folds`` (participant_id, n_rows, fold) and ``wf`` (train + fold).
+
+    Participants with over 1/(100 k) of the rows go one by one to the fold with
+    the fewest rows; the others fill the room up to a common level in order.
+    """
+    zeros = ", ".join(["0"] * k)
     return [
         "pc as (select participant_id, count(*) as n_rows from train group by participant_id)",
-        "pr as (select participant_id, n_rows, row_number() over (order by n_rows desc, participant_id) - 1 as r0 from pc)",
-        f"folds as (select participant_id, n_rows, cast(1 + case when (r0 // {k}) % 2 = 0 then r0 % {k} "
-        f"else {k - 1} - r0 % {k} end as integer) as fold from pr)",
+        "tot as (select coalesce(sum(n_rows), 0) as n from pc)",
+        f"big as (select participant_id, n_rows, row_number() over (order by n_rows desc, participant_id) as i from pc, tot where n_rows * {100 * k} > n)",
+        f"deal(i, participant_id, n_rows, fold, held) as (select cast(0 as bigint), cast(null as varchar), cast(0 as bigint), cast(0 as bigint), [{zeros}]::bigint[] "
+        "union all select big.i, big.participant_id, big.n_rows, cast(list_position(held, list_min(held)) as bigint), "
+        "list_transform(held, lambda x, p: case when p = list_position(held, list_min(held)) then x + big.n_rows else x end) "
+        "from deal join big on big.i = deal.i + 1)",
+        f"bins as (select unnest(range(1, {k + 1})) as f, unnest((select held from deal order by i desc limit 1)) as h)",
+        "little as (select n - (select sum(n_rows) from deal) as s from tot)",
+        # The level at which the room of all folds together takes the small participants' rows.
+        "lev as (select max(l) as l from (select h, (s + sum(h) over (order by h, f rows unbounded preceding)) / count(*) over (order by h, f rows unbounded preceding) as l, "
+        "lead(h) over (order by h, f) as nx from bins, little) where l >= h and (nx is null or l <= nx))",
+        "room as (select f, sum(greatest(0, l - h)) over (order by f) as e from bins, lev)",
+        "sm as (select participant_id, n_rows, coalesce(sum(n_rows) over (order by n_rows desc, participant_id rows between unbounded preceding and 1 preceding), 0) as b "
+        f"from pc, tot where n_rows * {100 * k} <= n)",
+        "folds as (select participant_id, n_rows, cast(fold as integer) as fold from deal where i > 0 union all "
+        f"select participant_id, n_rows, cast(1 + (select count(*) from room where f < {k} and b >= e - 1e-6) as integer) from sm)",
         "wf as (select t.*, f.fold from train t join folds f using (participant_id))",
     ]
 
@@ -253,13 +288,13 @@ def band_sql(p: str) -> str:
     return f"(case {whens} else {lit(K.EFFICIENCY_BAND_LOWEST)} end)"
 
 
-def label_sql() -> str:
+def label_sql(row: str = "source_index") -> str:
     pid, email = strip("participant_id"), strip("email")
     masked = (f"case when contains({email}, '@') then substr(split_part({email}, '@', 1), 1, 2) || '***@' || "
               f"substr({email}, instr({email}, '@') + 1) else substr({email}, 1, 2) || '***' end")
     ident = f"case when {pid} <> '' then {pid} when {email} <> '' then {masked} end"
     return (f"concat_ws({lit(K.LABEL_SEPARATOR)}, {ident}, {iso(parse_date('date'))}, "
-            f"'Row ' || cast(source_index + 2 as varchar))")
+            f"'Row ' || cast({row} + 2 as varchar))")
 
 
 def batch_ctes(k: int = K.DEFAULT_SPLITS, with_mae: bool = True) -> list[str]:
@@ -356,3 +391,57 @@ def payload_sql() -> str:
         "rem_sleep_percent_f as rem_sleep_percent, coalesce(fac.lowering, '') as factors_lowering, "
         "coalesce(fac.increasing, '') as factors_increasing, coalesce(all_warnings_text, '') as data_quality_warnings "
         "from sc left join fac using (source_index) where sc.err is null")
+
+
+def _spelled() -> str:
+    """FIXED VALUES: a date of ``events`` in thirteen spellings by event_id, in SQL that both engines read alike."""
+    y, m, d = (f"cast({f}(ts) as string)" for f in ("year", "month", "day"))
+    mm, dd = (f"lpad({x}, 2, '0')" for x in (m, d))
+    full = "case month(ts) " + " ".join(f"when {i + 1} then '{n.capitalize()}'" for i, n in enumerate(MONTHS)) + " end"
+    forms = [f"{y}, '-', {m}, '-', {d}", f"{y}, '/', {mm}, '/', {dd}", f"{d}, ' ', substr({full}, 1, 3), ' ', {y}", f"substr({full}, 1, 3), ' ', {d}, ', ', {y}",
+             f"{full}, ' ', {dd}, ', ', {y}", f"{dd}, '.', {mm}, '.', {y}", f"{mm}, '-', {dd}, '-', {y}", f"{m}, '/', {d}, '/', {y}", f"{d}, '/', {m}, '/', {y}",
+             f"{y}, {mm}, {dd}", f"{y}, '-', {mm}, '-', {dd}, 'T08:30:00Z'", f"{d}, ' Foo ', {y}", f"{y}, '-', {mm}, '/', {dd}"]
+    return "case event_id % 13 " + " ".join(f"when {i} then concat({f})" for i, f in enumerate(forms)) + " end"
+
+
+SPELLED_DATE = _spelled()
+
+
+def tree_attribution_sql() -> str:
+    """Base, contributions and prediction of the fixed ensemble, each leaf's Shapley values written out by their definition."""
+    from itertools import combinations
+
+    base, parts = [], {f: [] for f in K.MODEL_FEATURES}
+
+    def walk(node, weight, path):
+        if len(node) == 2:
+            value, names = weight * node[0], list(path)
+            z = {f: math.prod(r for _, r in path[f]) for f in names}
+            one = {f: "(case when " + " and ".join(c for c, _ in path[f]) + " then 1.0 else 0.0 end)" for f in names}
+            base.append(f"({dbl(value)}" + "".join(f" * {dbl(z[f])}" for f in names) + ")")
+            for f in names:
+                rest = [g for g in names if g != f]
+                terms = []
+                for n in range(len(rest) + 1):
+                    c = math.factorial(n) * math.factorial(len(names) - n - 1) / math.factorial(len(names))
+                    for chosen in combinations(rest, n):
+                        terms.append(" * ".join([dbl(c), *(one[g] if g in chosen else dbl(z[g]) for g in rest)]))
+                parts[f].append(f"{dbl(value)} * ({one[f]} - {dbl(z[f])}) * ({' + '.join(terms)})")
+            return
+        feature, threshold, left, right = node
+        rows = {id(x): _rows(x) for x in (left, right)}
+        for child, sign in ((left, "<="), (right, ">")):
+            step = (f"coalesce({feature}_f, 0.0) {sign} {dbl(threshold)}", rows[id(child)] / (rows[id(left)] + rows[id(right)]))
+            walk(child, weight, {**path, feature: [*path.get(feature, []), step]})
+
+    for tree, weight in zip(K.FIXED_TREES, K.FIXED_TREE_WEIGHTS):
+        walk(tree, weight, {})
+    shap = {f: " + ".join(p) if p else "0.0" for f, p in parts.items()}
+    cols = ", ".join(f"{x} as shap_{f}" for f, x in shap.items())
+    total = "base_value + " + " + ".join(f"shap_{f}" for f in K.MODEL_FEATURES)
+    return (with_(NIGHTS, *features_ctes("nights", "feat"), f"a as (select source_index, {' + '.join(base)} as base_value, {cols} from feat)")
+            + f"select *, {total} as predicted_efficiency from a")
+
+
+def _rows(node) -> float:
+    return float(node[1]) if len(node) == 2 else _rows(node[2]) + _rows(node[3])

@@ -8,13 +8,18 @@ all folds are one DataFrame; every metric is an aggregate over it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar import constants as K
-from nightjar.operators.folds import attach_folds, check_participants, fold_overlap, participant_folds
+from nightjar.operators.features import require_rows
+from nightjar.operators.folds import attach_folds, check_participants, fold_overlap, participant_folds, refuse_overlap
 from nightjar.operators.impute import fold_medians
 from nightjar.operators.metrics import cv_summary, fold_metrics, spearman
 from nightjar.operators.model import linear_oof_predictions
@@ -62,14 +67,16 @@ def prediction_columns(scored: DataFrame, predicted: str = "predicted_efficiency
 
 def assign(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS, num_buckets: int | None = None):
     folds = checkpointed(participant_folds(train, n_splits, num_buckets=num_buckets), "folds")
-    n = check_participants(folds, n_splits)
-    return folds, attach_folds(train, folds, n_participants=n)
+    check_participants(folds, n_splits)
+    with_folds = attach_folds(train, folds)
+    refuse_overlap(fold_overlap(with_folds))
+    return folds, with_folds
 
 
 def cross_validate_linear(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS,
                           num_buckets: int | None = None) -> CVResult:
     # Each intermediate below is read by several later steps: write it once.
-    train = checkpointed(train, "train")
+    train = require_rows(checkpointed(train, "train"))
     folds, wf = assign(train, n_splits, num_buckets)
     med = checkpointed(fold_medians(wf, n_splits, num_buckets=num_buckets), "medians")
     preds = checkpointed(prediction_columns(linear_oof_predictions(wf, med)), "oof")
@@ -91,21 +98,31 @@ def fold_imputation(medians: DataFrame) -> dict[int, dict[str, float | None]]:
 
 
 def cross_validate_gbt(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS,
-                       max_iter: int = K.GBT_PARAMS["n_estimators"], num_buckets: int | None = None) -> CVResult:
-    """One distributed MLlib fit per held-out fold; predictions of all folds unioned."""
+                       max_iter: int = K.GBT_PARAMS["n_estimators"], num_buckets: int | None = None,
+                       estimator: Callable[[], Estimator] | None = None) -> CVResult:
+    """One distributed MLlib fit per held-out fold; predictions of all folds unioned.
+
+    ``estimator`` makes the regressor of a fold (``gbt.VECTOR`` and the target as
+    its columns); by default it is the boosted trees with ``max_iter`` trees. The
+    folds' fits are independent and run side by side.
+    """
     from functools import reduce
 
     from nightjar.operators.gbt import fit_gbt
 
-    train = checkpointed(train, "train")
+    train = require_rows(checkpointed(train, "train"))
     folds, wf = assign(train, n_splits, num_buckets)
     wf = checkpointed(wf, "train_folds")
     med = checkpointed(fold_medians(wf, n_splits, num_buckets=num_buckets), "medians")
     imputation = fold_imputation(med)
-    parts = []
-    for k in range(1, n_splits + 1):
-        scorer = fit_gbt(wf.filter(F.col("fold") != k), imputation.get(k, {}), max_iter=max_iter)
-        parts.append(scorer.predict(wf.filter(F.col("fold") == k)))
+
+
+    def one(k: int) -> DataFrame:
+        scorer = fit_gbt(wf.filter(F.col("fold") != k), imputation.get(k, {}), max_iter=max_iter, estimator=estimator)
+        return scorer.predict(wf.filter(F.col("fold") == k))
+
+    with ThreadPoolExecutor(n_splits) as pool:
+        parts = list(pool.map(inheritable_thread_target(wf.sparkSession)(one), range(1, n_splits + 1)))
     scored = reduce(lambda a, b: a.unionByName(b), parts)
     preds = checkpointed(prediction_columns(scored, "prediction"), "oof")
     return CVResult(wf, folds, med, preds, n_splits)

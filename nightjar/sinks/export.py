@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nightjar import constants as K
 from nightjar.operators.lineage import filter_derived
 from nightjar.operators.report import result_json
+from nightjar.operators.score import input_preview
 
 # FIXED VALUES: part names of the three-part export.
 EXPORT_PARTS = ("Analysis_Results", "Processing_Errors", "Input_Preview")
@@ -23,8 +24,9 @@ def write_batch_export(results: DataFrame, errors: DataFrame, path: str, preview
     """K2: results (rows without error), errors, optional preview of at most 100 rows."""
     parts = [(EXPORT_PARTS[0], filter_derived(results, F.col("error").isNull())), (EXPORT_PARTS[1], errors)]
     if preview is not None:
-        parts.append((EXPORT_PARTS[2], preview.orderBy("source_index").limit(K.MAX_BATCH_RECORDS)
-                       if "source_index" in preview.columns else preview.limit(K.MAX_BATCH_RECORDS)))
+        if "source_index" not in preview.columns:
+            raise ValueError("The preview needs source_index, which says what its first rows are.")
+        parts.append((EXPORT_PARTS[2], input_preview(preview)))
     written = []
     for name, df in parts:
         writer = df.write.mode(mode)
@@ -46,4 +48,6 @@ def save_evaluation_outputs(path: str, summary: DataFrame, fold_metrics: DataFra
     """K4: metrics JSON, fold-metric CSV and a six-column prediction CSV."""
     summary.coalesce(1).write.mode(mode).json(f"{path}/evaluation")
     fold_metrics.coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/fold_metrics")
+    if "source_index" in predictions.columns:  # files in the order of the source rows
+        predictions = predictions.orderBy("source_index")
     predictions.select(*K.OOF_COLUMNS).write.mode(mode).option("header", True).csv(f"{path}/test_predictions")

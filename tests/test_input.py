@@ -1,32 +1,73 @@
+"""Reading tables, column names, record labels."""
+
+import json
+
 import pytest
-from conftest import text_frame
+from conftest import GOOD_NIGHT, text_frame
+from pyspark.sql import functions as F
 
-from nightjar.operators.score import record_label
+from nightjar import constants as K
+from nightjar.operators.model import LinearScorer
+from nightjar.operators.score import batch_results, record_label, score_nights
 from nightjar.sources.nights import DuplicateColumnError, normalise_column_name, normalise_columns, read_nights
 
 
-def test_column_normalisation_aliases_and_duplicates(spark):
-    df = spark.createDataFrame([(1.0, 2.0, 3.0)], [" HR Average ", "HRV", "REM-Seconds"])
-    assert normalise_columns(df).columns == ["hr_average", "rmssd", "rem"]
-    with pytest.raises(DuplicateColumnError, match="rmssd"):
-        normalise_columns(spark.createDataFrame([(1.0, 2.0)], ["HRV", "rmssd"]))
-    assert normalise_column_name("  Total_Sleep--Seconds ") == "total"
+@pytest.mark.parametrize("header, name", [("Lowest HR", "hr_lowest"), ("\tLOWEST-hr ", "hr_lowest"), ("Onset--Latency", "onset_latency"), ("__Efficiency_", "efficiency"), ("my Own  column", "my_own_column")])
+def test_header_words(header, name):
+    assert normalise_column_name(header) == name
+
+
+def test_headers_of_one_meaning_are_refused(spark):
+    frame = spark.createDataFrame([(1, 2, 3, 4, 5)], ["Deep Seconds", "Lowest-HR", "deep", "hr_lowest", "x"])
+    with pytest.raises(DuplicateColumnError, match="deep, hr_lowest"):
+        normalise_columns(frame)
+    assert normalise_columns(frame.select("Deep Seconds", "hr_lowest", "x")).columns == ["deep", "hr_lowest", "x"]
+
+
+def test_record_labels(spark):
+    who = [("S 7", "x@mail.test"), (None, "walker@mail.test"), ("", "ab"), (None, None), (" ", " ")]
+    rows = [{**GOOD_NIGHT, "participant_id": p, "email": e, "date": "n/a" if i == 1 else GOOD_NIGHT["date"]} for i, (p, e) in enumerate(who)]
+    frame = text_frame(spark, rows, extra_columns=["participant_id", "email"])
+    assert [r[0] for r in frame.orderBy("source_index").select(record_label(frame)).collect()] == [
+        "S 7 — 2023-11-05 — Row 2", "wa***@mail.test — Row 3", "ab*** — 2023-11-05 — Row 4", "2023-11-05 — Row 5", "2023-11-05 — Row 6"]
+
+
+def tables(spark, tmp_path, rows):
+    names = list(GOOD_NIGHT) + ["participant_id", "email", "efficiency"]
+    full = [{n: r.get(n) for n in names} for r in rows]
+    for part in (0, 1):  # two files, in order of their names
+        own = full[part * 3:part * 3 + 3]
+        lines = [",".join(names)] + [",".join("" if v is None else str(v) for v in r.values()) for r in own]
+        for kind, text in (("csv", "\n".join(lines)), ("json", "\n".join(json.dumps({k: None if v is None else str(v) for k, v in r.items()}) for r in own))):
+            (tmp_path / kind).mkdir(exist_ok=True)
+            (tmp_path / kind / f"part-{part}.{kind}").write_text(text + "\n")
+        frame = spark.createDataFrame([[None if v is None else str(v) for v in r.values()] for r in own], ", ".join(f"{n} string" for n in names))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "parquet" / f"part={part}"))
+    return {kind: str(tmp_path / kind) for kind in ("csv", "json", "parquet")}
 
 
-def test_stable_labels(spark, valid_record):
-    rows = [{**valid_record, "participant_id": "P39", "email": None},
-            {**valid_record, "participant_id": None, "email": "person@example.test", "date": "bad"},
-            {**valid_record, "participant_id": "  ", "email": "xy"}]
-    df = text_frame(spark, rows, extra_columns=["participant_id", "email"])
-    got = [r[0] for r in df.select(record_label(df)).collect()]
-    assert got == ["P39 — 2020-06-18 — Row 2", "pe***@example.test — Row 3", "xy*** — 2020-06-18 — Row 4"]
+def test_a_read_table_can_be_scored(spark, tmp_path):
+    rows = [{**GOOD_NIGHT, "participant_id": f"S{i}", "rmssd": "NA" if i == 4 else 50 + i} for i in range(6)]
+    scorer = LinearScorer(medians={f: 0.0 for f in K.MODEL_FEATURES})
+    for kind, path in tables(spark, tmp_path, rows).items():
+        nights = read_nights(spark, path, kind).drop("part")
+        assert nights.columns[0] == "source_index", kind
+        out = batch_results(score_nights(nights, scorer), None).orderBy("source_row").collect()
+        assert [(r["source_row"], r["participant_id"]) for r in out] == [(i + 2, f"S{i}") for i in range(6)], kind
+        assert [r["error"] is None for r in out] == [True] * 4 + [False, True], kind
 
 
-def test_read_nights_missing_path_and_csv(spark, tmp_path, valid_record):
+def test_text_cells_and_schemas(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        read_nights(spark, str(tmp_path / "missing.parquet"))
-    path = tmp_path / "nights.csv"
-    path.write_text("date,rmssd,total\n2020-06-18,NA,27000\n,34,\n")
-    df = read_nights(spark, str(path), fmt="csv")
-    rows = df.collect()
-    assert rows[0]["rmssd"] is None and rows[1]["date"] is None and rows[1]["rmssd"] == "34"
+        read_nights(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(ValueError, match="Unsupported"):
+        read_nights(spark, str(tmp_path), "xls")
+    (tmp_path / "a.csv").write_text("total,date\n7,n/a\n,2023-11-05\n")
+    cells = read_nights(spark, str(tmp_path / "a.csv"), "csv").orderBy("source_index").collect()
+    assert [tuple(r) for r in cells] == [(0, "7", None), (1, None, "2023-11-05")]
+    (tmp_path / "a.json").write_text('{"total": 7, "date": "x"}\n{"total": "8h", "late": 1}\n')
+    rows = read_nights(spark, str(tmp_path / "a.json"), "jsonl").orderBy("source_index").collect()
+    assert [(r["total"], r["date"]) for r in rows] == [("7", "x"), ("8h", None)]
+    typed = read_nights(spark, str(tmp_path / "a.json"), "json", schema="total string, late int")
+    assert dict(typed.dtypes) == {"source_index": "bigint", "total": "string", "late": "int"}
+    assert typed.filter(F.col("late") == 1).count() == 1

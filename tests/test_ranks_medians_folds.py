@@ -60,7 +60,8 @@ def grouped_rows(spark):
 def test_folds_are_disjoint_and_balanced(spark, buckets):
     rows = grouped_rows(spark)
     folds = participant_folds(rows, 3, num_buckets=buckets)
-    wf = attach_folds(rows, folds, n_participants=check_participants(folds, 3))
+    check_participants(folds, 3)
+    wf = attach_folds(rows, folds)
     sizes = wf.groupBy("fold").count().toPandas().set_index("fold")["count"]
     assert sorted(sizes.index) == [1, 2, 3] and set(sizes) == {6}
     ov = fold_overlap(wf).toPandas()
@@ -76,6 +77,15 @@ def test_fold_assignment_invariant_to_buckets(spark):
     assert a.equals(b)
 
 
+@pytest.mark.parametrize("sizes, k", [([2000] + [10] * 800, 5), ([3000, 500, 500] + [1] * 5000, 3), ([700, 600, 500, 400] + [3] * 1000, 4), ([1] * 3001, 5)])
+def test_folds_are_level_beside_a_giant_participant(spark, sizes, k):
+    rows = spark.createDataFrame([(f"p{i}", n) for i, n in enumerate(sizes)], "participant_id string, n int").selectExpr("participant_id", "explode(sequence(1, n)) as j")
+    folds = participant_folds(rows, k).toPandas()
+    assert len(folds) == len(sizes) and sorted(folds["n_rows"]) == sorted(sizes) and set(folds["fold"]) == set(range(1, k + 1))
+    held = folds.groupby("fold")["n_rows"].sum()
+    assert held.max() - held.min() <= 0.02 * sum(sizes) / k or sizes[0] > sum(sizes) / k and held.max() == sizes[0]
+
+
 def test_too_few_participants(spark):
     rows = grouped_rows(spark)
     with pytest.raises(GroupedValidationError, match="at least 7 participants; found 6"):

@@ -35,17 +35,18 @@ def test_report_status_variants(spark, valid_record):
 def test_non_numeric_actual_fails_the_row(spark, valid_record):
     out = run(spark, [{**valid_record, "efficiency": "abc", "participant_id": "P1"}])
     assert out[0]["error"] == "could not convert string to float: 'abc'"
-    assert out[0]["participant_id"] == "P1" and out[0]["date"] == "2020-06-18"
+    assert out[0]["participant_id"] == "P1" and out[0]["date"] == "2023-11-05"
 
 
 def test_linear_prediction_and_main_factors(spark, valid_record):
     out = run(spark, [{**valid_record, "efficiency": 84}])[0]
-    expect = 85 + (-0.002) * (1500 - 1800) + (-0.05) * (42 - 60) + (-0.10) * (67.2 - 67) + 0.04 * (34 - 60) \
-        + 0.15 * (20.0 - 20) + 0.10 * (70 / 3 - 20) + (-1.5) * (0.08 - 0.5)
+    night = {**valid_record, "rem_sleep_percent": 22.5, "deep_sleep_percent": 15.0}
+    parts = {f: c * (night[f] - centre) for f, (c, centre) in K.LINEAR_COEFFICIENTS.items()}
+    expect = K.LINEAR_BASE + sum(parts.values())
     assert out["predicted_efficiency"] == pytest.approx(expect)
     assert out["absolute_error"] == pytest.approx(abs(expect - 84))
-    assert out["main_lowering_factor"] == "heart-rate variability"
-    assert out["main_increasing_factor"] == "restlessness"
+    assert out["main_lowering_factor"] == K.FEATURE_LABELS[min(parts, key=parts.get)]
+    assert out["main_increasing_factor"] == K.FEATURE_LABELS[max(parts, key=parts.get)]
 
 
 def test_band_thresholds(spark):

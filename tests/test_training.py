@@ -1,38 +1,59 @@
-import numpy as np
+from datetime import date, timedelta
+
 import pandas as pd
+import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from nightjar import constants as K
-from nightjar.operators.gbt import load_bundle
+from nightjar.operators.features import PreprocessingError
+from nightjar.operators.folds import GroupedValidationError, fold_overlap, refuse_overlap
+from nightjar.operators.gbt import VECTOR, load_bundle
 from nightjar.operators.metrics import METRIC_NAMES
 from nightjar.operators.model import LinearScorer
 from nightjar.plans.training import cross_validate_gbt, summary_dict, train_and_save
 
 
-def grouped_fixture(spark):
-    rng = np.random.default_rng(42)
-    groups = [f"p{i}" for i in range(6) for _ in range(3)]
-    pdf = pd.DataFrame(rng.normal(size=(18, len(K.MODEL_FEATURES))), columns=K.MODEL_FEATURES)
-    pdf["efficiency"] = 85 + pdf["rmssd"] * 2 + rng.normal(0, 0.1, 18)
-    pdf["participant_id"] = groups
-    pdf["date"] = pd.date_range("2020-01-01", periods=18).date
-    return spark.createDataFrame(pdf)
+def sleepers(spark, nights=(9, 2, 2, 2, 2, 1)):
+    """Nights of several people, the first with half of them; efficiency follows two features."""
+    rows = []
+    for person, n in enumerate(nights):
+        for k in range(n):
+            x = {f: float((person * 31 + k * 17 + i * 7) % 23) / 23 for i, f in enumerate(K.MODEL_FEATURES)}
+            rows.append({"participant_id": f"S{person}", "date": date(2023, 1, 1) + timedelta(days=len(rows)), **x, "efficiency": 70 + 9 * x["deep_sleep_percent"] - 4 * x["restless"]})
+    return spark.createDataFrame(pd.DataFrame(rows))
 
 
-def test_grouped_validation_has_no_participant_overlap_and_required_outputs(spark):
-    res = cross_validate_gbt(grouped_fixture(spark), n_splits=3, max_iter=3)
-    folds = res.fold_metrics().toPandas()
-    assert (folds["participant_overlap_count"] == 0).all() and sorted(folds["fold"]) == [1, 2, 3]
-    summary = summary_dict(res.summary())
-    for metric in METRIC_NAMES:
-        assert metric in summary and f"{metric}_mean" in summary and f"{metric}_std" in summary
+def test_every_person_is_predicted_by_models_that_never_saw_them(spark):
+    data = sleepers(spark)
+    result = cross_validate_gbt(data, n_splits=3, max_iter=3)
+    per_person = result.predictions.groupBy("participant_id").agg(F.countDistinct("fold").alias("folds"), F.count("*").alias("n")).collect()
+    assert {r["participant_id"]: (r["folds"], r["n"]) for r in per_person} == {f"S{i}": (1, n) for i, n in enumerate((9, 2, 2, 2, 2, 1))}
+    per_fold = result.fold_metrics().collect()
+    assert sorted(r["number_of_rows"] for r in per_fold) == [4, 5, 9] and {r["participant_overlap_count"] for r in per_fold} == {0}
+    summary = summary_dict(result.summary())
     assert summary["n_splits"] == 3 and summary["validation"] == K.VALIDATION_NAME
-    assert res.predictions.columns == K.OOF_COLUMNS
-    assert res.predictions.count() == 18
+    assert {f"{m}{end}" for m in METRIC_NAMES for end in ("", "_mean", "_std")} <= set(summary)
+    assert result.predictions.columns == K.OOF_COLUMNS
+
+
+def test_another_estimator_and_no_rows(spark):
+    data = sleepers(spark)
+    result = cross_validate_gbt(data, n_splits=2, estimator=lambda: LinearRegression(featuresCol=VECTOR, labelCol="efficiency"))
+    assert result.mae_metrics()["mae"] < 1e-6
+    with pytest.raises(PreprocessingError, match="No valid training rows"):
+        cross_validate_gbt(data.limit(0), n_splits=2)
+
+
+def test_people_on_both_sides_are_refused(spark):
+    mixed = spark.createDataFrame([("S1", 1), ("S1", 2), ("S2", 2)], "participant_id string, fold int")
+    with pytest.raises(GroupedValidationError, match="both parts"):
+        refuse_overlap(fold_overlap(mixed))
+    assert refuse_overlap(fold_overlap(mixed.filter("participant_id = 'S2'"))).count() == 1
 
 
 def test_train_and_save_writes_a_loadable_bundle(spark, tmp_path):
-    scorer, _ = train_and_save(grouped_fixture(spark), str(tmp_path / "model"), n_splits=3, max_iter=3)
+    scorer, _ = train_and_save(sleepers(spark), str(tmp_path / "model"), n_splits=3, max_iter=3)
     meta = spark.read.json(str(tmp_path / "model" / "bundle")).collect()[0]
     assert (meta["training_rows"], meta["training_participants"]) == (18, 6)
     assert meta["model_version"] == K.MODEL_VERSION and list(meta["feature_names"]) == K.MODEL_FEATURES
