@@ -23,8 +23,8 @@ the best k leave a task.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, neither as queries nor as candidates; nor do those
 whose length is not the commonest one; ids that are null take no part; rows
-with one id are candidates of their own, a query with that id skips them, and the
-smallest of their vectors asks;
+with one id are candidates of their own if their vectors score differently, a
+query with that id skips them, and the smallest of their vectors asks;
 fewer than k candidates found in the visited lists are all returned; ties go to
 the smaller id; an empty table gives no rows; other columns are not read.
 """
@@ -96,8 +96,9 @@ def _nearest(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """What every task needs: rotation, centres, the common length and the sample in rotated form."""
 
-    def __init__(self, sample: np.ndarray, n_rows: int, longest: float, k: int):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, n_rows: int, longest: float, k: int):
         self.d, self.k, self.longest = sample.shape[1], k, longest
+        self.sample_ids, self.sample_vectors = ids, sample
         self.turn = rotation(self.d + 1)
         self.sample = self.rotated(sample, False)
         lists = max(1, min(MAX_LISTS, math.ceil(n_rows / LIST), len(sample)))
@@ -113,17 +114,18 @@ class Index:
             last = np.sqrt(np.maximum(0, self.longest ** 2 - lengths ** 2))
         return np.column_stack([vectors, last]) @ self.turn
 
-    def first_bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Squared distance within which k others surely lie (one more, for the query itself), from the sample."""
-        if len(self.sample) <= self.k:
-            return np.full(len(queries), np.inf)
-        out = np.zeros(len(queries))
+    def in_sample(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k + 1 nearest of the sample (one more, for the query itself), and the squared distance within which they lie."""
+        n = min(self.k + 1, len(self.sample))
+        rows, bounds = np.zeros((len(queries), n), np.int64), np.full(len(queries), np.inf)
         own = (self.sample ** 2).sum(1)
         for i in range(0, len(queries), 1024):
             q = queries[i:i + 1024]
             far = own - 2 * (q @ self.sample.T) + (q ** 2).sum(1)[:, None]
-            out[i:i + 1024] = np.partition(far, self.k, axis=1)[:, self.k]
-        return np.maximum(out, 0) * (1 + 1e-9) + 1e-9 * self.longest ** 2
+            rows[i:i + 1024] = np.argpartition(far, n - 1, axis=1)[:, :n]
+            if n > self.k:
+                bounds[i:i + 1024] = np.take_along_axis(far, rows[i:i + 1024], 1).max(1)
+        return rows, np.maximum(bounds, 0) * (1 + 1e-9) + 1e-9 * self.longest ** 2
 
 
 def scan(query: np.ndarray, columns: list[np.ndarray], bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +173,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBE
     base = good.filter(F.size("v") == d)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = float(base.agg(F.max(norm)).first()[0])
-    chosen = base.select("v").orderBy(F.xxhash64("id", "v", F.lit(SEED))).limit(SAMPLE).toArrow()
-    index = vectors.sparkSession.sparkContext.broadcast(Index(_matrix(chosen.column("v"), d), n_rows, longest, k))
+    chosen = base.select("id", "v").orderBy(F.xxhash64("id", "v", F.lit(SEED)), "id").limit(SAMPLE).toArrow()
+    index = vectors.sparkSession.sparkContext.broadcast(Index(chosen.column("id").to_numpy(), _matrix(chosen.column("v"), d), n_rows, longest, k))
 
     def place(batches):
         own = index.value
@@ -188,7 +190,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBE
             near = _nearest(q, own.centres, probes)
             row = np.repeat(np.arange(len(q)), near.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)),
-                                              pa.array(own.first_bounds(q)[row])], ["list", "id", "v", "bound"])
+                                              pa.array(own.in_sample(q)[1][row])], ["list", "id", "v", "bound"])
+
+    def ask_sample(batches):
+        own = index.value
+        for batch in batches:
+            q, ids = _matrix(batch.column("v"), d), batch.column("id").to_numpy()
+            rows, _ = own.in_sample(own.rotated(q, True))
+            score = np.stack([exact_products(x, own.sample_vectors[r]) for x, r in zip(q, rows)]) if len(q) else np.zeros(rows.shape)
+            asked_by = np.repeat(ids, rows.shape[1])
+            other = own.sample_ids[rows.ravel()] != asked_by
+            yield pa.RecordBatch.from_arrays([pa.array(asked_by[other]), pa.array(own.sample_ids[rows.ravel()][other]), pa.array(score.ravel()[other])], ["query_id", "vec_id", "score"])
 
     lists = materialize(base.select("id", "v").mapInArrow(place, "list int, id bigint, v array<double>"), "ann-lists")
     asking = base.filter("q").groupBy("id").agg(F.min("v").alias("v"))
@@ -222,5 +234,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBE
 
     keys = ["list", "cell", "grp"]
     found = held.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    # The sample's nearest are known anyway; they stand in for lists that are not visited.
+    found = found.union(asking.mapInArrow(ask_sample, "query_id bigint, vec_id bigint, score double")).distinct()
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
