@@ -6,7 +6,7 @@ Vectors are then turned by a seeded random rotation, which spreads every
 vector's length evenly over the dimensions, so the first d of D dimensions give
 an estimate of a distance that is off by a known amount. k-means centres, fitted
 on a bounded sample, deal all vectors to lists; a query visits its nearest
-lists. Inside a list vectors lie in blocks of columns: distances are summed
+lists, as many as trial queries within the sample need to find their neighbours. Inside a list vectors lie in blocks of columns: distances are summed
 block by block, and after each block a hypothesis test drops the candidates
 whose partial distance is already too large for their full distance to be below
 the query's bound. The bound starts at the query's k-th distance within the
@@ -46,9 +46,10 @@ QUERY_STEP = 20
 #: Vectors that fit the centres and give the first bounds, at most.
 SAMPLE = 16_384
 #: Vectors in a list, about, as long as there are at most MAX_LISTS lists.
-LIST = 256
+LIST = 512
 MAX_LISTS = 4096
-PROBES = 24
+#: Sampled queries that set how many lists a query visits, and the share of their neighbours that these lists must hold.
+TRIALS, COVERED = 256, 0.96
 CELL = 4096
 #: Dimensions of a column block.
 STEP = 16
@@ -103,6 +104,17 @@ class Index:
         self.sample = self.rotated(sample, False)
         lists = max(1, min(MAX_LISTS, math.ceil(n_rows / LIST), len(sample)))
         self.centres = _centres(self.sample, lists)
+        self.probes = self._probes()
+
+    def _probes(self) -> int:
+        """The fewest lists that hold COVERED of the trial queries' k nearest in the sample."""
+        rows = np.random.default_rng(SEED).permutation(len(self.sample))[:TRIALS]
+        queries = self.rotated(self.sample_vectors[rows], True)
+        near = self.in_sample(queries)[0]
+        home = _nearest(self.sample, self.centres, 1)[:, 0]
+        place = np.argsort(_nearest(queries, self.centres, len(self.centres)), axis=1)
+        ranks = np.take_along_axis(place, home[near], 1)[near != rows[:, None]]
+        return int(np.quantile(ranks, COVERED, method="higher")) + 1 if len(ranks) else 1
 
     def rotated(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
         """With queries scaled to the common length, which leaves the order of their products as it is."""
@@ -161,7 +173,7 @@ def _matrix(column, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row with ``is_query``."""
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     good = named.filter(F.col("id").isNotNull() & usable(F.col("v")))
@@ -187,7 +199,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int = PROBE
         own = index.value
         for batch in batches:
             q = own.rotated(_matrix(batch.column("v"), d), True)
-            near = _nearest(q, own.centres, probes)
+            near = _nearest(q, own.centres, probes or own.probes)
             row = np.repeat(np.arange(len(q)), near.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)),
                                               pa.array(own.in_sample(q)[1][row])], ["list", "id", "v", "bound"])
