@@ -17,11 +17,12 @@ always being in one class.
    Similarity 0.8 meets in some band with probability 0.9998. Shingles that no
    other text has are sampled as stand-ins of the same weight, which changes
    nothing, as they can't agree with another text.
-4. Texts of a band meet first in a star around its first text and along its
-   order; candidates are verified on their whole weighted shingle sets, and
-   components are formed. Then texts of one band that are still in different
-   components are compared with each other, so that no candidate pair across
-   components stays untested, while a group of near copies costs a star.
+4. A text first meets one text, the least of the first texts of its bands; then,
+   while a band holds texts of different components, these meet the band's first
+   text, and last each other. Pairs that can't reach the threshold for the weight
+   that either holds alone are left out; the others are verified on their whole
+   weighted shingle sets. No candidate pair across components stays untested, while a
+   group of near copies costs a pair a text.
 
 Skew and memory: copies in a block are one text with a count; a shingle in one
 document of sixteen of a block is hot: only its count goes to its bucket, its
@@ -251,7 +252,7 @@ def bands(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "digest binary, total double, bands array<bigint>, shared binary, steps binary"
+SKETCH = "digest binary, total double, alone double, bands array<bigint>, shared binary, steps binary"
 
 
 def _sketch(n_docs: int, threshold: float):
@@ -273,8 +274,8 @@ def _sketch(n_docs: int, threshold: float):
                 text.append(np.frombuffer(r["texts"], "<u2"))
             h.append(np.repeat(values, units))
             step.append(np.repeat(steps.astype(np.uint8), units))
-        empty = {"digest": [], "total": [], "bands": [], "shared": [], "steps": []}
-        schema = pa.schema([("digest", pa.binary()), ("total", pa.float64()), ("bands", pa.list_(pa.int64())), ("shared", pa.binary()), ("steps", pa.binary())])
+        empty = {"digest": [], "total": [], "alone": [], "bands": [], "shared": [], "steps": []}
+        schema = pa.schema([("digest", pa.binary()), ("total", pa.float64()), ("alone", pa.float64()), ("bands", pa.list_(pa.int64())), ("shared", pa.binary()), ("steps", pa.binary())])
         if not h:
             return pa.table(empty, schema=schema)
         h, text, step = mix(np.concatenate(h)) & U((1 << KEPT_BITS) - 1), np.concatenate(text).astype(np.int64), np.concatenate(step)
@@ -307,7 +308,7 @@ def _sketch(n_docs: int, threshold: float):
         order = np.argsort(el_t, kind="stable")
         keys = bands(samples(el_h[order], el_w[order], np.searchsorted(el_t[order], np.arange(len(which)))))
         wide = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BITS // 8]
-        return pa.table({"digest": pa.array(digests, pa.binary()), "total": total[which], "bands": pa.array(list(keys), pa.list_(pa.int64())),
+        return pa.table({"digest": pa.array(digests, pa.binary()), "total": total[which], "alone": (rest * lone)[which], "bands": pa.array(list(keys), pa.list_(pa.int64())),
                          "shared": pa.array([wide[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                          "steps": pa.array([step[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())}, schema=schema)
 
@@ -379,23 +380,37 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counted = slim.mapInArrow(_gather(buckets), ddl(ROW)).groupBy("bucket").applyInArrow(lambda group: _frequencies(group, buckets), ddl(ROW))
     sketched = counted.groupBy("block").applyInArrow(_sketch(n_docs, threshold), SKETCH)
     sketches = materialize(sketched.dropDuplicates(["digest"]), "near-sketches")
-    members = sketches.select("digest", F.posexplode("bands").alias("band", "key"))
+    members = sketches.select("digest", "total", "alone", F.posexplode("bands").alias("band", "key"))
     along = W.partitionBy("band", "key").orderBy("digest")
-    star = F.array_distinct(F.array_compact(F.array(F.first("digest").over(along), F.lag("digest").over(along))))
-    first = materialize(members.withColumn("star", star).select(F.col("digest").alias("x"), F.explode("star").alias("y")).filter("x <> y").distinct(), "near-star")
-    links = _verify(first, sketches, n_docs, threshold)
-    found = components(links)
-    placed = members.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("component"))
-    # Only bands whose texts are in several components go on.
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "key")
-    open_bands = materialize(placed.join(split, ["band", "key"], "left_semi"), "near-open")
-    x, y = open_bands.alias("x"), open_bands.alias("y")
-    across = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") > F.col("y.digest")) & (F.col("x.component") != F.col("y.component")))
-              .select(F.col("x.digest").alias("x"), F.col("y.digest").alias("y")).distinct().join(first, ["x", "y"], "left_anti"))
-    across = materialize(across, "near-across")
-    if across.isEmpty():
-        return found.withColumnRenamed("node", "digest")
-    return components(links.union(_verify(across, sketches, n_docs, threshold))).withColumnRenamed("node", "digest")
+    # First each text meets one text: the least of the first texts of its bands.
+    firsts = members.withColumn("first", F.first("digest").over(along)).groupBy("digest").agg(F.min("first").alias("first"))
+    tested = materialize(firsts.select(F.col("digest").alias("x"), F.col("first").alias("y")).filter("x <> y"), "near-star")
+
+    def may_match(x: str, y: str) -> Column:
+        """What only x or only y of all texts holds is in the union and not in the intersection."""
+        col = lambda side, name: F.col(f"{side}.{name}")
+        most = F.least(col(x, "total") - col(x, "alone"), col(y, "total") - col(y, "alone"))
+        return most >= F.greatest(col(x, "total") + col(y, "alone"), col(y, "total") + col(x, "alone")) * F.lit(threshold * (1 - 1e-9))
+
+    links = _verify(tested, sketches, n_docs, threshold)
+    for step in ("first", "all"):
+        found = components(links)
+        placed = members.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "total", "alone", F.coalesce("component", "digest").alias("component"))
+        # Only bands whose texts are in several components go on: against the band's first text, then all that are still apart.
+        split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("digest", "component", "total", "alone")).alias("lead")).filter("lo <> hi")
+        apart = materialize(placed.join(split.select("band", "key", "lead"), ["band", "key"]), "near-open")
+        if step == "first":
+            pairs = apart.alias("x").filter((F.col("component") != F.col("lead.component")) & may_match("x", "lead")).select(F.col("digest").alias("x"), F.col("lead.digest").alias("y"))
+        else:
+            x, y = apart.alias("x"), apart.alias("y")
+            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") > F.col("y.digest"))
+                           & (F.col("x.component") != F.col("y.component")) & may_match("x", "y")).select(F.col("x.digest").alias("x"), F.col("y.digest").alias("y"))
+        pairs = materialize(pairs.distinct().join(tested, ["x", "y"], "left_anti"), "near-across")
+        if not pairs.isEmpty():
+            tested, links = tested.union(pairs), links.union(_verify(pairs, sketches, n_docs, threshold))
+        elif step == "all":
+            return found.withColumnRenamed("node", "digest")
+    return components(links).withColumnRenamed("node", "digest")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
