@@ -74,7 +74,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def length_partition(size: Column, threshold: float) -> Column:
     """Number of the length partition: similar sets lie in the same or the next one."""
-    return F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold))).cast("int")
+    return F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
 
 
 def _cell(doc_id: Column, borders: list[int]) -> Column:
