@@ -17,9 +17,11 @@ always being in one class.
    Similarity 0.8 meets in some band with probability 0.9998. Shingles that no
    other text has are sampled as stand-ins of the same weight, which changes
    nothing, as they can't agree with another text.
-4. A text first meets one text, the least of the first texts of its bands; then,
-   while a band holds texts of different components, these meet the band's first
-   text, and last each other. Pairs that can't reach the threshold for the weight
+4. The texts of a band are ordered by the share of their weight that no other text
+   has: the original of near copies comes first. A text first meets one text, the
+   first of the first texts of its bands; then, while a band holds texts of
+   different components, these meet the band's first text, random texts of the
+   band in a few rounds, and last each other. Pairs that can't reach the threshold for the weight
    that either holds alone are left out; the others are verified on their whole
    weighted shingle sets. No candidate pair across components stays untested, while a
    group of near copies costs a pair a text.
@@ -53,6 +55,8 @@ THRESHOLD = 0.8
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 IDF_SHARE = 0.5
+#: Rounds in which the texts of a split band meet a random text of it.
+RANDOM_LEADS = 3
 BLOCK_CHARS = 6_000_000
 BLOCK_DOCS = 4096
 HOT_SHARE = 1 / 16
@@ -381,10 +385,12 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketched = counted.groupBy("block").applyInArrow(_sketch(n_docs, threshold), SKETCH)
     sketches = materialize(sketched.dropDuplicates(["digest"]), "near-sketches")
     members = sketches.select("digest", "total", "alone", F.posexplode("bands").alias("band", "key"))
-    along = W.partitionBy("band", "key").orderBy("digest")
-    # First each text meets one text: the least of the first texts of its bands.
-    firsts = members.withColumn("first", F.first("digest").over(along)).groupBy("digest").agg(F.min("first").alias("first"))
-    tested = materialize(firsts.select(F.col("digest").alias("x"), F.col("first").alias("y")).filter("x <> y"), "near-star")
+    # The text with the least of its weight alone is the likeliest original of a group of near copies.
+    members = members.withColumn("rank", F.struct((F.col("alone") / F.col("total")).alias("share"), "digest"))
+    along = W.partitionBy("band", "key").orderBy("rank")
+    # First each text meets one text: the first of the first texts of its bands.
+    firsts = members.withColumn("first", F.first("rank").over(along)).groupBy("digest").agg(F.min("first").alias("first"))
+    tested = materialize(firsts.select(F.col("digest").alias("x"), F.col("first.digest").alias("y")).filter("x <> y"), "near-star")
 
     def may_match(x: str, y: str) -> Column:
         """What only x or only y of all texts holds is in the union and not in the intersection."""
@@ -393,17 +399,21 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return most >= F.greatest(col(x, "total") + col(y, "alone"), col(y, "total") + col(x, "alone")) * F.lit(threshold * (1 - 1e-9))
 
     links = _verify(tested, sketches, n_docs, threshold)
-    for step in ("first", "all"):
+    for step in ("first", *range(1, RANDOM_LEADS + 1), "all"):
         found = components(links)
-        placed = members.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "total", "alone", F.coalesce("component", "digest").alias("component"))
-        # Only bands whose texts are in several components go on: against the band's first text, then all that are still apart.
-        split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("digest", "component", "total", "alone")).alias("lead")).filter("lo <> hi")
+        placed = members.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "rank", "total", "alone", F.coalesce("component", "digest").alias("component"))
+        # Only bands whose texts are in several components go on: against a lead text of the band, last against all that are still apart.
+        order = F.col("rank") if step in ("first", "all") else F.xxhash64("digest", "band", F.lit(step))
+        split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, "digest", "component", "total", "alone")).alias("lead")).filter("lo <> hi")
         apart = materialize(placed.join(split.select("band", "key", "lead"), ["band", "key"]), "near-open")
-        if step == "first":
+        if step != "all":
             pairs = apart.alias("x").filter((F.col("component") != F.col("lead.component")) & may_match("x", "lead")).select(F.col("digest").alias("x"), F.col("lead.digest").alias("y"))
         else:
+            # A pair is made in the first band that it shares, which is split like all that it shares.
+            apart = apart.join(sketches.select("digest", "bands"), "digest")
             x, y = apart.alias("x"), apart.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") > F.col("y.digest"))
+            earlier = F.expr("x.band > 0 and exists(sequence(0, greatest(x.band - 1, 0)), j -> x.bands[j] = y.bands[j])")
+            pairs = x.join(y, ~earlier & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") > F.col("y.digest"))
                            & (F.col("x.component") != F.col("y.component")) & may_match("x", "y")).select(F.col("x.digest").alias("x"), F.col("y.digest").alias("y"))
         pairs = materialize(pairs.distinct().join(tested, ["x", "y"], "left_anti"), "near-across")
         if not pairs.isEmpty():
