@@ -2,17 +2,21 @@
 
 Every element gets a hash of its whole subtree (tag, class, id, texts and child
 hashes in order). One pass counts, per host, on how many pages each subtree
-occurs; a subtree on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's
-pages (``PROSE_SHARE`` if it holds paragraphs or headings) is part of the site's
-template. A second pass deletes template subtrees
+occurs, where pages of equal main text are one page, so copies of an article cast
+one vote; a subtree on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's
+pages (``PROSE_SHARE`` if it holds paragraphs or headings, or lies in an article)
+is part of the site's template. A second pass deletes template subtrees
 from every page, then what its own markup names as something other than the
 article (menus, adverts, forms, comments, ...), and joins what is left as
-blocks of text. Articles themselves, what contains them, and the headings and
-paragraphs inside them are never template: the same article or passage on many
-pages of a host is still content.
-
-Counting: each Arrow batch adds its pages up before the shuffle by (host,
-subtree), so a host with a third of all pages is spread over its subtrees. A
+blocks of text. Articles themselves, what contains them, and the headings,
+paragraphs, lists, tables, figures and marked-up words inside them are never
+template: the same article or passage on many pages of a host is still content.
+Inside one, only a ``div`` or ``section`` with a class or id of its own and none of
+these in it may be.
+
+Counting: the subtrees of a page are written once, packed with the hash of its main
+text; votes are made distinct and added up by (host, subtree), so a host with a
+third of all pages is spread over its subtrees. A
 host has at most (elements of its largest page / SHARE) template subtrees;
 these come to the pages by an equi-join on the host, which Spark broadcasts if
 small and splits when a host is hot. Pages are parsed twice instead of shuffled.
@@ -21,7 +25,7 @@ Defined results: null or empty html has no text ("" and 0 characters); a null
 url, or one without ``://``, belongs to the host "" with others of its kind;
 broken markup is read as browsers do it in outline (open elements end with their
 parent, stray end tags are ignored, a ``<`` that starts no tag is text);
-repeated rows count as pages of their own; an empty table gives no rows; other
+repeated rows are one page to the count and rows of their own in the result; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -30,7 +34,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -38,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.llm.url_filters import host_and_path
+from nightjar.operators.lineage import materialize
 
 LEAST_PAGES = 5
 SHARE = 0.01
@@ -59,9 +63,11 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
 P_SCOPE = frozenset("article aside blockquote body button caption div fieldset figure footer form header html li main nav object section table td th dd".split())
-#: Parts of an article that hold its text; inside one they are never template.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr figcaption b i em strong a span code q cite small sub sup u s br mark abbr time".split())
 HOLDS_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Elements that only group others; inside an article, nothing else is template by its count.
+GROUPS = frozenset("div section".split())
+#: What holds an article's text besides; a group with any of it is never template inside an article.
+HOLDS_TEXT = HOLDS_PROSE | frozenset("ul ol dl li dd dt table caption tr td th figure figcaption details summary math address code kbd samp var del ins".split())
 
 #: Elements that hold no article text.
 NOT_TEXT = frozenset("""aside audio button canvas dialog embed footer form frame frameset head iframe input math menu nav noembed noframes
@@ -87,6 +93,7 @@ class Page:
         self._parts: list[list[bytes]] = []
         self._open: list[int] = []
         self._names: list[bytes] = []
+        self._marked: list[bool] = []  # with a class or id
         self._read(source)
         self.inside = [False] * len(self.tag)  # an article or main element, or in one
         self.around = [False] * len(self.tag)  # an article or main element, or around one
@@ -98,6 +105,15 @@ class Page:
                     i = self.parent[i]
             elif self.parent[i] >= 0:
                 self.inside[i] = self.inside[self.parent[i]]
+        self.prose, self.holds_text = self._holding(HOLDS_PROSE), self._holding(HOLDS_TEXT)
+
+    def _holding(self, tags: frozenset[str]) -> list[bool]:
+        """Whether an element is, or contains, one of the tags."""
+        held = [tag in tags for tag in self.tag]
+        for i in range(len(self.tag) - 1, -1, -1):
+            if held[i] and self.parent[i] >= 0:
+                held[self.parent[i]] = True
+        return held
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -124,7 +140,7 @@ class Page:
 
     def _text(self, text: str) -> None:
         text = html.unescape(text)
-        if self._parts and not text.isspace():
+        if self._open and not text.isspace():
             self._parts[self._open[-1]].append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
         self.runs.append((self._open[-1] if self._open else -1, text))
 
@@ -140,6 +156,7 @@ class Page:
         self.hash.append(0)
         self._parts.append([])
         self._names.append(f"{name} {attributes.get('class', '')} {attributes.get('id', '')}".encode("utf-8", "surrogatepass"))
+        self._marked.append(bool(attributes.get("class") or attributes.get("id")))
         self.dropped.append(self._not_article(name, parent, attributes))
         if name in BLOCK:
             self.runs.append((me, None))
@@ -193,15 +210,17 @@ class Page:
             self.runs.append((me, None))
 
     def may_be_template(self, i: int) -> bool:
-        return not (self.around[i] or self.tag[i] in ("html", "body", "head") or self.tag[i] in VOID or self.inside[i] and self.tag[i] in PROSE)
+        if self.around[i] or self.tag[i] in ("html", "body", "head") or self.tag[i] in VOID:
+            return False
+        return not self.inside[i] or self.tag[i] in GROUPS and self._marked[i] and not self.holds_text[i]
 
     def subtrees(self) -> set[tuple[int, bool]]:
-        """Hashes that may be template, each with whether the subtree holds paragraphs or headings."""
-        prose = [tag in HOLDS_PROSE for tag in self.tag]
-        for i in range(len(self.tag) - 1, -1, -1):
-            if prose[i] and self.parent[i] >= 0:
-                prose[self.parent[i]] = True
-        return {(self.hash[i], prose[i]) for i in range(len(self.tag)) if self.may_be_template(i)}
+        """Hashes that may be template, each with whether it holds paragraphs or headings, or lies in an article."""
+        return {(self.hash[i], self.prose[i] or self.inside[i]) for i in range(len(self.tag)) if self.may_be_template(i)}
+
+    def content(self) -> int:
+        """A hash of the main text, or of all text if the page names no article."""
+        return int.from_bytes(hashlib.blake2b(self.text(set()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
     def text(self, template: set[int]) -> str:
         gone = list(self.dropped)
@@ -226,13 +245,17 @@ class Page:
         return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def _count_batch(batches):
+def _vote_batch(batches):
     for batch in batches:
-        found: Counter = Counter()
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            found.update((host, *x) for x in Page(source).subtrees())
-        columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else ([], [], []), (pa.string(), pa.int64(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["host", "subtree", "prose", "n"])
+        contents, subtrees, strict = [], [], []
+        for source in batch.column("html").to_pylist():
+            page = Page(source)
+            found = list(page.subtrees())
+            contents.append(page.content())
+            subtrees.append([x for x, _ in found])
+            strict.append([x for _, x in found])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(strict, pa.list_(pa.bool_()))],
+                                         ["host", "content", "subtrees", "strict"])
 
 
 def _extract_batch(batches):
@@ -243,9 +266,11 @@ def _extract_batch(batches):
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
     """host, template: the hashes of the subtrees that recur across the host's pages. ``pages``: host, html."""
-    n_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages.mapInArrow(_count_batch, "host string, subtree bigint, prose boolean, n bigint").groupBy("host", "subtree", "prose").agg(F.sum("n").alias("n"))
-    needed = F.col("pages") * F.when(F.col("prose"), F.lit(prose_share)).otherwise(F.lit(share))
+    votes = materialize(pages.mapInArrow(_vote_batch, "host string, content bigint, subtrees array<bigint>, strict array<boolean>"), "html-votes")
+    n_pages = votes.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    each = votes.select("host", "content", F.inline(F.arrays_zip("subtrees", "strict"))).distinct()
+    seen = each.groupBy("host", F.col("subtrees").alias("subtree"), "strict").agg(F.count(F.lit(1)).alias("n"))
+    needed = F.col("pages") * F.when(F.col("strict"), F.lit(prose_share)).otherwise(F.lit(share))
     often = seen.filter(F.col("n") >= least_pages).join(n_pages, "host").filter(F.col("n") >= needed)
     return often.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 

@@ -53,3 +53,19 @@ def test_whole_table_against_the_article_markup(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_copies_of_a_page_cast_one_vote(spark):
+    lists = "<article><h1>A</h1><ul><li>One</li></ul><table><tr><td>Two</td></tr></table><div>Three</div><div class='x'>Four</div></article>"
+    bare = "<div class='text'><h1>Copied</h1><p>Same words</p></div><div>More words</div>"
+    rows = [(i, "http://h.test/a", lists) for i in range(9)] + [(100 + i, "http://n.test/", f"<div>Site</div>{bare}") for i in range(5)]
+    rows += [(200 + i, "http://n.test/", f"<div>Site</div><p>Own {i}</p>") for i in range(11)]
+    got = {i: t for i, t, _ in extract(spark, rows)}
+    assert got[3] == "A\nOne\nTwo\nThree\nFour"
+    assert got[102] == "Copied\nSame words\nMore words" and got[203] == "Own 3"
+
+
+def test_parts_of_different_articles_stay(spark):
+    parts = "<ul class='l'><li>Salt</li></ul><table><tr><td>1</td></tr></table><div>Plain</div><div id='d'><p>In p</p></div><section class='s'><dl><dt>T</dt></dl></section><p>Press <kbd>Q</kbd> <del>a</del></p>"
+    got = {i: t for i, t, _ in extract(spark, [(i, "http://h.test/", f"<article><h1>T{i}</h1>{parts}</article>") for i in range(20)])}
+    assert got[7] == "T7\nSalt\n1\nPlain\nIn p\nT\nPress Q a"
