@@ -14,6 +14,13 @@ template: the same article or passage on many pages of a host is still content.
 Inside one, only a ``div`` or ``section`` with a class or id of its own and none of
 these in it may be.
 
+Names: a class or id names an element as something else by a whole token, all of
+whose words say so (``comments``, ``social-share``; not ``has-sidebar`` or
+``comments-open``). A name, a role or a form around an article doesn't delete it, nor
+one around nearly all text of a page without articles. An article that is itself
+named (a comment) counts as one only if the page has no other, and one within another
+only if no text but headings is left of that.
+
 Counting: the subtrees of a page are written once, packed with the hash of its main
 text; votes are made distinct and added up by (host, subtree), so a host with a
 third of all pages is spread over its subtrees. A
@@ -69,8 +76,8 @@ GROUPS = frozenset("div section".split())
 #: What holds an article's text besides; a group with any of it is never template inside an article.
 HOLDS_TEXT = HOLDS_PROSE | frozenset("ul ol dl li dd dt table caption tr td th figure figcaption details summary math address code kbd samp var del ins".split())
 
-#: Elements that hold no article text.
-NOT_TEXT = frozenset("""aside audio button canvas dialog embed footer form frame frameset head iframe input math menu nav noembed noframes
+#: Elements that hold no article text, or the source of a formula beside its text.
+NOT_TEXT = frozenset("""annotation aside audio button canvas dialog embed footer frame frameset head iframe input menu nav noembed noframes
 noscript object script select style svg template textarea title video""".split())
 #: Roles (ARIA) of such elements.
 NOT_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -78,6 +85,20 @@ NOT_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo d
 NOT_TEXT_NAMES = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
 disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related
 share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets""".split())
+#: Words that may stand beside them in a name.
+PART_NAMES = frozenset("area bar block box button buttons item items link links list section".split())
+#: Share of a page's text around which a name, role or form says nothing, if the page has no article.
+WHOLE = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _names_other(names: str) -> bool:
+    """Whether a token of a class or id names something else than an article."""
+    for token in names.split():
+        words = {w.lower() for w in WORDS.findall(token)}
+        if token.lower() in NOT_TEXT_NAMES or words & NOT_TEXT_NAMES and words <= NOT_TEXT_NAMES | PART_NAMES:
+            return True
+    return False
 
 
 class Page:
@@ -88,6 +109,7 @@ class Page:
         self.parent: list[int] = []
         self.hash: list[int] = []
         self.dropped: list[bool] = []
+        self._beside: list[bool] = []  # by a name, a role or as a form or header, unless it is around an article
         #: (element, text) or (element, None) where a block starts or ends.
         self.runs: list[tuple[int, str | None]] = []
         self._parts: list[list[bytes]] = []
@@ -106,6 +128,58 @@ class Page:
             elif self.parent[i] >= 0:
                 self.inside[i] = self.inside[self.parent[i]]
         self.prose, self.holds_text = self._holding(HOLDS_PROSE), self._holding(HOLDS_TEXT)
+        self._drop_beside()
+
+    def _below(self, marked: list[bool]) -> list[bool]:
+        """Whether an element is marked, or in a marked one."""
+        below = list(marked)
+        for i, up in enumerate(self.parent):
+            below[i] = below[i] or up >= 0 and below[up]
+        return below
+
+    def _drop_beside(self) -> None:
+        if not any(self._beside):
+            return
+        hidden = self._below(self.dropped)
+        articles = [i for i, tag in enumerate(self.tag) if tag in ("article", "main") and not hidden[i]]
+        spared = [False] * len(self.tag)
+
+        def spare(some: list[int]) -> None:
+            for i in [i for i in some if not self._beside[i]] or some:
+                while i >= 0 and not spared[i]:
+                    spared[i] = True
+                    i = self.parent[i]
+
+        def dropped() -> list[bool]:
+            return [d or b and not kept for d, b, kept in zip(self.dropped, self._beside, spared)]
+
+        if articles:
+            top = list(range(len(self.tag)))  # the outermost article or main element around an element, or a root
+            for i, up in enumerate(self.parent):
+                if up >= 0 and (self.inside[up] or self.tag[i] not in ("article", "main")):
+                    top[i] = top[up]
+            spare([i for i in articles if top[i] == i])
+            nested = [i for i in articles if top[i] != i and spared[top[i]]]
+            if nested:
+                gone, headed = self._below(dropped()), self._below([tag in HEADINGS for tag in self.tag])
+                left = {top[i] for i, text in self.runs if i >= 0 and text and not text.isspace() and not gone[i] and not headed[i]}
+                spare([i for i in nested if top[i] not in left])
+        else:
+            size, prose = [0] * len(self.tag), [tag in HOLDS_PROSE and not h for tag, h in zip(self.tag, hidden)]
+            total, all_prose = 0, sum(prose)
+            for i, text in self.runs:
+                if text and (i < 0 or not hidden[i]):
+                    n = len("".join(text.split()))
+                    total += n
+                    if i >= 0:
+                        size[i] += n
+            held = [int(x) for x in prose]
+            for i in range(len(self.tag) - 1, -1, -1):
+                if self.parent[i] >= 0:
+                    size[self.parent[i]] += size[i]
+                    held[self.parent[i]] += held[i]
+            spared = [0 < all_prose == h and n >= WHOLE * total for h, n in zip(held, size)]
+        self.dropped = dropped()
 
     def _holding(self, tags: frozenset[str]) -> list[bool]:
         """Whether an element is, or contains, one of the tags."""
@@ -157,7 +231,8 @@ class Page:
         self._parts.append([])
         self._names.append(f"{name} {attributes.get('class', '')} {attributes.get('id', '')}".encode("utf-8", "surrogatepass"))
         self._marked.append(bool(attributes.get("class") or attributes.get("id")))
-        self.dropped.append(self._not_article(name, parent, attributes))
+        self.dropped.append(self._not_text(name, attributes))
+        self._beside.append(self._not_article(name, parent, attributes))
         if name in BLOCK:
             self.runs.append((me, None))
         elif name == "br":
@@ -166,10 +241,13 @@ class Page:
         if name in VOID:
             self._close()
 
-    def _not_article(self, name: str, parent: int, attributes: dict[str, str]) -> bool:
-        if name in NOT_TEXT or attributes.get("role", "").lower() in NOT_TEXT_ROLES or "hidden" in attributes:
+    def _not_text(self, name: str, attributes: dict[str, str]) -> bool:
+        if name in NOT_TEXT or "hidden" in attributes or attributes.get("aria-hidden") == "true":
             return True
-        if attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+        return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+    def _not_article(self, name: str, parent: int, attributes: dict[str, str]) -> bool:
+        if name == "form" or attributes.get("role", "").lower() in NOT_TEXT_ROLES:
             return True
         while name == "header" and parent >= 0:  # the head of an article belongs to it
             if self.tag[parent] in ("article", "main"):
@@ -177,8 +255,7 @@ class Page:
             parent = self.parent[parent]
         if name in ("html", "body", "main"):
             return False
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        return name == "header" or any(w.lower() in NOT_TEXT_NAMES for w in WORDS.findall(named))
+        return name == "header" or _names_other(f"{attributes.get('class', '')} {attributes.get('id', '')}")
 
     def _end(self, name: str) -> None:
         for i in range(len(self._open) - 1, -1, -1):

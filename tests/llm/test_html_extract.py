@@ -69,3 +69,16 @@ def test_parts_of_different_articles_stay(spark):
     parts = "<ul class='l'><li>Salt</li></ul><table><tr><td>1</td></tr></table><div>Plain</div><div id='d'><p>In p</p></div><section class='s'><dl><dt>T</dt></dl></section><p>Press <kbd>Q</kbd> <del>a</del></p>"
     got = {i: t for i, t, _ in extract(spark, [(i, "http://h.test/", f"<article><h1>T{i}</h1>{parts}</article>") for i in range(20)])}
     assert got[7] == "T7\nSalt\n1\nPlain\nIn p\nT\nPress Q a"
+
+
+def test_names_roles_and_forms_around_an_article_keep_it():
+    article = "<article class='post comments-open'><p>Text</p></article>"
+    for before, after in [("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='with-navigation'>", "</div>"), ("<div class='widget'>", "</div>"),
+                          ("<form id=aspnetForm>", "</form>"), ("<div role=navigation>", "</div>"), ("<main><div class='sidebar'><h1>no</h1>", "</div></main>")]:
+        assert H.Page(f"<body><div class='social-share'>no</div><nav>no</nav>{before}{article}{after}</body>").text(set()) == "Text"
+    assert H.Page("<article class=notice><p>Only</p></article>").text(set()) == "Only"
+    assert H.Page("<article><p>Text</p></article><article class=comment><p>no</p></article>").text(set()) == "Text"
+    assert H.Page("<main><p>Text</p><div class=comments><article>no</article></div></main>").text(set()) == "Text"
+    assert H.Page("<body><form><nav>no</nav><h1>A</h1><p>Text of a page</p></form></body>").text(set()) == "A\nText of a page"
+    assert H.Page("<body><p>Text</p><form><p>Name</p></form><div class='comments-list'>no</div></body>").text(set()) == "Text"
+    assert H.Page("<article><p>So <math><mi>x</mi><annotation>no</annotation></math> holds</p></article>").text(set()) == "So x holds"
