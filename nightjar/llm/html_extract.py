@@ -3,9 +3,11 @@
 Every element gets a hash of its whole subtree (tag, class, id, texts and child
 hashes in order). One pass counts, per host, on how many pages each subtree
 occurs, where pages of equal main text are one page, so copies of an article cast
-one vote; a subtree on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's
-pages (``PROSE_SHARE`` if it holds paragraphs or headings, or lies in an article)
-is part of the site's template. A second pass deletes template subtrees
+one vote; a subtree on at least ``LEAST_PAGES`` pages is part of the site's template,
+however large the host. One that holds paragraphs or headings, lies in an article, or
+is a list item, table cell or inline element must besides be on ``PROSE_SHARE`` of
+the host's pages or on ``PROSE_PAGES``; an inline element with text of its sentence
+beside it is not counted. A second pass deletes template subtrees
 from every page, then what its own markup names as something other than the
 article (menus, adverts, forms, comments, ...), and joins what is left as
 blocks of text. Articles themselves, what contains them, and the headings,
@@ -22,11 +24,11 @@ named (a comment) counts as one only if the page has no other, and one within an
 only if no text but headings is left of that.
 
 Counting: the subtrees of a page are written once, packed with the hash of its main
-text; votes are made distinct and added up by (host, subtree), so a host with a
-third of all pages is spread over its subtrees. A
-host has at most (elements of its largest page / SHARE) template subtrees;
-these come to the pages by an equi-join on the host, which Spark broadcasts if
-small and splits when a host is hot. Pages are parsed twice instead of shuffled.
+text and whether its own text depends on them; votes are made distinct and added up
+by (host, subtree), so a host with a third of all pages is spread over its subtrees.
+Template subtrees come by an equi-join on (host, subtree) to the pages that depend on
+them, as many as there are, and these to the pages by an equi-join on a digest of
+host and html, which Spark broadcasts if small. Pages are parsed twice.
 
 Defined results: null or empty html has no text ("" and 0 characters); a null
 url, or one without ``://``, belongs to the host "" with others of its kind;
@@ -51,8 +53,9 @@ from nightjar.llm.url_filters import host_and_path
 from nightjar.operators.lineage import materialize
 
 LEAST_PAGES = 5
-SHARE = 0.01
 PROSE_SHARE = 0.3
+#: Distinct pages on which prose is template whatever its share: that of a host of 100 pages.
+PROSE_PAGES = 30
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -71,6 +74,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}
         "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
 P_SCOPE = frozenset("article aside blockquote body button caption div fieldset figure footer form header html li main nav object section table td th dd".split())
 HOLDS_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Parts of a list, a table or a sentence; a few words that recur by chance.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
+PARTS = INLINE | frozenset("dd dt li td th tr".split())
 #: Elements that only group others; inside an article, nothing else is template by its count.
 GROUPS = frozenset("div section".split())
 #: What holds an article's text besides; a group with any of it is never template inside an article.
@@ -129,6 +135,15 @@ class Page:
                 self.inside[i] = self.inside[self.parent[i]]
         self.prose, self.holds_text = self._holding(HOLDS_PROSE), self._holding(HOLDS_TEXT)
         self._drop_beside()
+        self.gone = self._below(self.dropped)
+        wanted = next((t for t in ("article", "main") if any(x == t and not g for x, g in zip(self.tag, self.gone))), None)
+        self.part = self._below([wanted is None or tag == wanted for tag in self.tag])
+        self.whole = wanted is None
+        self.strict = [p or inside or tag in PARTS for p, inside, tag in zip(self.prose, self.inside, self.tag)]
+        says = {i for i, text in self.runs if text and any(map(str.isalnum, text))}
+        self._in_sentence = [False] * len(self.tag)
+        for i, up in enumerate(self.parent):
+            self._in_sentence[i] = up >= 0 and self.tag[i] in INLINE and (up in says or self._in_sentence[up])
 
     def _below(self, marked: list[bool]) -> list[bool]:
         """Whether an element is marked, or in a marked one."""
@@ -287,29 +302,31 @@ class Page:
             self.runs.append((me, None))
 
     def may_be_template(self, i: int) -> bool:
-        if self.around[i] or self.tag[i] in ("html", "body", "head") or self.tag[i] in VOID:
+        if self.around[i] or self._in_sentence[i] or self.tag[i] in ("html", "body", "head") or self.tag[i] in VOID:
             return False
         return not self.inside[i] or self.tag[i] in GROUPS and self._marked[i] and not self.holds_text[i]
 
-    def subtrees(self) -> set[tuple[int, bool]]:
-        """Hashes that may be template, each with whether it holds paragraphs or headings, or lies in an article."""
-        return {(self.hash[i], self.prose[i] or self.inside[i]) for i in range(len(self.tag)) if self.may_be_template(i)}
+    def subtrees(self) -> dict[tuple[int, bool], bool]:
+        """Hashes that may be template, each with whether it must be prose's share, and whether the page's text depends on it."""
+        found: dict[tuple[int, bool], bool] = {}
+        for i in range(len(self.tag)):
+            if self.may_be_template(i):
+                key = self.hash[i], self.strict[i]
+                found[key] = found.get(key, False) or self.part[i] and not self.gone[i]
+        return found
 
     def content(self) -> int:
         """A hash of the main text, or of all text if the page names no article."""
         return int.from_bytes(hashlib.blake2b(self.text(set()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def text(self, template: set[int]) -> str:
-        gone = list(self.dropped)
-        for i, up in enumerate(self.parent):
-            gone[i] = gone[i] or self.may_be_template(i) and self.hash[i] in template or up >= 0 and gone[up]
-        wanted = next((t for t in ("article", "main") if any(x == t and not gone[i] for i, x in enumerate(self.tag))), None)
-        part = [wanted is None] * len(self.tag)
-        for i, up in enumerate(self.parent):
-            part[i] = part[i] or self.tag[i] == wanted or up >= 0 and part[up]
+    def text(self, template: set[int], prose: frozenset[int] | set[int] = frozenset()) -> str:
+        """Without the template subtrees; ``prose``: those that are held to prose's share."""
+        gone, part = self.gone, self.part
+        if template or prose:
+            gone = self._below([d or self.hash[i] in (prose if self.strict[i] else template) and self.may_be_template(i) for i, d in enumerate(self.dropped)])
         blocks, now = [], []
         for i, text in self.runs:
-            if i >= 0 and (gone[i] or not part[i]) or i < 0 and wanted:
+            if i >= 0 and (gone[i] or not part[i]) or i < 0 and not self.whole:
                 if text is None and now:
                     blocks.append("".join(now))
                     now = []
@@ -323,40 +340,53 @@ class Page:
 
 
 def _vote_batch(batches):
+    flags, shape = pa.list_(pa.bool_()), ["host", "page", "content", "subtrees", "strict", "needed"]
     for batch in batches:
-        contents, subtrees, strict = [], [], []
+        contents, subtrees, strict, needed = [], [], [], []
         for source in batch.column("html").to_pylist():
             page = Page(source)
-            found = list(page.subtrees())
+            found = page.subtrees()
             contents.append(page.content())
             subtrees.append([x for x, _ in found])
             strict.append([x for _, x in found])
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(strict, pa.list_(pa.bool_()))],
-                                         ["host", "content", "subtrees", "strict"])
+            needed.append(list(found.values()))
+        columns = [pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(strict, flags), pa.array(needed, flags)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), *columns], shape)
 
 
 def _extract_batch(batches):
     for batch in batches:
-        texts = [Page(source).text(set(template or ())) for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist())]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "template", "prose")))
+        texts = [Page(source).text(set(template or ()), set(prose or ())) for source, template, prose in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
-    """host, template: the hashes of the subtrees that recur across the host's pages. ``pages``: host, html."""
-    votes = materialize(pages.mapInArrow(_vote_batch, "host string, content bigint, subtrees array<bigint>, strict array<boolean>"), "html-votes")
+def site_templates(votes: DataFrame, least_pages: int = LEAST_PAGES, prose_share: float = PROSE_SHARE, prose_pages: int = PROSE_PAGES) -> DataFrame:
+    """host, subtree, often: the subtrees that recur across the host's pages, and whether often enough for prose."""
     n_pages = votes.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    each = votes.select("host", "content", F.inline(F.arrays_zip("subtrees", "strict"))).distinct()
-    seen = each.groupBy("host", F.col("subtrees").alias("subtree"), "strict").agg(F.count(F.lit(1)).alias("n"))
-    needed = F.col("pages") * F.when(F.col("strict"), F.lit(prose_share)).otherwise(F.lit(share))
-    often = seen.filter(F.col("n") >= least_pages).join(n_pages, "host").filter(F.col("n") >= needed)
-    return often.groupBy("host").agg(F.collect_set("subtree").alias("template"))
+    each = votes.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+    seen = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    often = F.col("n") >= F.least(F.col("pages") * prose_share, F.lit(float(prose_pages)))
+    return seen.join(n_pages, "host").select("host", "subtree", often.alias("often"))
+
+
+def page_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, prose_share: float = PROSE_SHARE, prose_pages: int = PROSE_PAGES) -> DataFrame:
+    """page, template, prose: for each page with any, the template subtrees its text depends on. ``pages``: host, page, html."""
+    shape = "host string, page binary, content bigint, subtrees array<bigint>, strict array<boolean>, needed array<boolean>"
+    votes = materialize(pages.mapInArrow(_vote_batch, shape), "html-votes")
+    asking = votes.filter(F.exists("needed", lambda x: x)).dropDuplicates(["page"])
+    asked = asking.select("host", "page", F.inline(F.arrays_zip("subtrees", "strict", "needed"))).filter("needed").withColumnRenamed("subtrees", "subtree")
+    met = asked.join(site_templates(votes, least_pages, prose_share, prose_pages), ["host", "subtree"]).filter(F.col("often") | ~F.col("strict"))
+    sets = [F.collect_set(F.when(kind, F.col("subtree"))).alias(name) for kind, name in ((~F.col("strict"), "template"), (F.col("strict"), "prose"))]
+    return materialize(met.groupBy("page").agg(*sets), "html-templates")
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, prose_share: float = PROSE_SHARE, prose_pages: int = PROSE_PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     host, _ = host_and_path(F.col("url"))
     slim = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), host.alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    slim = slim.withColumn("page", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
     kind = slim.schema["page_id"].dataType.simpleString()
-    marked = slim.join(site_templates(slim.select("host", "html"), least_pages, share, prose_share), "host", "left")
-    out = marked.select("page_id", "url", "html", "template").mapInArrow(_extract_batch, f"page_id {kind}, url string, text string")
+    marked = slim.join(page_templates(slim.select("host", "page", "html"), least_pages, prose_share, prose_pages), "page", "left")
+    out = marked.select("page_id", "url", "html", "template", "prose").mapInArrow(_extract_batch, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -82,3 +82,20 @@ def test_names_roles_and_forms_around_an_article_keep_it():
     assert H.Page("<body><form><nav>no</nav><h1>A</h1><p>Text of a page</p></form></body>").text(set()) == "A\nText of a page"
     assert H.Page("<body><p>Text</p><form><p>Name</p></form><div class='comments-list'>no</div></body>").text(set()) == "Text"
     assert H.Page("<article><p>So <math><mi>x</mi><annotation>no</annotation></math> holds</p></article>").text(set()) == "So x holds"
+
+
+def test_templates_of_a_few_pages_of_a_large_host_go(spark):
+    def page(i):
+        notice = f"<div>Notice {i // 6}</div><ul><li>Menu {i // 6}</li></ul>" if i < 12 else "<div><p>Terms of a section</p></div>" if i < 60 else ""
+        chance = "<p>Quoted twice over</p>" if 60 <= i < 72 else ""
+        return f"<body>{notice}{chance}<p>Own {i}, <em>not</em> other</p></body>"
+    got = {i: t for i, t, _ in extract(spark, [(i, "http://hot.test/", page(i)) for i in range(1300)])}
+    assert got[3] == "Own 3, not other" and got[30] == "Own 30, not other"
+    assert got[65] == "Quoted twice over\nOwn 65, not other"
+
+
+def test_template_sets_are_joined_by_subtree(spark):
+    rows = [(str(i).encode(), f"h{i % 2}", f"<div>{i // 12}</div><article><div>{i}</div></article>" if i < 60 else f"<div>{i // 12}</div>{i}") for i in range(240)]
+    found = {bytes(r.page): r for r in H.page_templates(spark.createDataFrame(rows, "page binary, host string, html string")).collect()}
+    assert found.keys() == {p for p, _, _ in rows[60:]}  # the text of an article depends on no subtree outside
+    assert all(len(r.template) == 1 and not r.prose for r in found.values())
