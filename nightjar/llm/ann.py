@@ -10,7 +10,9 @@ lists, as many as trial queries within the sample need to find their neighbours.
 block by block, and after each block a hypothesis test drops the candidates
 whose partial distance is already too large for their full distance to be below
 the query's bound. The bound starts at the query's k-th distance within the
-sample and falls as the list's own candidates are completed. What is left is
+sample and falls as the list's own candidates are completed. The sample gives
+bounds only: a query that finds fewer than k asks again without a bound, and visits
+further lists, nearest first, until it has k or has seen all. What is left is
 scored by the inner product of the original vectors in double precision, summed
 in order of the dimensions.
 
@@ -25,12 +27,13 @@ components take no part, neither as queries nor as candidates; nor do those
 whose length is not the commonest one; ids that are null take no part; rows
 with one id are candidates of their own if their vectors score differently, a
 query with that id skips them, and the smallest of their vectors asks;
-fewer than k candidates found in the visited lists are all returned; ties go to
+fewer than k candidates in the whole table are all returned; ties go to
 the smaller id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -174,7 +177,7 @@ def _matrix(column, d: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row with ``is_query``."""
+    """query_id, rank, vec_id, score: the k nearest found in its lists of every row with ``is_query``."""
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     good = named.filter(F.col("id").isNotNull() & usable(F.col("v")))
     shape = "query_id bigint, rank int, vec_id bigint, score double"
@@ -195,35 +198,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
             turned = own.rotated(x, False)
             yield pa.RecordBatch.from_arrays([pa.array(_nearest(turned, own.centres, 1)[:, 0], pa.int32()), batch.column("id"), batch.column("v")], ["list", "id", "v"])
 
-    def ask(batches):
-        own = index.value
-        for batch in batches:
-            q = own.rotated(_matrix(batch.column("v"), d), True)
-            near = _nearest(q, own.centres, probes or own.probes)
-            row = np.repeat(np.arange(len(q)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)),
-                                              pa.array(own.in_sample(q)[1][row])], ["list", "id", "v", "bound"])
-
-    def ask_sample(batches):
-        own = index.value
-        for batch in batches:
-            q, ids = _matrix(batch.column("v"), d), batch.column("id").to_numpy()
-            rows, _ = own.in_sample(own.rotated(q, True))
-            score = np.stack([exact_products(x, own.sample_vectors[r]) for x, r in zip(q, rows)]) if len(q) else np.zeros(rows.shape)
-            asked_by = np.repeat(ids, rows.shape[1])
-            other = own.sample_ids[rows.ravel()] != asked_by
-            yield pa.RecordBatch.from_arrays([pa.array(asked_by[other]), pa.array(own.sample_ids[rows.ravel()][other]), pa.array(score.ravel()[other])], ["query_id", "vec_id", "score"])
+    def asker(least: int, bounded: bool):
+        """Queries go to the lists to visit, and to further ones until these hold ``least`` vectors."""
+        def ask(batches):
+            own = index.value
+            for batch in batches:
+                q = own.rotated(_matrix(batch.column("v"), d), True)
+                near = _nearest(q, own.centres, len(own.centres))
+                before = np.cumsum(held_by[near], axis=1) - held_by[near]
+                row, place = np.nonzero((np.arange(near.shape[1]) < (probes or own.probes)) | (before < least))
+                bounds = own.in_sample(q)[1] if bounded else np.full(len(q), np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, place], pa.int32()), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)),
+                                                  pa.array(bounds[row])], ["list", "id", "v", "bound"])
+        return ask
 
     lists = materialize(base.select("id", "v").mapInArrow(place, "list int, id bigint, v array<double>"), "ann-lists")
     asking = base.filter("q").groupBy("id").agg(F.min("v").alias("v"))
-    asked = materialize(asking.mapInArrow(ask, "list int, id bigint, v array<double>, bound double"), "ann-queries")
-    # How many cells a list's vectors, and a list's queries, are dealt to: two numbers per list, at most MAX_LISTS rows.
-    cells = F.broadcast(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-                        .join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("groups")), "list"))
-    held = (lists.join(cells, "list").withColumn("cell", F.pmod(F.xxhash64("id", "v"), F.col("cells")).cast("int"))
-            .withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("list", "cell", "grp", "id", "v"))
-    probing = (asked.join(cells, "list").withColumn("grp", F.pmod(F.xxhash64("id", "v"), F.col("groups")).cast("int"))
-               .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("list", "cell", "grp", "id", "v", "bound"))
+    held_by = np.zeros(len(index.value.centres), np.int64)  # one number per list, at most MAX_LISTS
+    for r in lists.groupBy("list").count().collect():
+        held_by[r["list"]] = r["count"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         own = index.value
@@ -245,8 +238,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
         return pa.table({"query_id": pa.array(join(out_q, np.int64), pa.int64()), "vec_id": pa.array(join(out_v, np.int64), pa.int64()), "score": pa.array(join(out_s, float), pa.float64())})
 
     keys = ["list", "cell", "grp"]
-    found = held.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    # The sample's nearest are known anyway; they stand in for lists that are not visited.
-    found = found.union(asking.mapInArrow(ask_sample, "query_id bigint, vec_id bigint, score double")).distinct()
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def answers(asking: DataFrame, least: int, bounded: bool) -> DataFrame:
+        asked = materialize(asking.mapInArrow(asker(least, bounded), "list int, id bigint, v array<double>, bound double"), "ann-queries")
+        # How many cells a list's vectors, and a list's queries, are dealt to: two numbers per list, at most MAX_LISTS rows.
+        cells = F.broadcast(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+                            .join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("groups")), "list"))
+        held = (lists.join(cells, "list").withColumn("cell", F.pmod(F.xxhash64("id", "v"), F.col("cells")).cast("int"))
+                .withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("list", "cell", "grp", "id", "v"))
+        probing = (asked.join(cells, "list").withColumn("grp", F.pmod(F.xxhash64("id", "v"), F.col("groups")).cast("int"))
+                   .withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("list", "cell", "grp", "id", "v", "bound"))
+        found = held.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double").distinct()
+        ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return materialize(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "ann-found")
+
+    done, least, bounded = [], k + 1, True
+    while True:
+        found = answers(asking, least, bounded)
+        full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+        short = asking.join(full, "id", "left_anti")
+        if least > n_rows and not bounded or short.isEmpty():
+            done.append(found)
+            break
+        done.append(found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi"))
+        # Without a bound first; then lists that hold four times as many, up to all.
+        asking, least, bounded = materialize(short, "ann-short"), least if bounded else 4 * least, False
+    return functools.reduce(DataFrame.unionByName, done).select(*(c.split()[0] for c in shape.split(", ")))

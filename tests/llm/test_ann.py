@@ -78,3 +78,25 @@ def test_scan_abandons_only_far_candidates():
         lost += len(near - set(rows))
         assert len(rows) < 400 and np.allclose(partial, far[rows])
     assert lost / (40 * 21) < 0.05
+
+
+def test_answers_come_from_the_lists(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), None) for i, v in enumerate(x)]
+    monkeypatch.setattr(A, "LIST", 20)
+    got = run(spark, rows, probes=1)
+    assert len(got) == 30 and all(len(p) == 20 for p in got.values())
+    want = brute(range(600), x.astype(float), range(0, 600, 20), 20)
+    assert any(got[q] != p for q, p in want.items())  # one list of twenty vectors can't give them all
+
+
+def test_recall_with_a_sample_far_below_the_table(spark, monkeypatch):
+    monkeypatch.setattr(A, "SAMPLE", 400)
+    monkeypatch.setattr(A, "LIST", 64)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 24)).astype(np.float32)
+    got = run(spark, [(i, v.tolist(), None) for i, v in enumerate(x)])
+    want = brute(range(3000), x.astype(float), range(0, 3000, 20), 20)
+    assert all(len(p) == 20 for p in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
