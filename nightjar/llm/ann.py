@@ -5,8 +5,9 @@ dimension that brings all vectors to the same length; queries get a zero there.
 Vectors are then turned by a seeded random rotation, which spreads every
 vector's length evenly over the dimensions, so the first d of D dimensions give
 an estimate of a distance that is off by a known amount. k-means centres, fitted
-on a bounded sample, deal all vectors to lists; a query visits its nearest
-lists, as many as trial queries within the sample need to find their neighbours. Inside a list vectors lie in blocks of columns: distances are summed
+on the larger part of a bounded sample, deal all vectors to lists; a query visits
+its nearest lists, as many as trial queries need to find their neighbours among the
+vectors of the sample that were held out from the fit. Inside a list vectors lie in blocks of columns: distances are summed
 block by block, and after each block a hypothesis test drops the candidates
 whose partial distance is already too large for their full distance to be below
 the query's bound. The bound starts at the query's k-th distance within the
@@ -46,12 +47,15 @@ from nightjar.operators.lineage import materialize
 
 K = 20
 QUERY_STEP = 20
-#: Vectors that fit the centres and give the first bounds, at most.
+#: Vectors that give the first bounds, at most; all but the share HELD_OUT fit the centres.
 SAMPLE = 16_384
+HELD_OUT = 0.25
+#: Vectors that fit a centre, at least.
+POINTS = 16
 #: Vectors in a list, about, as long as there are at most MAX_LISTS lists.
 LIST = 512
 MAX_LISTS = 4096
-#: Sampled queries that set how many lists a query visits, and the share of their neighbours that these lists must hold.
+#: Held-out queries that set how many lists a query visits, and the share of their held-out neighbours that these lists must hold.
 TRIALS, COVERED = 256, 0.96
 CELL = 4096
 #: Dimensions of a column block.
@@ -100,24 +104,30 @@ def _nearest(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """What every task needs: rotation, centres, the common length and the sample in rotated form."""
 
-    def __init__(self, ids: np.ndarray, sample: np.ndarray, n_rows: int, longest: float, k: int):
+    def __init__(self, sample: np.ndarray, n_rows: int, longest: float, k: int):
         self.d, self.k, self.longest = sample.shape[1], k, longest
-        self.sample_ids, self.sample_vectors = ids, sample
+        self.sample_vectors = sample
         self.turn = rotation(self.d + 1)
         self.sample = self.rotated(sample, False)
-        lists = max(1, min(MAX_LISTS, math.ceil(n_rows / LIST), len(sample)))
-        self.centres = _centres(self.sample, lists)
-        self.probes = self._probes()
-
-    def _probes(self) -> int:
-        """The fewest lists that hold COVERED of the trial queries' k nearest in the sample."""
-        rows = np.random.default_rng(SEED).permutation(len(self.sample))[:TRIALS]
-        queries = self.rotated(self.sample_vectors[rows], True)
-        near = self.in_sample(queries)[0]
-        home = _nearest(self.sample, self.centres, 1)[:, 0]
-        place = np.argsort(_nearest(queries, self.centres, len(self.centres)), axis=1)
-        ranks = np.take_along_axis(place, home[near], 1)[near != rows[:, None]]
-        return int(np.quantile(ranks, COVERED, method="higher")) + 1 if len(ranks) else 1
+        # The sample comes in hash order, so any part of it is a random one.
+        out = int(HELD_OUT * len(sample))
+        fit = len(sample) - out
+        lists = max(1, min(MAX_LISTS, math.ceil(n_rows / LIST), fit // POINTS))
+        self.centres = _centres(self.sample[:fit], lists)
+        self.probes = self._probes(fit)
+
+    def _probes(self, fit: int) -> int:
+        """The fewest lists that hold COVERED of the trial queries' k nearest among the held-out vectors."""
+        others = self.sample[fit:]
+        trials = self.rotated(self.sample_vectors[fit:][:TRIALS], True)
+        if len(others) < 2 or len(self.centres) == 1:
+            return len(self.centres)
+        far = (others ** 2).sum(1) - 2 * (trials @ others.T)
+        far[np.arange(len(trials)), np.arange(len(trials))] = np.inf  # itself
+        near = np.argsort(far, axis=1, kind="stable")[:, :min(self.k, len(others) - 1)]
+        home = _nearest(others, self.centres, 1)[:, 0]
+        place = np.argsort(_nearest(trials, self.centres, len(self.centres)), axis=1)
+        return int(np.quantile(np.take_along_axis(place, home[near], 1), COVERED, method="higher")) + 1
 
     def rotated(self, vectors: np.ndarray, queries: bool) -> np.ndarray:
         """With queries scaled to the common length, which leaves the order of their products as it is."""
@@ -129,18 +139,16 @@ class Index:
             last = np.sqrt(np.maximum(0, self.longest ** 2 - lengths ** 2))
         return np.column_stack([vectors, last]) @ self.turn
 
-    def in_sample(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k + 1 nearest of the sample (one more, for the query itself), and the squared distance within which they lie."""
-        n = min(self.k + 1, len(self.sample))
-        rows, bounds = np.zeros((len(queries), n), np.int64), np.full(len(queries), np.inf)
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The squared distance within which the k + 1 nearest of the sample lie (one more, for the query itself)."""
+        bounds = np.full(len(queries), np.inf)
         own = (self.sample ** 2).sum(1)
         for i in range(0, len(queries), 1024):
             q = queries[i:i + 1024]
             far = own - 2 * (q @ self.sample.T) + (q ** 2).sum(1)[:, None]
-            rows[i:i + 1024] = np.argpartition(far, n - 1, axis=1)[:, :n]
-            if n > self.k:
-                bounds[i:i + 1024] = np.take_along_axis(far, rows[i:i + 1024], 1).max(1)
-        return rows, np.maximum(bounds, 0) * (1 + 1e-9) + 1e-9 * self.longest ** 2
+            if len(self.sample) > self.k:
+                bounds[i:i + 1024] = np.partition(far, self.k, axis=1)[:, self.k]
+        return np.maximum(bounds, 0) * (1 + 1e-9) + 1e-9 * self.longest ** 2
 
 
 def scan(query: np.ndarray, columns: list[np.ndarray], bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +197,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = float(base.agg(F.max(norm)).first()[0])
     chosen = base.select("id", "v").orderBy(F.xxhash64("id", "v", F.lit(SEED)), "id").limit(SAMPLE).toArrow()
-    index = vectors.sparkSession.sparkContext.broadcast(Index(chosen.column("id").to_numpy(), _matrix(chosen.column("v"), d), n_rows, longest, k))
+    index = vectors.sparkSession.sparkContext.broadcast(Index(_matrix(chosen.column("v"), d), n_rows, longest, k))
 
     def place(batches):
         own = index.value
@@ -207,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
                 near = _nearest(q, own.centres, len(own.centres))
                 before = np.cumsum(held_by[near], axis=1) - held_by[near]
                 row, place = np.nonzero((np.arange(near.shape[1]) < (probes or own.probes)) | (before < least))
-                bounds = own.in_sample(q)[1] if bounded else np.full(len(q), np.inf)
+                bounds = own.bounds(q) if bounded else np.full(len(q), np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, place], pa.int32()), batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)),
                                                   pa.array(bounds[row])], ["list", "id", "v", "bound"])
         return ask

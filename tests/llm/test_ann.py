@@ -100,3 +100,16 @@ def test_recall_with_a_sample_far_below_the_table(spark, monkeypatch):
     want = brute(range(3000), x.astype(float), range(0, 3000, 20), 20)
     assert all(len(p) == 20 for p in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_lists_to_visit_hold_the_neighbours_of_other_vectors():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((22_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = A.Index(x[:2000], 2_000_000, 1.0, 20)
+    assert len(index.centres) * A.POINTS <= 2000
+    others, queries = x[2000:], x[2000:2100]
+    near = np.argsort(-(queries @ others.T), axis=1)[:, 1:21]
+    home = A._nearest(index.rotated(others, False), index.centres, 1)[:, 0]
+    visited = A._nearest(index.rotated(queries, True), index.centres, index.probes)
+    assert np.mean([np.isin(home[n], v).mean() for n, v in zip(near, visited)]) >= A.COVERED - 0.01
