@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import ann, html_extract, line_dedup, minhash, mixing, periodic, sp_codec, spotsigs, token_counts, toxicity, url_filters
+from nightjar.llm import ann, html_extract, itq, lexical, line_dedup, minhash, mixing, periodic, sp_codec, spotsigs, token_counts, toxicity, url_filters
 from nightjar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,13 +57,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.edited, with_text=False)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_url_filters, op3_sentencepiece, op4_line_dedup, op5_toxicity, op6_mixing, op7_spotsigs, op8_token_counts, op9_nearest_neighbours, op10_html_extraction, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_minhash, op2_url_filters, op3_sentencepiece, op4_line_dedup, op5_toxicity, op6_mixing, op7_spotsigs, op8_token_counts, op9_nearest_neighbours, op10_html_extraction, op11_lexical_search, op12_periodic_runs, op13_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.ORACLE}
+    return {"op2_url_filters": url_filters.ORACLE, "op11_lexical_search": lexical.ORACLE}
