@@ -629,10 +629,7 @@ def q_result_json(spark, sf_dir):
         (F.col("j").contains("participant_uid") | F.col("j").contains("participant_email")).alias("has_sensitive"))
 
 
-# ---------------------------------------------------------------- E2 / F3: boosted trees (rows-only checks)
-GBT_QUERY_TREES = 20  # query-time ensemble size; the library default is the reference's 500
-
-
+# ---------------------------------------------------------------- E2 / F3: boosted trees
 def learnable_training(spark, sf_dir) -> DataFrame:
     """Valid nights with the fixture's learnable target (see FIXTURES.md)."""
     from nightjar.plans.batch import learnable_nights
@@ -642,8 +639,7 @@ def learnable_training(spark, sf_dir) -> DataFrame:
 
 @register("gbt_predictions", None)
 def q_gbt_predictions(spark, sf_dir):
-    res = TR.cross_validate_gbt(learnable_training(spark, sf_dir), SPLITS, max_iter=GBT_QUERY_TREES)
-    return res.predictions.withColumn("date", iso("date"))
+    return TR.cross_validate_gbt(learnable_training(spark, sf_dir), SPLITS).predictions.withColumn("date", iso("date"))
 
 
 @register("attributions_gbt", None)
@@ -653,7 +649,7 @@ def q_attributions_gbt(spark, sf_dir):
 
     train = TR.checkpointed(learnable_training(spark, sf_dir), "train")
     med = imputation_values(fold_medians(train.withColumn("fold", F.lit(0)), n_splits=0), 0)
-    scorer = fit_gbt(train, med, max_iter=GBT_QUERY_TREES)
+    scorer = fit_gbt(train, med)
     # Rows that fail validation never reach the model.
     s = passed(SC.score_nights(quality.valid_rows(annotated(spark, sf_dir)).select(*nights(spark, sf_dir).columns), scorer))
     total = F.col("base_value")
@@ -664,28 +660,37 @@ def q_attributions_gbt(spark, sf_dir):
                     F.abs(F.col("prediction") - total).alias("additivity_error"))
 
 
-def fixed_nodes() -> tuple:
-    """The fixed ensemble as a node table of the kind that a saved model has."""
-    import pandas as pd
+_FIT = ["tree", "node", "feature", "threshold", "value", "cover"]
+
 
-    rows = []
-    for number, tree in enumerate(K.FIXED_TREES):
-        flat: list[dict] = []
+@both("boosted_trees", _FIT, ["threshold", "value"], O.boosted_trees_sql())
+def q_boosted_trees(spark, sf_dir):
+    """The node table of a short fit over even bins, on features that both sides round alike."""
+    from nightjar.operators.boosting import even_edges, fit_models
+    from nightjar.operators.impute import fold_medians, imputation_values
+
+    train = learnable_training(spark, sf_dir)
+    train = TR.checkpointed(train.select("source_index", K.TARGET_NAME, *[F.round(f, 6).alias(f) for f in K.MODEL_FEATURES]), "train")
+    med = imputation_values(fold_medians(train.withColumn("fold", F.lit(0)), n_splits=0), 0)
+    return fit_models(train, {0: med}, (0,), O.SHORT_FIT, edges=even_edges).select(*_FIT)
 
-        def add(node, flat=flat) -> tuple[int, float]:
-            me = len(flat)
-            flat.append({"id": me, "leftChild": -1, "rightChild": -1, "prediction": 0.0, "split": None})
+
+def fixed_nodes():
+    """The fixed ensemble as a node table."""
+    import pandas as pd
+
+    rows = [(-1, 0, -1, None, 0.0, 0)]
+    for number, (tree, weight) in enumerate(zip(K.FIXED_TREES, K.FIXED_TREE_WEIGHTS)):
+        def add(node, at, number=number, weight=weight) -> int:
             if len(node) == 2:
-                flat[me].update(prediction=node[0], impurityStats=[float(node[1])])
-                return me, float(node[1])
-            (left, n), (right, m) = add(node[2]), add(node[3])
-            flat[me].update(leftChild=left, rightChild=right, impurityStats=[n + m], split={
-                "featureIndex": K.MODEL_FEATURES.index(node[0]), "leftCategoriesOrThreshold": [node[1]], "numCategories": -1})
-            return me, n + m
+                rows.append((number, at, -1, None, weight * node[0], node[1]))
+                return node[1]
+            cover = add(node[2], 2 * at) + add(node[3], 2 * at + 1)
+            rows.append((number, at, K.MODEL_FEATURES.index(node[0]), node[1], 0.0, cover))
+            return cover
 
-        add(tree)
-        rows += [(number, node) for node in flat]
-    return pd.DataFrame(rows, columns=["treeID", "nodeData"]), K.FIXED_TREE_WEIGHTS
+        add(tree, 1)
+    return pd.DataFrame(rows, columns=_FIT).astype({"threshold": float})
 
 
 _TA = ["source_index", "base_value", *[MO.shap_col(f) for f in K.MODEL_FEATURES], "predicted_efficiency"]
@@ -693,14 +698,10 @@ _TA = ["source_index", "base_value", *[MO.shap_col(f) for f in K.MODEL_FEATURES]
 
 @both("tree_attribution_fixed", _TA, _TA[1:], O.tree_attribution_sql())
 def q_tree_attribution_fixed(spark, sf_dir):
-    from nightjar.operators.gbt import trees_from_nodes, with_attributions, with_imputed
+    from nightjar.operators.gbt import with_attributions, with_imputed
 
     rows = feat.engineer_features(nights(spark, sf_dir)).select("source_index", *K.MODEL_FEATURES)
-    out = with_attributions(with_imputed(rows, {}), trees_from_nodes(*fixed_nodes()))
-    total = F.col("base_value")
-    for f in K.MODEL_FEATURES:
-        total = total + F.col(MO.shap_col(f))
-    return out.withColumn("predicted_efficiency", total)
+    return with_attributions(with_imputed(rows, {}), fixed_nodes()).withColumnRenamed("prediction", "predicted_efficiency")
 
 
 @register("date_spellings", f"select event_id as source_index, spelled, {O.iso(O.parse_date('spelled'))} as night_date "

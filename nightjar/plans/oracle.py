@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 from nightjar import constants as K
+from nightjar.operators.boosting import KEY_FACTOR, LEAST_GAIN, MODULUS, TREE_FACTOR, UNITS, Settings, tree_columns
 from nightjar.sources.nights import night_view_sql
 
 FINITE_NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -445,3 +446,51 @@ def tree_attribution_sql() -> str:
 
 def _rows(node) -> float:
     return float(node[1]) if len(node) == 2 else _rows(node[2]) + _rows(node[3])
+
+
+#: The short fit that SQL repeats.
+SHORT_FIT = Settings(trees=3, depth=3, bins=16)
+
+
+def boosted_trees_sql(s: Settings = SHORT_FIT) -> str:
+    """Node table of a fit by histograms: a few statements a level, for three trees."""
+    values = {f: f"cast(round({f}_f, 6) as double)" for f in K.MODEL_FEATURES}
+    target = "85.0::double + 0.05::double * (n_rmssd - 60.0::double) - 0.03::double * (n_restless - 60.0::double)"
+    shapes = ", ".join(f"min({f}) as lo_{f}, max({f}) as hi_{f}, median({f}) as med_{f}" for f in K.MODEL_FEATURES)
+    bin_of = lambda f: (f"cast(len(list_filter(range(1, {s.bins}), lambda i: lo_{f} + (hi_{f} - lo_{f}) * i / {s.bins} < coalesce({f}, med_{f}, 0.0))) as integer)")
+    score = lambda g, n: f"({g}) * ({g}) / (({n}) + {dbl(s.penalty)})"
+    ctes = [NIGHTS, *quality_ctes(), *features_ctes("q", "bfeat"),
+            f"lt as materialized (select source_index, y, {', '.join(f'{v} as {f}' for f, v in values.items())} from (select *, {target} as y from bfeat) b "
+            f"where error is null and y is not null and {nullify('participant_id')} is not null and night_date is not null)",
+            f"shape as materialized (select {shapes} from lt)",
+            "bin as materialized (select source_index as id, unnest([" + ", ".join(f"{{'f': {i}, 'b': {bin_of(f)}}}" for i, f in enumerate(K.MODEL_FEATURES)) + "]) as x from lt, shape)",
+            "long as materialized (select id, x.f as f, x.b as b from bin)",
+            "edge as (" + " union all ".join(f"select {i} as f, lo_{f} as lo, hi_{f} as hi from shape" for i, f in enumerate(K.MODEL_FEATURES)) + ")",
+            f"base as materialized (select cast(sum(floor(y * {dbl(UNITS)} + 0.5)) as double) / count(*) / {dbl(UNITS)} as v from lt)",
+            "f0 as materialized (select source_index as id, y, v as p from lt, base)"]
+    parts = ["select -1 as tree, 0 as node, -1 as feature, cast(null as double) as threshold, v as value, cast(0 as bigint) as cover from base"]
+    for t in range(s.trees):
+        columns = ", ".join(map(str, tree_columns(t, len(K.MODEL_FEATURES), s)))
+        x = f"((id % {MODULUS}) * {KEY_FACTOR} + {s.seed + t * TREE_FACTOR}) % {MODULUS}"
+        ctes += [f"r{t} as materialized (select id, cast(floor((y - p) * {dbl(UNITS)} + 0.5) as bigint) as r from f{t} where ({x}) * ({x}) % {MODULUS} < {dbl(s.rows * MODULUS)})",
+                 f"p{t}_0 as (select id, 1 as node from f{t})"]
+        for level in range(s.depth + 1):
+            here, low, high = f"{t}_{level}", 1 << level, 2 << level
+            ctes += [f"n{here} as materialized (select node, cast(sum(r) as double) / {dbl(UNITS)} as g, count(*) as n from p{here} join r{t} using (id) where node >= {low} and node < {high} group by node)"]
+            if level == s.depth:
+                ctes += [f"s{here} as (select 0 as node, 0 as f, 0 as b where false)"]
+                break
+            gain = f"{score('gl', 'nl')} + {score('g - gl', 'n - nl')} - ({score('g', 'n')})"
+            ctes += [f"h{here} as (select node, f, b, sum(r) as r, count(*) as c from p{here} join r{t} using (id) join long using (id) where node >= {low} and node < {high} and f in ({columns}) group by node, f, b)",
+                     f"c{here} as (select node, f, b, cast(sum(r) over w as double) / {dbl(UNITS)} as gl, cast(sum(c) over w as bigint) as nl from h{here} window w as (partition by node, f order by b))",
+                     f"s{here} as materialized (select node, f, b from (select node, f, b, {gain} as gain from c{here} join n{here} using (node) where nl >= {s.least_rows} and n - nl >= {s.least_rows}) x "
+                     f"where gain > {dbl(LEAST_GAIN)} qualify row_number() over (partition by node order by gain desc, f, b) = 1)",
+                     f"p{t}_{level + 1} as materialized (select p.id, case when s.node is null then p.node else 2 * p.node + cast(l.b > s.b as integer) end as node "
+                     f"from p{here} p left join s{here} s using (node) left join long l on l.id = p.id and l.f = s.f)"]
+        levels = " union all ".join(f"select n.node, n.g, n.n, s.f, s.b from n{t}_{k} n left join s{t}_{k} s using (node)" for k in range(s.depth + 1))
+        value = f"case when f is null then {dbl(s.rate)} * (g / (n + {dbl(s.penalty)})) else 0.0 end"
+        ctes += [f"t{t} as materialized (select node, coalesce(x.f, -1) as feature, case when x.f is not null then lo + (hi - lo) * (b + 1) / {s.bins} end as threshold, {value.replace('f is', 'x.f is')} as value, n as cover "
+                 f"from ({levels}) x left join edge on edge.f = x.f)",
+                 f"f{t + 1} as materialized (select f{t}.id, y, p + value as p from f{t} join p{t}_{s.depth} using (id) join t{t} using (node))"]
+        parts.append(f"select {t} as tree, node, feature, threshold, value, cover from t{t}")
+    return with_(*ctes) + " union all ".join(parts)

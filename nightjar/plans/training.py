@@ -2,17 +2,15 @@
 
 The table of prepared training rows gets a fold per participant; the
 linear fixture model is "fitted" by fold medians (one distributed pass for
-all folds), the boosted-tree model by one MLlib fit per fold. Predictions of
+all folds), the boosted trees of all folds in shared passes. Predictions of
 all folds are one DataFrame; every metric is an aggregate over it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from nightjar import constants as K
 from nightjar.operators.features import require_rows
 from nightjar.operators.folds import attach_folds, check_participants, fold_overlap, participant_folds, refuse_overlap
-from nightjar.operators.impute import fold_medians
+from nightjar.operators.impute import fold_medians, impute_by_fold
 from nightjar.operators.metrics import cv_summary, fold_metrics, spearman
 from nightjar.operators.model import linear_oof_predictions
 from nightjar.operators.ranks import checkpointed
@@ -33,6 +31,8 @@ class CVResult:
     medians: DataFrame
     predictions: DataFrame
     n_splits: int
+    #: The node tables of all models (boosted trees), by the order of the fit.
+    nodes: DataFrame | None = None
 
     def spearman(self) -> DataFrame:
         return spearman(self.predictions)
@@ -99,44 +99,48 @@ def fold_imputation(medians: DataFrame) -> dict[int, dict[str, float | None]]:
 
 def cross_validate_gbt(train: DataFrame, n_splits: int = K.DEFAULT_SPLITS,
                        max_iter: int = K.GBT_PARAMS["n_estimators"], num_buckets: int | None = None,
-                       estimator: Callable[[], Estimator] | None = None) -> CVResult:
-    """One distributed MLlib fit per held-out fold; predictions of all folds unioned.
+                       estimator: Callable[[], Estimator] | None = None, final: bool = False) -> CVResult:
+    """Out-of-fold predictions of boosted trees; the models of all folds are fitted in the same passes.
 
-    ``estimator`` makes the regressor of a fold (``gbt.VECTOR`` and the target as
-    its columns); by default it is the boosted trees with ``max_iter`` trees. The
-    folds' fits are independent and run side by side.
+    With ``final`` so is model 0, on all rows. ``estimator`` makes another regressor
+    for each fold (``gbt.VECTOR`` and the target as its columns).
     """
     from functools import reduce
 
-    from nightjar.operators.gbt import fit_gbt
+    from nightjar.operators.boosting import Settings, fit_models
+    from nightjar.operators.gbt import node_table, with_predictions
 
     train = require_rows(checkpointed(train, "train"))
     folds, wf = assign(train, n_splits, num_buckets)
     wf = checkpointed(wf, "train_folds")
     med = checkpointed(fold_medians(wf, n_splits, num_buckets=num_buckets), "medians")
-    imputation = fold_imputation(med)
+    ks = range(1, n_splits + 1)
+    if estimator is not None:
+        scored = reduce(DataFrame.unionByName, [fit_estimator(wf, k, fold_imputation(med).get(k, {}), estimator) for k in ks])
+        nodes = None
+    else:
+        nodes = fit_models(wf, fold_imputation(med), [*([0] if final else []), *ks], Settings(trees=max_iter))
+        tables = {k: node_table(nodes, place) for place, k in enumerate([*([0] if final else []), *ks])}
+        scored = with_predictions(impute_by_fold(wf, med), tables, "fold", list(K.MODEL_FEATURES))
+    preds = checkpointed(prediction_columns(scored, "prediction"), "oof")
+    return CVResult(wf, folds, med, preds, n_splits, nodes)
 
 
-    def one(k: int) -> DataFrame:
-        scorer = fit_gbt(wf.filter(F.col("fold") != k), imputation.get(k, {}), max_iter=max_iter, estimator=estimator)
-        return scorer.predict(wf.filter(F.col("fold") == k))
+def fit_estimator(with_folds: DataFrame, k: int, medians: dict[str, float | None], estimator: Callable[[], Estimator]) -> DataFrame:
+    """Fold k scored by an MLlib regressor fitted on the other folds."""
+    from nightjar.operators.gbt import VECTOR, EstimatorScorer, assembled
 
-    with ThreadPoolExecutor(n_splits) as pool:
-        parts = list(pool.map(inheritable_thread_target(wf.sparkSession)(one), range(1, n_splits + 1)))
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
-    preds = checkpointed(prediction_columns(scored, "prediction"), "oof")
-    return CVResult(wf, folds, med, preds, n_splits)
+    data = assembled(with_folds.filter(F.col("fold") != k), medians).select(VECTOR, K.TARGET_NAME)
+    return EstimatorScorer(estimator().fit(data), medians).predict(with_folds.filter(F.col("fold") == k))
 
 
 def train_and_save(train: DataFrame, path: str, n_splits: int = K.DEFAULT_SPLITS,
                    max_iter: int = K.GBT_PARAMS["n_estimators"]):
-    """Grouped CV, then the final fit on all rows, then the bundle."""
-    from nightjar.operators.gbt import fit_gbt, save_bundle
+    """Grouped CV and the final fit on all rows, in the same passes, then the bundle."""
+    from nightjar.operators.gbt import GBTScorer, node_table, save_bundle
 
-    result = cross_validate_gbt(train, n_splits, max_iter)
-    metrics = summary_dict(result.summary())
-    scorer = fit_gbt(result.with_folds, fold_imputation(result.medians).get(0, {}), max_iter=max_iter,
-                     metrics=metrics)
+    result = cross_validate_gbt(train, n_splits, max_iter, final=True)
+    scorer = GBTScorer(node_table(result.nodes), fold_imputation(result.medians).get(0, {}), summary_dict(result.summary()))
     counts = result.folds.agg(F.sum("n_rows").alias("rows"), F.count(F.lit(1)).alias("participants")).first()
     save_bundle(scorer, path, counts["rows"], counts["participants"])
     return scorer, result

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from nightjar import constants as K
 from nightjar.functions.formatting import fixed_decimals
 from nightjar.operators.report import deterministic_report, result_json, safe_struct
 from nightjar.sinks.export import EXPORT_PARTS, save_evaluation_outputs, write_batch_csv, write_batch_export
@@ -9,6 +10,10 @@ from nightjar.sinks.export import EXPORT_PARTS, save_evaluation_outputs, write_b
 FACTOR = "array<struct<feature:string,display_name:string,feature_value:double,shap_value:double>>"
 
 
+#: No wording may name an illness or a cause.
+K_FORBIDDEN = ("insomnia", "apnoea", "apnea", "caffeine", "alcohol", "stress", "disorder")
+
+
 def report(spark, mae, low, warnings=()):
     df = spark.createDataFrame([(82.4, "mildly reduced efficiency", mae, low, [], list(warnings))],
                                f"p double, b string, m double, lo {FACTOR}, up {FACTOR}, w array<string>")
@@ -16,16 +21,14 @@ def report(spark, mae, low, warnings=()):
                                           F.col("w"))).collect()[0][0]
 
 
-def test_fallback_is_safe_and_includes_uncertainty(spark):
-    text = report(spark, 3.1, [("restless", "restlessness", 42.0, -3.2)])
-    lower = text.lower()
-    assert text.startswith("Estimated sleep efficiency")
-    assert "3.1 percentage points" in text
-    assert "- restlessness was associated with a lower model estimate; its SHAP contribution was " \
-           "approximately 3.20 percentage points." in text
-    assert "wearable measurements are estimates" in lower
-    for word in ("diagnose insomnia", "diagnose sleep apnoea", "caffeine", "stress"):
-        assert word not in lower
+def test_every_part_of_the_template_is_filled(spark):
+    text = report(spark, 4.75, [("rmssd", "heart-rate variability", 21.0, -0.125)], ["short night"])
+    lines = [line for line in text.split("\n") if line]
+    assert lines[:2] == [K.REPORT_TITLE, K.REPORT_ESTIMATE.format(predicted="82.4", band="mildly reduced efficiency")]
+    assert K.REPORT_FACTOR_LINE.format(label="heart-rate variability", direction=K.REPORT_LOWER, value="0.12") in lines
+    assert any(K.REPORT_MAE.format(mae="4.8") in line for line in lines) and text.endswith(K.REPORT_NOTES + "short night") is (K.REPORT_NOTES + "short night" in text[-30:])
+    fixed = [getattr(K, name) for name in dir(K) if name.startswith("REPORT_")]
+    assert not any(word in part.lower() for part in [text, *fixed] for word in K_FORBIDDEN)
 
 
 def test_report_without_mae_or_factors(spark):

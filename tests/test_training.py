@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.regression import LinearRegression
@@ -15,11 +16,11 @@ from nightjar.plans.training import cross_validate_gbt, summary_dict, train_and_
 
 
 def sleepers(spark, nights=(9, 2, 2, 2, 2, 1)):
-    """Nights of several people, the first with half of them; efficiency follows two features."""
-    rows = []
+    """Nights of several people, the first with half of them; independent features, efficiency follows two of them."""
+    rows, rng = [], np.random.default_rng(8)
     for person, n in enumerate(nights):
-        for k in range(n):
-            x = {f: float((person * 31 + k * 17 + i * 7) % 23) / 23 for i, f in enumerate(K.MODEL_FEATURES)}
+        for _ in range(n):
+            x = dict(zip(K.MODEL_FEATURES, rng.random(len(K.MODEL_FEATURES)).tolist()))
             rows.append({"participant_id": f"S{person}", "date": date(2023, 1, 1) + timedelta(days=len(rows)), **x, "efficiency": 70 + 9 * x["deep_sleep_percent"] - 4 * x["restless"]})
     return spark.createDataFrame(pd.DataFrame(rows))
 
@@ -38,7 +39,7 @@ def test_every_person_is_predicted_by_models_that_never_saw_them(spark):
 
 
 def test_another_estimator_and_no_rows(spark):
-    data = sleepers(spark)
+    data = sleepers(spark, (27, 6, 6, 6, 6, 3))  # 27 rows a fold for 16 coefficients
     result = cross_validate_gbt(data, n_splits=2, estimator=lambda: LinearRegression(featuresCol=VECTOR, labelCol="efficiency"))
     assert result.mae_metrics()["mae"] < 1e-6
     with pytest.raises(PreprocessingError, match="No valid training rows"):
