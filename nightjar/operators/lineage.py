@@ -12,20 +12,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightjar.session import ensure_checkpoint_dir
 
 
+def table_path(spark: SparkSession, label: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/nightjar/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/nightjar/{label}-{uuid.uuid4().hex}"
+    path = table_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 
 
+class Tables:
+    """Owner of the intermediate tables of one computation; deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = table_path(self.spark, label)
+        df.write.mode("error").parquet(path)
+        table = self.spark.read.parquet(path)
+        self.paths[id(table)] = path, table
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """The caller has no use for these any more, nor for any plan that reads them."""
+        for table in tables:
+            path, _ = self.paths.pop(id(table))
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def drop_all(self) -> None:
+        self.drop(*[table for _, table in self.paths.values()])
+
+
 def filter_derived(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on columns derived by a long projection chain.
 
