@@ -7,25 +7,26 @@ words are never removed.
 
 1. Words are ordered from rare to common by the frequency of their hash bucket,
    counted over all lines (``BUCKETS`` counters, whatever the vocabulary).
-2. Lines with equal sets meet by a 128-bit hash of the set; the first stays in.
-3. Each distinct set is indexed by its prefix, its n - ceil(t n) + 1 rarest words.
-   Two similar sets share a prefix word, and at the first one they share the
-   length filter, the positional filter and a parity-bitmap filter (the bits of
-   the words that only one of two sets holds can't outnumber these words) let
-   the pair pass, so none is lost.
-4. Within the lines of a prefix word, a line is first tried against the earliest
-   line and the ``TRIES`` before it. That covers every pair of small groups; a
-   line that is still unmatched in a larger group meets all earlier lines of it.
-   In a group of near copies the first tries settle nearly all lines, so the
+2. Lines with equal sets meet by a 128-bit hash of the set; the first stays in. A table
+   holds each distinct set's first line, size, parity bitmap, prefix (its
+   n - ceil(t n) + 1 rarest words) and a few extreme word hashes.
+3. A line is first tried against the earliest line that shares an extreme (least or
+   greatest) hash with it. That settles nearly all lines of a group of near copies, so that the
    pairs of such a group are not enumerated.
+4. The lines that are still open meet all earlier lines by their prefix words: two similar sets
+   share a prefix word, and at the first one they share the length filter, the positional filter and
+   a bitmap filter (the bits of the words that only one of two sets holds can't outnumber these
+   words) let the pair pass, so none is lost. The filters are the join's condition; only pairs that pass are rows.
 5. Candidate pairs are verified on their whole word sets, read again from the
    texts of the documents concerned.
 
+Intermediate tables are deleted as soon as the next step is written.
+
 Word identity is the 64-bit hash of the word. Defined results: null texts have
 no lines to remove and stay null; rows with equal doc_id and text are one
 document (all keep the same lines), rows with equal doc_id and another text
 follow in the order of a text hash; null ids come first; an empty table gives no
-rows; other columns ride along.
+rows; a line of any length is one row until its prefix is indexed; other columns ride along, but for names that begin with ``__line_``.
 """
 
 from __future__ import annotations
@@ -34,16 +35,16 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nightjar.operators.lineage import materialize
+from nightjar.operators.lineage import Tables
 
 THRESHOLD = 0.8
 #: Word-frequency counters; a power of two.
 BUCKETS = 1 << 16
-TRIES = 7
 LOW_BITS = 64 - 16
+#: Odd factors of the orders whose least and greatest word hashes are tried first.
+TRIED_ORDERS = (1, 0x9E3779B1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -54,8 +55,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _hashes(line: Column) -> Column:
     """Distinct 64-bit hashes of a line's lower-case words."""
-    words = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
-    return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    plain = F.when(line.rlike("[\t\x0b\x0c\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    words = F.transform(F.split(F.lower(plain), " "), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.array_remove(words, F.xxhash64(F.lit(""))))
 
 
 def _bucket(h: Column) -> Column:
@@ -88,40 +90,49 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], t: float) -> Column:
     return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * t - 1e-9) & (most >= need) & (apart <= total - 2 * need)
 
 
-def _indexed(docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
-    """One row per distinct set and prefix word: token, place (first line), n, i, bits. Sets too small for unequal matches have one row."""
+def _sets(docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
+    """One row per distinct set: place (first line), n, bits, prefix, extremes. Sets too small for unequal matches have one key, their hash."""
     words = _lines(docs).select("doc_id", "tp", ordered_words(F.col("line"), ranks).alias("words")).filter(F.size("words") > 0)
     n = F.size("words")
     alone = math.ceil(t / (1 - t) - 1e-9) - 1  # up to so many words only equal sets reach t
-    prefix = F.when(n <= alone, F.array(F.xxhash64("words"))).otherwise(F.slice("words", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1))
+    prefix = F.when(n <= alone, F.array().cast("array<bigint>")).otherwise(F.slice("words", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1))
     bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63L as int)))")
-    line = F.struct(F.struct("doc_id", "tp").alias("place"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    extreme = [f(_scrambled(factor)) for factor in TRIED_ORDERS for f in (F.array_min, F.array_max)]
+    extremes = F.when(n > alone, F.array(*[F.xxhash64(F.lit(i), x) for i, x in enumerate(extreme)])).otherwise(F.array().cast("array<bigint>"))
+    line = F.struct(F.struct("doc_id", "tp").alias("place"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), extremes.alias("extremes"))
     sets = words.select(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), F.col("words")).alias("b"), line.alias("line"))
-    first = sets.groupBy("a", "b").agg(F.min("line").alias("line")).select("line.*")
-    return first.select("place", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    return sets.groupBy("a", "b").agg(F.min("line").alias("line")).select("line.*")
+
 
+def _scrambled(factor: int) -> Column:
+    """The words' low bits in another order."""
+    low = (1 << 31) - 1
+    return F.transform("words", lambda w: (w.bitwiseAND(low) * F.lit(factor)).bitwiseAND(F.lit((1 << 48) - 1)))
 
-def _candidates(index: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of the first tries (place, i, tried), and the rows of the groups that have more lines than tries."""
-    along = W.partitionBy("token").orderBy("place")
-    row = F.struct("place", "n", "i", "bits")
-    me = {c: F.col(c) for c in ("n", "i", "bits")}
 
-    def if_near(other: Column) -> Column:
-        return F.when(_may_match(me, {c: other[c] for c in ("n", "i", "bits")}, t), other["place"])
+def _tries(sets: DataFrame, t: float) -> DataFrame:
+    """Pairs (x, y): each line with the earliest line that shares one of its extremes."""
+    keyed = sets.select("place", "n", "bits", F.explode("extremes").alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("place", "n", "bits")).alias("y"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    x = {"n": F.col("n"), "bits": F.col("bits"), "i": F.lit(0)}
+    y = {"n": F.col("y.n"), "bits": F.col("y.bits"), "i": F.lit(0)}
+    met = keyed.join(first, "key").filter((F.col("y.place") < F.col("place")) & _may_match(x, y, t))
+    return met.select(F.col("place").alias("x"), F.col("y.place").alias("y")).distinct()
 
-    seen = index.withColumn("nth", F.row_number().over(along)).withColumn("first", F.first(row).over(along))
-    for k in range(1, TRIES + 1):
-        seen = seen.withColumn(f"lag{k}", F.lag(row, k).over(along))
-    seen = seen.withColumn("size", F.max("nth").over(W.partitionBy("token")))
-    tries = F.array_distinct(F.array_compact(F.array(F.when(F.col("nth") > 1, if_near(F.col("first"))), *[if_near(F.col(f"lag{k}")) for k in range(1, TRIES + 1)])))
-    kept = seen.select("place", "n", "i", "bits", "token", "nth", (F.col("size") > TRIES + 2).alias("large"), tries.alias("tried"))
-    kept = materialize(kept.filter((F.col("i") == 0) | F.col("large") | (F.size("tried") > 0)), "lines-tried")
-    return kept, kept.filter("large").select("place", "n", "i", "bits", "token", "nth")
 
+def _candidates(sets: DataFrame, gone: DataFrame, t: float) -> DataFrame:
+    """Pairs (x, y): each open line with the earlier lines that share a prefix word and pass all filters."""
+    marked = sets.filter(F.size("prefix") > 0).join(gone.select(F.col("x").alias("place"), F.lit(0).alias("open")), "place", "left")
+    index = marked.select("place", "n", "bits", F.coalesce("open", F.lit(1)).alias("open"), F.posexplode("prefix").alias("i", "token"))
+    x, y = ({c: F.col(f"{k}.{c}") for c in ("place", "n", "i", "bits", "token", "open")} for k in "xy")
+    # The condition on x.open names y too, so that both sides read one exchange.
+    is_open = x["open"] + y["open"] * 0 > 0
+    pairs = index.alias("x").join(index.alias("y"), (x["token"] == y["token"]) & is_open & (y["place"] < x["place"]) & _may_match(x, y, t))
+    return pairs.select(x["place"].alias("x"), y["place"].alias("y")).distinct()
 
-def _verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
-    """The places x of pairs (x, y) whose whole sets reach the threshold."""
+
+def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
+    """The places x of pairs (x, y) whose whole sets reach the threshold, as a table."""
     places = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct()
     wanted = places.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set("place.tp").alias("tps"))
     texts = docs.select("doc_id", "text", F.hash("text").alias("th"))
@@ -129,11 +140,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, t: float) ->
     found = texts.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.text", "w.tps")
     lines = (_lines_of(found).filter(F.array_contains("tps", F.col("tp")))
              .select(F.struct("doc_id", "tp").alias("place"), ordered_words(F.col("line"), ranks).alias("words")))
-    lines = materialize(lines, "lines-words")
+    lines = tables.write(lines, "lines-words")
     left, right = (lines.groupBy("place").agg(F.first("words").alias("words")).select(F.col("place").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
     common = F.size(F.array_intersect("wx", "wy"))
     near = common >= (F.size("wx") + F.size("wy") - common) * F.lit(t) - 1e-9
-    return pairs.join(left, "x").join(right, "y").filter(near).select("x").distinct()
+    found = tables.write(pairs.join(left, "x").join(right, "y").filter(near).select("x").distinct(), "lines-gone")
+    tables.drop(lines)
+    return found
 
 
 def _lines_of(found: DataFrame) -> DataFrame:
@@ -143,22 +156,22 @@ def _lines_of(found: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, th, kept: the numbers of the lines with words that stay, per document that keeps any."""
-    slim = docs.select("doc_id", "text")
+    slim, tables = docs.select("doc_id", "text"), Tables(docs.sparkSession)
     ranks = word_ranks(slim)
-    tried, large = _candidates(_indexed(slim, ranks, t), t)
-    pairs = materialize(tried.select(F.col("place").alias("x"), F.explode("tried").alias("y")).distinct(), "lines-pairs")
-    gone = materialize(_verified(pairs, slim, ranks, t), "lines-gone")
-    # Lines that the first tries left unmatched in a larger group, against all earlier lines of it.
-    left = large.filter(F.col("nth") > TRIES + 2).join(gone.select(F.col("x").alias("place")), "place", "left_anti")
-    x, y = ({c: F.col(f"{k}.{c}") for c in ("place", "n", "i", "bits", "token")} for k in "xy")
-    rest = (left.alias("x").join(large.alias("y"), (x["token"] == y["token"]) & (y["place"] < x["place"]) & _may_match(x, y, t))
-            .select(x["place"].alias("x"), y["place"].alias("y")).distinct().join(pairs, ["x", "y"], "left_anti"))
-    rest = materialize(rest, "lines-rest")
-    if not rest.isEmpty():
-        gone = gone.union(_verified(rest, slim, ranks, t))
-    stay = tried.filter("i = 0").select("place").join(gone.select(F.col("x").alias("place")), "place", "left_anti")
+    sets = tables.write(_sets(slim, ranks, t), "lines-sets")
+    tries = tables.write(_tries(sets, t), "lines-tries")
+    settled = _verified(tables, tries, slim, ranks, t)
+    tables.drop(tries)
+    pairs = tables.write(_candidates(sets, settled, t), "lines-pairs")
+    later = _verified(tables, pairs, slim, ranks, t)
+    tables.drop(pairs)
+    gone = settled.union(later)
+    stay = sets.select("place").join(gone.select(F.col("x").alias("place")), "place", "left_anti")
     number = F.expr("cast(place.tp - shiftleft(shiftright(place.tp, 32), 32) as int)")
-    return stay.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set(number).alias("kept"))
+    kept = stay.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set(number).alias("kept"))
+    kept = Tables(docs.sparkSession).write(kept, "lines-kept")  # read by the caller's plan
+    tables.drop_all()
+    return kept
 
 
 def removed_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -166,18 +179,18 @@ def removed_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     lines = F.split("text", "\n")
     worded = F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0, i)), lambda i: i.isNotNull())
     slim = docs.select("doc_id", "text")
-    kept = kept_lines(slim, t).withColumnsRenamed({"doc_id": "__doc", "th": "__th", "kept": "__kept"})
+    kept = kept_lines(slim, t).withColumnsRenamed({"doc_id": "__line_doc", "th": "__line_th", "kept": "__line_kept"})
     facts = slim.select("doc_id", F.hash("text").alias("th"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(worded, F.array().cast("array<int>")).alias("worded"))
-    out = facts.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")), "left")
-    removed = F.sort_array(F.array_except("worded", F.coalesce("__kept", F.array().cast("array<int>"))))
+    out = facts.join(kept, F.col("doc_id").eqNullSafe(F.col("__line_doc")) & (F.col("th") == F.col("__line_th")), "left")
+    removed = F.sort_array(F.array_except("worded", F.coalesce("__line_kept", F.array().cast("array<int>"))))
     return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """The documents with later matching lines taken out of their texts; all other columns as they are."""
     columns = docs.columns
-    kept = kept_lines(docs, t).withColumnsRenamed({"doc_id": "__doc", "th": "__th", "kept": "__kept"})
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.hash("text") == F.col("__th")), "left")
-    stays = lambda x, i: (F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) == 0) | F.array_contains("__kept", i)
+    kept = kept_lines(docs, t).withColumnsRenamed({"doc_id": "__line_doc", "th": "__line_th", "kept": "__line_kept"})
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__line_doc")) & (F.hash("text") == F.col("__line_th")), "left")
+    stays = lambda x, i: (F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) == 0) | F.array_contains("__line_kept", i)
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(stays(x, i), F.lit(False))), "\n")
     return joined.withColumn("text", text).select(*columns)
