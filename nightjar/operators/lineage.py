@@ -10,6 +10,7 @@ survives the loss of any executor.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,9 @@ class Tables:
             path, _ = self.paths.pop(id(table))
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        # Spark deletes the shuffle files of plans that are no longer referred to, on either side, at a collection.
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def drop_all(self) -> None:
         self.drop(*[table for _, table in self.paths.values()])
