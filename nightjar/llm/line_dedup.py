@@ -92,7 +92,9 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], t: float) -> Column:
 
 def _sets(docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
     """One row per distinct set: place (first line), n, bits, prefix, extremes. Sets too small for unequal matches have one key, their hash."""
-    words = _lines(docs).select("doc_id", "tp", ordered_words(F.col("line"), ranks).alias("words")).filter(F.size("words") > 0)
+    # A filter on the words would be pushed below their projection and make them twice.
+    worded = _lines(docs).filter(F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0)
+    words = worded.select("doc_id", "tp", ordered_words(F.col("line"), ranks).alias("words"))
     n = F.size("words")
     alone = math.ceil(t / (1 - t) - 1e-9) - 1  # up to so many words only equal sets reach t
     prefix = F.when(n <= alone, F.array().cast("array<bigint>")).otherwise(F.slice("words", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1))
