@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 4_000_000
-BLOCK_DOCS = 4096
+BLOCK_CHARS = 1_000_000
+BLOCK_DOCS = 2048
 
 
 def encode_block(model, texts: list[str], spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +80,7 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by blanks) and of the decoded text."""
+    """doc_id, n_tokens, SHA-256 of the ids (decimal, joined by blanks) and of the decoded text, and how many bytes of the original the pieces' spans hold."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                          (F.aggregate("ends", F.lit(0).cast("long"), lambda a, x: a + x) - F.aggregate("starts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("spanned_bytes"))
