@@ -8,7 +8,7 @@ words are never removed.
 1. Words are ordered from rare to common by the frequency of their hash bucket,
    counted over all lines (``BUCKETS`` counters, whatever the vocabulary).
 2. Lines with equal sets meet by a 128-bit hash of the set; the first stays in. A table
-   holds each distinct set's first line, size, parity bitmap, prefix (its
+   holds each distinct set's first line, size, parity bitmaps, prefix (its
    n - ceil(t n) + 1 rarest words) and a few extreme word hashes.
 3. A line is first tried against the earliest line that shares an extreme (least or
    greatest) hash with it. That settles nearly all lines of a group of near copies, so that the
@@ -86,7 +86,7 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], t: float) -> Column:
     total = x["n"] + y["n"]
     need = F.ceil(total * F.lit(t / (1 + t)) - 1e-9)
     most = F.lit(1) + F.least(x["n"] - x["i"], y["n"] - y["i"]) - 1
-    apart = F.bit_count(x["bits"].bitwiseXOR(y["bits"]))
+    apart = F.bit_count(x["bits"].bitwiseXOR(y["bits"])) + F.bit_count(x["more"].bitwiseXOR(y["more"]))
     return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * t - 1e-9) & (most >= need) & (apart <= total - 2 * need)
 
 
@@ -98,10 +98,12 @@ def _sets(docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
     n = F.size("words")
     alone = math.ceil(t / (1 - t) - 1e-9) - 1  # up to so many words only equal sets reach t
     prefix = F.when(n <= alone, F.array().cast("array<bigint>")).otherwise(F.slice("words", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1))
-    bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63L as int)))")
+    # Parities of 128 word classes: 64 would leave long lines alike by chance.
+    bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L - (shiftright(w, 6) & 1L), cast(w & 63L as int)))")
+    more = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(shiftright(w, 6) & 1L, cast(w & 63L as int)))")
     extreme = [f(_scrambled(factor)) for factor in TRIED_ORDERS for f in (F.array_min, F.array_max)]
     extremes = F.when(n > alone, F.array(*[F.xxhash64(F.lit(i), x) for i, x in enumerate(extreme)])).otherwise(F.array().cast("array<bigint>"))
-    line = F.struct(F.struct("doc_id", "tp").alias("place"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), extremes.alias("extremes"))
+    line = F.struct(F.struct("doc_id", "tp").alias("place"), n.alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix"), extremes.alias("extremes"))
     sets = words.select(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), F.col("words")).alias("b"), line.alias("line"))
     return sets.groupBy("a", "b").agg(F.min("line").alias("line")).select("line.*")
 
@@ -114,10 +116,10 @@ def _scrambled(factor: int) -> Column:
 
 def _tries(sets: DataFrame, t: float) -> DataFrame:
     """Pairs (x, y): each line with the earliest line that shares one of its extremes."""
-    keyed = sets.select("place", "n", "bits", F.explode("extremes").alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("place", "n", "bits")).alias("y"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    x = {"n": F.col("n"), "bits": F.col("bits"), "i": F.lit(0)}
-    y = {"n": F.col("y.n"), "bits": F.col("y.bits"), "i": F.lit(0)}
+    keyed = sets.select("place", "n", "bits", "more", F.explode("extremes").alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("place", "n", "bits", "more")).alias("y"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    x = {"n": F.col("n"), "bits": F.col("bits"), "more": F.col("more"), "i": F.lit(0)}
+    y = {"n": F.col("y.n"), "bits": F.col("y.bits"), "more": F.col("y.more"), "i": F.lit(0)}
     met = keyed.join(first, "key").filter((F.col("y.place") < F.col("place")) & _may_match(x, y, t))
     return met.select(F.col("place").alias("x"), F.col("y.place").alias("y")).distinct()
 
@@ -125,8 +127,8 @@ def _tries(sets: DataFrame, t: float) -> DataFrame:
 def _candidates(sets: DataFrame, gone: DataFrame, t: float) -> DataFrame:
     """Pairs (x, y): each open line with the earlier lines that share a prefix word and pass all filters."""
     marked = sets.filter(F.size("prefix") > 0).join(gone.select(F.col("x").alias("place"), F.lit(0).alias("open")), "place", "left")
-    index = marked.select("place", "n", "bits", F.coalesce("open", F.lit(1)).alias("open"), F.posexplode("prefix").alias("i", "token"))
-    x, y = ({c: F.col(f"{k}.{c}") for c in ("place", "n", "i", "bits", "token", "open")} for k in "xy")
+    index = marked.select("place", "n", "bits", "more", F.coalesce("open", F.lit(1)).alias("open"), F.posexplode("prefix").alias("i", "token"))
+    x, y = ({c: F.col(f"{k}.{c}") for c in ("place", "n", "i", "bits", "more", "token", "open")} for k in "xy")
     # The condition on x.open names y too, so that both sides read one exchange.
     is_open = x["open"] + y["open"] * 0 > 0
     pairs = index.alias("x").join(index.alias("y"), (x["token"] == y["token"]) & is_open & (y["place"] < x["place"]) & _may_match(x, y, t))

@@ -42,7 +42,7 @@ def test_digests_and_counts(spark, library):
     df = frame(spark, TEXTS)
     want = sorted((hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest(), len(ids))
                   for ids in (library.encode(t or "", add_eos=True) for t in TEXTS))
-    got = sp_codec.digests(sp_codec.encode(df, PIECE_MODEL, spans=False)).collect()
+    got = sp_codec.digests(sp_codec.encode(df, PIECE_MODEL)).collect()
     assert sorted((r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in got) == want
     counted = token_counts.count_tokens(df, PIECE_MODEL)
     assert counted.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
