@@ -57,7 +57,7 @@ BANDS, ROWS = 16, 4
 IDF_SHARE = 0.5
 #: Rounds in which the texts of a split band meet a random text of it.
 RANDOM_LEADS = 3
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 BLOCK_DOCS = 4096
 HOT_SHARE = 1 / 16
 BUCKETS_PER_PARTITION = 4
