@@ -724,6 +724,9 @@ def q_read_nights_csv(spark, sf_dir):
                     F.when(F.col("error").isNull(), F.col("prediction")).alias("predicted_efficiency"))
 
 
+from nightjar.plans import saved  # noqa: E402,F401  (registers its queries)
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: fn for name, (fn, _) in CATALOG.items()}
 

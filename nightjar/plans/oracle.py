@@ -118,6 +118,7 @@ def quality_ctes(src: str = "nights") -> list[str]:
         warns.append(f"case when not ({fin[f]} between {lo} and {hi}) then {lit(K.WARN_RANGE.format(field=f))} end")
     q1 = [f"concat_ws('; ', {', '.join(errs)}) as errors_text",
           f"concat_ws('; ', {', '.join(warns)}) as warnings_text",
+          f"list_filter([{', '.join(warns)}], lambda w: w is not null) as warnings_list",
           " + ".join(f"(case when ({w}) is not null then 1 else 0 end)" for w in warns) + " as n_warnings_q",
           "case when m_temperature_trend_deviation then 'temperature_trend_deviation' else '' end as missing_optional_text"]
     return [
@@ -298,35 +299,42 @@ def label_sql(row: str = "source_index") -> str:
             f"'Row ' || cast({row} + 2 as varchar))")
 
 
-def batch_ctes(k: int = K.DEFAULT_SPLITS, with_mae: bool = True) -> list[str]:
-    """``sc`` (scored nights), ``fl``/``rk`` (ranked factors), ``mains``; linear fixture model.
+def batch_ctes(k: int = K.DEFAULT_SPLITS, with_mae: bool = True, trees: Settings | None = None) -> list[str]:
+    """``sc`` (scored nights), ``fl``/``rk`` (ranked factors), ``mains``.
 
-    The model's medians are fold 0 of ``med`` (all training rows); its MAE is
-    the mean fold MAE of the same model's cross-validation.
+    The linear fixture model's medians are fold 0 of ``med`` (all training rows); its MAE is
+    the mean fold MAE of the same model's cross-validation. With ``trees`` the model is
+    a fit of boosted trees by these settings instead, without an MAE.
     """
-    value = {f: f"coalesce(b.{f}_f, m0.med_{f}, 0.0)" for f in K.MODEL_FEATURES}
-    terms = linear_terms(lambda f: value[f])
-    pred = linear_prediction({f: f"shap_{f}" for f in K.MODEL_FEATURES})
-    shap = ", ".join(f"{terms[f]} as shap_{f}" for f in K.MODEL_FEATURES)
+    if trees is not None:
+        fitted, nodes = boosted_trees_ctes(trees)
+        ctes = [*fitted, f"nodes as materialized ({nodes})", *tree_shap_ctes(trees)]
+        shap, base, source = ", ".join(f"sh.shap_{f}" for f in K.MODEL_FEATURES), "sh.base_value", "bfeat b join sh using (source_index)"
+        pred = "(base_value + " + " + ".join(f"shap_{f}" for f in K.MODEL_FEATURES) + ")"
+    else:
+        terms = linear_terms(lambda f: f"coalesce(b.{f}_f, m0.med_{f}, 0.0)")
+        ctes = [NIGHTS, *quality_ctes(), *features_ctes("q", "bfeat"), *training_ctes(), *oof_ctes(k)]
+        shap, base = ", ".join(f"{terms[f]} as shap_{f}" for f in K.MODEL_FEATURES), dbl(K.LINEAR_BASE)
+        source = "bfeat b cross join (select * from medw where fold = 0) m0"
+        pred = linear_prediction({f: f"shap_{f}" for f in K.MODEL_FEATURES})
     actual_text = nullify("b.efficiency")
     actual_num = strict_num(actual_text)
     fw = ", ".join(f"case when b.{f}_f is null then {lit(K.WARN_FEATURE_IMPUTED.format(feature=f))} end"
                    for f in K.MODEL_FEATURES)
-    ctes = [NIGHTS, *quality_ctes(), *features_ctes("q", "bfeat"), *training_ctes(), *oof_ctes(k)]
     mae = "null"
-    if with_mae:
+    if with_mae and trees is None:
         ctes += [f"fmm as (select fold, {metric_aggs()} from oof group by fold)",
                  "mm as (select avg(mae) as mae_mean from fmm)"]
         mae = "(select mae_mean from mm)"
     ctes += [
-        f"s0 as (select b.*, {shap}, {label_sql()} as record_label, "
+        f"s0 as (select b.*, {shap}, {base} as base_value, {label_sql()} as record_label, "
         f"case when isfinite({actual_num}) then {actual_num} end as actual, "
         f"case when {actual_text} is not null and {actual_num} is null then "
         f"'could not convert string to float: ''' || {actual_text} || '''' end as actual_error, "
-        f"concat_ws('; ', {fw}) as fw_text, "
+        f"concat_ws('; ', {fw}) as fw_text, list_filter([{fw}], lambda w: w is not null) as fw_list, "
         + " + ".join(f"(case when b.{f}_f is null then 1 else 0 end)" for f in K.MODEL_FEATURES)
         + f" as n_fw, cast({mae} as double) as model_mae "
-        f"from bfeat b cross join (select * from medw where fold = 0) m0)",
+        f"from {source})",
         f"sc as (select *, {pred} as pred, coalesce(error, actual_error) as err, "
         f"concat_ws('; ', nullif(warnings_text, ''), nullif(fw_text, '')) as all_warnings_text from s0)",
         "fl as (" + " union all ".join(
@@ -339,9 +347,9 @@ def batch_ctes(k: int = K.DEFAULT_SPLITS, with_mae: bool = True) -> list[str]:
     return ctes
 
 
-def batch_results_sql(with_mae: bool = True) -> str:
+def batch_results_sql(with_mae: bool = True, trees: Settings | None = None) -> str:
     ok = "sc.err is null"
-    return with_(*batch_ctes(with_mae=with_mae)) + (
+    return with_(*batch_ctes(with_mae=with_mae, trees=trees)) + (
         "select sc.source_index + 2 as source_row, record_label, coalesce(participant_id, email) as participant_id, "
         f"date, case when {ok} then quality else 'Poor' end as data_quality, "
         f"case when {ok} then pred end as predicted_efficiency, actual as actual_efficiency, "
@@ -354,13 +362,13 @@ def batch_results_sql(with_mae: bool = True) -> str:
         "err as error from sc left join mains using (source_index)")
 
 
-def report_sql() -> str:
+def report_sql(trees: Settings | None = None) -> str:
     """Report text per passed night (same template; numbers via printf)."""
     low = (f"'- ' || display_name || ' ' || {lit(K.REPORT_LOWER)} || "
            f"'; its SHAP contribution was approximately ' || printf('%.2f', abs(shap_value)) || ' percentage points.'")
     inc = low.replace(lit(K.REPORT_LOWER), lit(K.REPORT_HIGHER))
     nl = "chr(10)"
-    ctes = batch_ctes(with_mae=True) + [
+    ctes = batch_ctes(with_mae=True, trees=trees) + [
         "lines as (select rk.source_index, case when shap_value < 0 then 0 else 1 end as d, rnk, "
         f"case when shap_value < 0 then {low} else {inc} end as line from rk "
         "where rnk <= 5 and shap_value <> 0)",
@@ -453,7 +461,44 @@ SHORT_FIT = Settings(trees=3, depth=3, bins=16)
 
 
 def boosted_trees_sql(s: Settings = SHORT_FIT) -> str:
-    """Node table of a fit by histograms: a few statements a level, for three trees."""
+    """Node table of a fit by histograms."""
+    ctes, nodes = boosted_trees_ctes(s)
+    return with_(*ctes) + nodes
+
+
+def tree_shap_ctes(s: Settings) -> list[str]:
+    """``sh`` (source_index, base_value, shap_<f>): contributions of the ensemble in ``nodes`` to every row of ``bfeat``.
+
+    By the definition of Shapley values, with the sums over sets of the other features written out: a path of
+    three splits has at most two others.
+    """
+    assert s.depth <= 3
+    value = "leaf.value * (a.o - a.z) * case count(b.f) when 0 then 1.0 when 1 then (product(b.z) + product(b.o)) / 2 " \
+            "else product(b.z) / 3 + (sum(b.o) * sum(b.z) - sum(b.o * b.z)) / 6 + product(b.o) / 3 end"
+    return [
+        "leaf as materialized (select tree, node, value from nodes where tree >= 0 and feature < 0)",
+        # The splits above each leaf: the share of rows that goes its way, and its side.
+        "above as (select l.tree, l.node, p.feature as f, p.threshold, c.node % 2 as side, c.cover / p.cover as share "
+        f"from leaf l cross join range({s.depth}) j(n) join nodes c on c.tree = l.tree and c.node = l.node >> j.n and c.node > 1 "
+        "join nodes p on p.tree = l.tree and p.node = c.node >> 1)",
+        "way as materialized (select tree, node, f, product(share) as z, coalesce(max(threshold) filter (where side = 1), '-infinity'::double) as low, "
+        "coalesce(min(threshold) filter (where side = 0), 'infinity'::double) as high from above group by tree, node, f)",
+        "bv as (select coalesce((select sum(v) from (select any_value(leaf.value) * product(z) as v from leaf join way using (tree, node) group by tree, node)), 0.0) "
+        "+ coalesce((select sum(value) from leaf where node = 1), 0.0) + (select sum(value) from nodes where tree < 0) as base_value)",
+        "xs as (select source_index, unnest([" + ", ".join(f"{{'f': {i}, 'x': coalesce({f}_f, med_{f}, 0.0)}}" for i, f in enumerate(K.MODEL_FEATURES))
+        + "]) as x from bfeat, shape)",
+        "met as materialized (select source_index, tree, node, way.f, z, case when x.x > low and x.x <= high then 1.0::double else 0.0::double end as o from xs join way on way.f = x.f)",
+        f"part as (select a.source_index, a.f, {value} as v from met a left join met b on b.source_index = a.source_index and b.tree = a.tree and b.node = a.node "
+        "and b.f <> a.f join leaf on leaf.tree = a.tree and leaf.node = a.node group by a.source_index, a.tree, a.node, a.f, a.o, a.z, leaf.value)",
+        "shapes as (select source_index, " + ", ".join(f"coalesce(sum(v) filter (where f = {i}), 0.0) as shap_{f}" for i, f in enumerate(K.MODEL_FEATURES))
+        + " from part group by source_index)",
+        "sh as (select source_index, base_value, " + ", ".join(f"coalesce(shap_{f}, 0.0) as shap_{f}" for f in K.MODEL_FEATURES)
+        + " from bfeat left join shapes using (source_index), bv)",
+    ]
+
+
+def boosted_trees_ctes(s: Settings) -> tuple[list[str], str]:
+    """The CTEs of a fit by histograms, a few a level, and the query of its node table."""
     values = {f: f"cast(round({f}_f, 6) as double)" for f in K.MODEL_FEATURES}
     target = "85.0::double + 0.05::double * (n_rmssd - 60.0::double) - 0.03::double * (n_restless - 60.0::double)"
     shapes = ", ".join(f"min({f}) as lo_{f}, max({f}) as hi_{f}, median({f}) as med_{f}" for f in K.MODEL_FEATURES)
@@ -493,4 +538,4 @@ def boosted_trees_sql(s: Settings = SHORT_FIT) -> str:
                  f"from ({levels}) x left join edge on edge.f = x.f)",
                  f"f{t + 1} as materialized (select f{t}.id, y, p + value as p from f{t} join p{t}_{s.depth} using (id) join t{t} using (node))"]
         parts.append(f"select {t} as tree, node, feature, threshold, value, cover from t{t}")
-    return with_(*ctes) + " union all ".join(parts)
+    return ctes, " union all ".join(parts)
