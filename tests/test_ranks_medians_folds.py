@@ -90,3 +90,31 @@ def test_too_few_participants(spark):
     rows = grouped_rows(spark)
     with pytest.raises(GroupedValidationError, match="at least 7 participants; found 6"):
         check_participants(participant_folds(rows, 7), 7)
+
+
+@pytest.mark.parametrize("margin, sketch", [(0.01, 2048), (0.001, 8)])
+def test_medians_by_selection_are_exact(spark, monkeypatch, margin, sketch):
+    """Ties, hot values and signs; a coarse sketch with narrow brackets has to widen them."""
+    from nightjar.operators import impute
+
+    monkeypatch.setattr(impute, "SKETCH_K", sketch)
+    rng = np.random.default_rng(11)
+    n = 4000
+    pdf = pd.DataFrame({"spread": rng.normal(0, 1e6, n), "hot": np.where(rng.random(n) < 0.4, 3.5, rng.normal(3.5, 1, n)),
+                        "two": np.where(np.arange(n) % 2, -1.0, 1.0), "one": 7.0, "none": np.nan, "rare": np.where(rng.random(n) < 0.001, rng.random(n), np.nan)})
+    pdf["fold"] = np.where(rng.random(n) < 0.5, 1, rng.integers(2, 4, n))
+    names = [c for c in pdf.columns if c != "fold"]
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    got = fold_medians(df, 3, names, margin=margin).toPandas().set_index(["fold", "feature"])
+    for k in range(4):
+        part = pdf[pdf["fold"] != k] if k else pdf
+        for f in names:
+            assert got.loc[(k, f), "n_values"] == part[f].notna().sum()
+            assert got.loc[(k, f), "median"] == pytest.approx(part[f].median(), rel=1e-15, nan_ok=True)
+    ranked = fold_medians(df, 3, names, num_buckets=3, margin=margin).toPandas().set_index(["fold", "feature"])
+    pd.testing.assert_frame_equal(ranked, got)
+
+
+def test_medians_of_an_empty_table(spark):
+    got = fold_medians(spark.createDataFrame([], "fold int, x double"), 2, ["x"]).collect()
+    assert [tuple(r) for r in got] == [(k, "x", None, 0) for k in range(3)]
