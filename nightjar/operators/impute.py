@@ -76,9 +76,9 @@ def _sketches(train: DataFrame, features: Sequence[str], fold_col: str, ks: list
     counted_for = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (k == 0) | ~k.eqNullSafe(F.col("__fold").cast("int")))
     merged = per_fold.withColumn("__k", F.explode(counted_for)).groupBy("__k").agg(
         *[F.sum(f"n_{f}").alias(f"n_{f}") for f in features], *[F.kll_merge_agg_double(f, SKETCH_K).alias(f) for f in features])
-    at = lambda f, share: F.when(F.col(f"n_{f}") > 0, F.kll_sketch_get_quantile_double(f, F.lit(share)))
-    shares = [i / SHARES for i in range(SHARES + 1)]
-    rows = merged.select("__k", *[f"n_{f}" for f in features], *[F.array(*[at(f, s) for s in shares]).alias(f) for f in features]).collect()
+    shares = F.lit([i / SHARES for i in range(SHARES + 1)])
+    quantiles = [F.when(F.col(f"n_{f}") > 0, F.kll_sketch_get_quantile_double(f, shares)).alias(f) for f in features]
+    rows = merged.select("__k", *[f"n_{f}" for f in features], *quantiles).collect()
     return {r["__k"]: r.asDict() for r in rows}
 
 
