@@ -1,11 +1,11 @@
 """Participant-disjoint, row-balanced folds.
 
-A participant is in one fold whole. Those with more than N / (LARGE * k) of the
-N rows are at most LARGE * k; they are dealt one by one, most rows first, to the
-fold with the fewest rows so far, on the driver. All others are small against a
-fold: the room that the large ones leave up to a common level is filled with them
-in order of a distributed running total. Folds so differ by at most one small
-participant, unless a large one alone exceeds N / k.
+A participant is in one fold whole. Participants are dealt in order of falling
+rows (ties by id), each to the fold with the fewest rows so far (ties to the first
+fold). Participants of equal size are one class: dealing them goes round the
+lightest folds in a fixed order until a heavier fold joins the round, so a class is
+at most k rounds. The driver walks the classes, at most sqrt(2 N) of them for N rows,
+and a participant finds its fold from its place within its class.
 """
 
 from __future__ import annotations
@@ -15,60 +15,60 @@ from pyspark.sql import functions as F
 
 from nightjar.constants import DEFAULT_SPLITS, PARTICIPANT_COLUMN
 from nightjar.operators.lineage import materialize
-from nightjar.operators.ranks import rows_before, range_buckets
+from nightjar.operators.ranks import range_buckets, rows_before
 
-#: A fold's rows divided by this: participants with more are dealt one by one.
-LARGE = 100
+#: A table of at most this many size classes is broadcast; the size of a larger one decides its join.
+BROADCAST_CLASSES = 50_000
 
 
 class GroupedValidationError(ValueError):
     pass
 
 
-def deal_large(sizes: list[tuple[str, int]], n_splits: int) -> tuple[dict[str, int], list[int]]:
-    """Fold (from 1) per participant, given in falling order of rows, and the rows dealt to each fold."""
-    held, fold = [0] * n_splits, {}
-    for name, rows in sizes:
-        least = held.index(min(held))
-        held[least] += rows
-        fold[name] = least + 1
-    return fold, held
-
-
-def room_left(held: list[int], small: int) -> list[float]:
-    """How many of ``small`` rows each fold takes so that all filled folds end at one level."""
-    level, left = 0.0, float(small)
-    order = sorted(held)
-    for i, rows in enumerate(order):
-        below = order[i + 1] if i + 1 < len(order) else float("inf")
-        level = rows + left / (i + 1)
-        if level <= below:
-            break
-        left -= (below - rows) * (i + 1)
-    return [max(0.0, level - rows) for rows in held]
+def deal_class(held: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Rounds (place of the first participant, folds from 1 in turn) of ``count`` participants of ``size`` rows.
+
+    ``held``, the rows of every fold, is brought up to date.
+    """
+    rounds, place = [], 0
+    while place < count:
+        order = sorted(range(len(held)), key=lambda f: (held[f], f))
+        first = order[0]
+        turn = [f for f in order if (held[f], f) < (held[first] + size, first)]
+        left = count - place
+        if len(turn) < len(held):
+            # The round is left when its last fold would come after the next heavier one.
+            last, joins = turn[-1], order[len(turn)]
+            times = (held[joins] - held[last] - (last > joins)) // size + 1
+            left = min(left, times * len(turn))
+        whole, part = divmod(left, len(turn))
+        rounds.append((place, [f + 1 for f in turn[:left]]))
+        for i, f in enumerate(turn):
+            held[f] += size * (whole + (i < part))
+        place += left
+    return rounds
 
 
 def participant_folds(train: DataFrame, n_splits: int = DEFAULT_SPLITS,
                       participant: str = PARTICIPANT_COLUMN, num_buckets: int | None = None) -> DataFrame:
     """``participant_id, n_rows, fold`` (1-based), one row per participant."""
+    spark = train.sparkSession
     counts = materialize(train.groupBy(participant).agg(F.count(F.lit(1)).alias("n_rows")), "participants")
-    total = counts.agg(F.sum("n_rows")).first()[0] or 0
-    is_large = F.col("n_rows") * (LARGE * n_splits) > total
-    # At most LARGE * n_splits participants can hold that many rows.
-    large = counts.filter(is_large).orderBy(F.col("n_rows").desc(), F.col(participant).asc()).collect()
-    fold, held = deal_large([(r[participant], r["n_rows"]) for r in large], n_splits)
-    room = room_left(held, total - sum(held))
-    edges = [sum(room[:i + 1]) for i in range(n_splits - 1)]
+    # Sizes that differ sum to at most all rows: the table has at most sqrt(2 N) rows.
+    sizes = counts.groupBy("n_rows").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n_rows").desc()).collect()
+    held, before, classes = [0] * n_splits, 0, []
+    for size, n in sizes:
+        classes.append((size, before, deal_class(held, size, n)))
+        before += n
+    dealt = spark.createDataFrame(classes, "n_rows bigint, _first bigint, _rounds array<struct<place:bigint,folds:array<int>>>")
+    if len(classes) <= BROADCAST_CLASSES:
+        dealt = F.broadcast(dealt)
     order = [F.col("n_rows").desc(), F.col(participant).asc()]
-    rest = rows_before(range_buckets(counts.filter(~is_large), order, num_buckets), order, ["n_rows"])
-    number = F.lit(1)
-    for edge in edges:
-        number = number + (F.col("_before_n_rows") >= F.lit(edge) - F.lit(1e-6)).cast("int")
-    small = rest.select(participant, "n_rows", number.cast("int").alias("fold"))
-    kind = counts.schema[participant].dataType.simpleString()
-    dealt = counts.sparkSession.createDataFrame([(r[participant], r["n_rows"], fold[r[participant]]) for r in large],
-                                                f"{participant} {kind}, n_rows bigint, fold int")
-    return small.unionByName(dealt)
+    placed = rows_before(range_buckets(counts.withColumn("_one", F.lit(1)), order, num_buckets), order, ["_one"]).join(dealt, "n_rows")
+    place = F.col("_before__one") - F.col("_first")
+    turn = placed.withColumn("_place", place).withColumn("_turn", F.expr("element_at(filter(_rounds, r -> r.place <= _place), -1)"))
+    fold = F.expr("_turn.folds[cast((_place - _turn.place) % size(_turn.folds) as int)]")
+    return turn.select(participant, "n_rows", fold.alias("fold"))
 
 
 def check_participants(folds: DataFrame, n_splits: int) -> int:

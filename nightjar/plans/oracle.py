@@ -176,28 +176,17 @@ def dbl(x: float) -> str:
 def folds_ctes(k: int) -> list[str]:
     """``folds`` (participant_id, n_rows, fold) and ``wf`` (train + fold).
 
-    Participants with over 1/(100 k) of the rows go one by one to the fold with
-    the fewest rows; the others fill the room up to a common level in order.
+    Participants go one by one, most rows first, to the fold with the fewest rows.
     """
     zeros = ", ".join(["0"] * k)
     return [
         "pc as (select participant_id, count(*) as n_rows from train group by participant_id)",
-        "tot as (select coalesce(sum(n_rows), 0) as n from pc)",
-        f"big as (select participant_id, n_rows, row_number() over (order by n_rows desc, participant_id) as i from pc, tot where n_rows * {100 * k} > n)",
+        "big as materialized (select participant_id, n_rows, row_number() over (order by n_rows desc, participant_id) as i from pc)",
         f"deal(i, participant_id, n_rows, fold, held) as (select cast(0 as bigint), cast(null as varchar), cast(0 as bigint), cast(0 as bigint), [{zeros}]::bigint[] "
         "union all select big.i, big.participant_id, big.n_rows, cast(list_position(held, list_min(held)) as bigint), "
         "list_transform(held, lambda x, p: case when p = list_position(held, list_min(held)) then x + big.n_rows else x end) "
         "from deal join big on big.i = deal.i + 1)",
-        f"bins as (select unnest(range(1, {k + 1})) as f, unnest((select held from deal order by i desc limit 1)) as h)",
-        "little as (select n - (select sum(n_rows) from deal) as s from tot)",
-        # The level at which the room of all folds together takes the small participants' rows.
-        "lev as (select max(l) as l from (select h, (s + sum(h) over (order by h, f rows unbounded preceding)) / count(*) over (order by h, f rows unbounded preceding) as l, "
-        "lead(h) over (order by h, f) as nx from bins, little) where l >= h and (nx is null or l <= nx))",
-        "room as (select f, sum(greatest(0, l - h)) over (order by f) as e from bins, lev)",
-        "sm as (select participant_id, n_rows, coalesce(sum(n_rows) over (order by n_rows desc, participant_id rows between unbounded preceding and 1 preceding), 0) as b "
-        f"from pc, tot where n_rows * {100 * k} <= n)",
-        "folds as (select participant_id, n_rows, cast(fold as integer) as fold from deal where i > 0 union all "
-        f"select participant_id, n_rows, cast(1 + (select count(*) from room where f < {k} and b >= e - 1e-6) as integer) from sm)",
+        "folds as materialized (select participant_id, n_rows, cast(fold as integer) as fold from deal where i > 0)",
         "wf as (select t.*, f.fold from train t join folds f using (participant_id))",
     ]
 

@@ -1,11 +1,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nightjar import constants as K
-from nightjar.operators.folds import GroupedValidationError, attach_folds, check_participants, fold_overlap, \
-    participant_folds
+from nightjar.operators.folds import GroupedValidationError, attach_folds, check_participants, deal_class, \
+    fold_overlap, participant_folds
 from nightjar.operators.impute import fold_medians
 from nightjar.operators.ranks import average_ranks, row_positions
 
@@ -77,13 +79,47 @@ def test_fold_assignment_invariant_to_buckets(spark):
     assert a.equals(b)
 
 
-@pytest.mark.parametrize("sizes, k", [([2000] + [10] * 800, 5), ([3000, 500, 500] + [1] * 5000, 3), ([700, 600, 500, 400] + [3] * 1000, 4), ([1] * 3001, 5)])
-def test_folds_are_level_beside_a_giant_participant(spark, sizes, k):
-    rows = spark.createDataFrame([(f"p{i}", n) for i, n in enumerate(sizes)], "participant_id string, n int").selectExpr("participant_id", "explode(sequence(1, n)) as j")
-    folds = participant_folds(rows, k).toPandas()
-    assert len(folds) == len(sizes) and sorted(folds["n_rows"]) == sorted(sizes) and set(folds["fold"]) == set(range(1, k + 1))
-    held = folds.groupby("fold")["n_rows"].sum()
-    assert held.max() - held.min() <= 0.02 * sum(sizes) / k or sizes[0] > sum(sizes) / k and held.max() == sizes[0]
+def one_by_one(sizes, k):
+    """Fold of each size, given in falling order: the lightest one, the first of equally light ones."""
+    held, folds = [0] * k, []
+    for size in sizes:
+        lightest = min(range(k), key=lambda f: (held[f], f))
+        held[lightest] += size
+        folds.append(lightest + 1)
+    return folds, held
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=40), st.lists(st.integers(200, 3000), max_size=3), st.integers(0, 300), st.integers(2, 7))
+def test_dealing_a_class_is_dealing_one_by_one(middling, giants, ones, k):
+    sizes = sorted(middling + giants + [1] * ones, reverse=True)
+    held, folds = [0] * k, []
+    for size in sorted(set(sizes), reverse=True):
+        rounds = deal_class(held, size, sizes.count(size))
+        assert len(rounds) <= k
+        for place in range(sizes.count(size)):
+            start, turn = [r for r in rounds if r[0] <= place][-1]
+            folds.append(turn[(place - start) % len(turn)])
+    assert (folds, held) == one_by_one(sizes, k)
+
+
+MIDDLING = [97 - i % 60 for i in range(400)]
+
+
+@pytest.mark.parametrize("sizes, k", [([2000] + [10] * 800, 5), ([3000, 500, 500] + [1] * 5000, 3), ([700, 600, 500, 400] + [3] * 1000, 4), ([1] * 3001, 5), (MIDDLING, 5), (MIDDLING + [5000, 4000], 10)])
+def test_every_participant_goes_to_the_lightest_fold(spark, sizes, k, monkeypatch):
+    from nightjar.operators import folds as module
+
+    monkeypatch.setattr(module, "BROADCAST_CLASSES", 20)  # joined with and without a broadcast
+    rows = spark.createDataFrame([(f"p{i:05d}", n) for i, n in enumerate(sizes)], "participant_id string, n int").selectExpr("participant_id", "explode(sequence(1, n)) as j")
+    got = participant_folds(rows, k, num_buckets=7).toPandas().sort_values(["n_rows", "participant_id"], ascending=[False, True])
+    expected, held = one_by_one(sorted(sizes, reverse=True), k)
+    assert list(got["fold"]) == expected and list(got["n_rows"]) == sorted(sizes, reverse=True)
+    assert list(got.groupby("fold")["n_rows"].sum()) == held
+
+
+def test_folds_of_an_empty_table(spark):
+    assert participant_folds(spark.createDataFrame([], "participant_id string"), 3).collect() == []
 
 
 def test_too_few_participants(spark):
