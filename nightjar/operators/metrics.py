@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightjar import constants as K
-from nightjar.operators.ranks import average_ranks
+from nightjar.operators.ranks import BUCKET, average_ranks, range_buckets
 
 ACTUAL, PREDICTED = "actual_efficiency", "predicted_efficiency"
 METRIC_NAMES = ["mae", "rmse", "r2", "pearson_correlation", "spearman_correlation"]
@@ -63,32 +63,60 @@ def _finish(agg: DataFrame) -> DataFrame:
         .drop("_sse", "_sst", "_n", "_cov", "_vx", "_vy", "_x_varies", "_y_varies")
 
 
+def centred_ranks(pairs: DataFrame, value: str, other: str, num_buckets: int | None = None) -> DataFrame:
+    """Adds ``_n`` (rows of the group) and ``_rank``, the tie-averaged rank of ``value`` less the mean rank.
+
+    ``pairs`` are distinct on (_g, value, other) with ``_cnt`` rows each. They are range-partitioned by
+    all three, so a value held by many pairs is in as many buckets as it fills. The ranks inside a
+    bucket are then moved by what the other buckets hold: a small table with the rows of
+    each bucket and group, and of its first and last values, which alone may be in other buckets as well.
+    """
+    bucketed = range_buckets(pairs, [F.col("_g"), F.col(value), F.col(other)], num_buckets)
+    own = ["_g", BUCKET]
+    per_value = bucketed.groupBy(*own, F.col(value).alias("_v")).agg(F.sum("_cnt").alias("_rows"))
+    ends = bucketed.groupBy(*own).agg(F.sum("_cnt").alias("_held"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    # At most buckets + groups rows, and two a row of the edges below: bounded broadcasts.
+    earlier = Window.partitionBy("_g").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(*own, F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_off"),
+                          F.sum("_held").over(Window.partitionBy("_g")).alias("_n"))
+    edge = per_value.join(F.broadcast(ends), own).filter((F.col("_v") == F.col("_lo")) | (F.col("_v") == F.col("_hi")))
+    same = Window.partitionBy("_g", "_v").orderBy(BUCKET)
+    edges = edge.select(*own, F.col("_v").alias(value),
+                        F.coalesce(F.sum("_rows").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_prev"),
+                        F.coalesce(F.sum("_rows").over(same.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_next"))
+    inside = Window.partitionBy(*own).orderBy(value)
+    counted = bucketed.select(
+        "*", F.sum("_cnt").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
+        F.sum("_cnt").over(inside.rangeBetween(Window.currentRow, Window.currentRow)).alias("_ties"))
+    placed = counted.join(F.broadcast(offsets), own).join(F.broadcast(edges), [*own, value], "left")
+    prev, after = F.coalesce("_prev", F.lit(0)), F.coalesce("_next", F.lit(0))
+    first = F.col("_off") + F.col("_upto") - F.col("_ties") - prev
+    rank = first + (F.col("_ties") + prev + after + F.lit(1.0)) / 2.0
+    return placed.select(*pairs.columns, "_n", (rank - (F.col("_n") + F.lit(1.0)) / 2.0).alias("_rank"))
+
+
 def spearman(preds: DataFrame, fold: str = "fold", actual: str = ACTUAL, predicted: str = PREDICTED,
              num_buckets: int | None = None) -> DataFrame:
     """``fold, spearman_correlation`` per fold and for all rows (fold 0).
 
-    Both sides are ranked in one range-partitioned pass over their distinct
-    (side, group, value) keys. The rank tables are joined back without a
-    hint: they grow with the number of distinct values, so AQE decides
-    from their runtime size whether to broadcast them, and splits a skewed
-    key (one value held by many rows) on the row side.
+    The distinct (group, actual, predicted) pairs, counted map-side, carry the ranks of their
+    actual values. Summed per predicted value, these need only the rank of that value, so
+    no row and no pair is joined with a rank table. Rows without either value have no rank.
     """
-    base = preds.select(F.col(fold).alias("_g"), actual, predicted)
-    both = base.unionByName(base.withColumn("_g", F.lit(0)))
-    keys = both.select("_g", F.lit("a").alias("_side"), F.col(actual).alias("_v")).unionByName(
-        both.select("_g", F.lit("p").alias("_side"), F.col(predicted).alias("_v"))
-    ).groupBy("_side", "_g", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    ranks = average_ranks(keys, "_v", "_cnt", ["_side", "_g"], num_buckets).select("_side", "_g", "_v", "avg_rank")
-    ra = ranks.filter(F.col("_side") == "a").select("_g", F.col("_v").alias(actual), F.col("avg_rank").alias("_ra"))
-    rp = ranks.filter(F.col("_side") == "p").select("_g", F.col("_v").alias(predicted), F.col("avg_rank").alias("_rp"))
-    ranked = both.join(ra, ["_g", actual]).join(rp, ["_g", predicted])
-    agg = ranked.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.covar_pop("_ra", "_rp").alias("_cov"), F.var_pop("_ra").alias("_vx"), F.var_pop("_rp").alias("_vy"),
-        (F.min(actual) < F.max(actual)).alias("_x_varies"),
-        (F.min(predicted) < F.max(predicted)).alias("_y_varies"),
-    )
-    return agg.select(F.col("_g").alias(fold), pearson_from().alias("spearman_correlation"))
+    base = preds.select(F.col(fold).alias("_g"), F.col(actual).alias("_a"), F.col(predicted).alias("_p")).dropna(subset=["_a", "_p"])
+    pairs = base.unionByName(base.withColumn("_g", F.lit(0).cast(base.schema["_g"].dataType))) \
+        .groupBy("_g", "_a", "_p").agg(F.count(F.lit(1)).alias("_cnt"))
+    rank = F.col("_rank")
+    values = centred_ranks(pairs, "_a", "_p", num_buckets).groupBy("_g", "_p").agg(
+        F.sum("_cnt").alias("_cnt"), F.max("_n").alias("_n"),
+        F.sum(F.col("_cnt") * rank).alias("_sa"), F.sum(F.col("_cnt") * rank * rank).alias("_saa"))
+    centre = F.col("avg_rank") - (F.col("_n") + F.lit(1.0)) / 2.0
+    agg = average_ranks(values, "_p", "_cnt", ["_g"], num_buckets).groupBy("_g").agg(
+        F.sum(F.col("_sa") * centre).alias("_cov"), F.sum("_saa").alias("_va"), F.sum(F.col("_cnt") * centre * centre).alias("_vp"))
+    r = F.col("_cov") / (F.sqrt("_va") * F.sqrt("_vp"))
+    # All ranks of a constant side are the mean rank: its sum of squares is 0, without rounding.
+    varies = (F.col("_va") > 0) & (F.col("_vp") > 0)
+    return agg.select(F.col("_g").alias(fold), F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("spearman_correlation"))
 
 
 def fold_metrics(preds: DataFrame, fold: str = "fold", participant: str = K.PARTICIPANT_COLUMN,

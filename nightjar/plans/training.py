@@ -52,7 +52,7 @@ class CVResult:
         return {"mae": row["mae"], "mae_mean": row["mae_mean"]}
 
     def summary(self) -> DataFrame:
-        sp = self.spearman()
+        sp = checkpointed(self.spearman(), "spearman")  # k + 1 rows, read twice
         folds = fold_metrics(self.predictions, spearman_table=sp, overlap=self.overlap())
         return cv_summary(self.predictions, folds, self.n_splits, spearman_table=sp)
 

@@ -71,3 +71,43 @@ def test_text_cells_and_schemas(spark, tmp_path):
     typed = read_nights(spark, str(tmp_path / "a.json"), "json", schema="total string, late int")
     assert dict(typed.dtypes) == {"source_index": "bigint", "total": "string", "late": "int"}
     assert typed.filter(F.col("late") == 1).count() == 1
+
+
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_rows_are_numbered_across_files_and_splits(spark, tmp_path, monkeypatch, broadcast):
+    from nightjar.sources import nights as module
+
+    monkeypatch.setattr(module, "BROADCAST_OFFSETS", broadcast)
+    n, size = 3000, "spark.sql.files.maxPartitionBytes"
+    for kind in ("csv", "json", "parquet"):
+        for part, (low, high) in enumerate([(0, 1700), (1700, 1700), (1700, 1701), (1701, n)]):
+            frame = spark.range(low, high, 1, 1).selectExpr("cast(id as string) as total", "concat('x', id) as `__row`")
+            if high == low:
+                frame = frame.limit(0)
+            frame.write.mode("append").option("header", True).format(kind).save(str(tmp_path / kind / f"part={part}"))
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4096")  # a file is several splits
+    try:
+        for kind in ("csv", "json", "parquet"):
+            got = read_nights(spark, str(tmp_path / kind), kind, schema="total string, `__row` string")
+            assert got.columns[0] == "source_index"
+            rows = got.select("source_index", "total").collect()
+            assert sorted((r[0], int(r[1])) for r in rows) == [(i, i) for i in range(n)], kind
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_parquet_is_numbered_without_a_copy(spark, tmp_path):
+    """No table is written and, while the rows are read, none is shuffled."""
+    import os
+
+    spark.range(200).selectExpr("cast(id as string) as total").repartition(3).write.parquet(str(tmp_path / "nights"))
+    folder = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "nightjar")
+    held = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    nights = read_nights(spark, str(tmp_path / "nights"))
+    assert [r[0] for r in nights.orderBy("source_index").collect()] == list(range(200))
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == held
+    plan = nights._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+    spark.createDataFrame([], "total string").write.parquet(str(tmp_path / "none"))
+    assert read_nights(spark, str(tmp_path / "none")).collect() == []

@@ -154,3 +154,31 @@ def test_medians_by_selection_are_exact(spark, monkeypatch, margin, sketch):
 def test_medians_of_an_empty_table(spark):
     got = fold_medians(spark.createDataFrame([], "fold int, x double"), 2, ["x"]).collect()
     assert [tuple(r) for r in got] == [(k, "x", None, 0) for k in range(3)]
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 13])
+def test_spearman_matches_ranks_of_all_rows(spark, buckets):
+    """Hot values that fill several buckets, ties on both sides, a constant fold, one row, empty values."""
+    from nightjar.operators.metrics import spearman
+
+    rng = np.random.default_rng(5)
+    n = 1500
+    pdf = pd.DataFrame({"fold": rng.integers(1, 4, n), "a": np.where(rng.random(n) < 0.6, 80.0, rng.integers(60, 99, n)), "p": rng.normal(80, 9, n)})
+    pdf.loc[rng.random(n) < 0.3, "p"] = 81.5
+    pdf.loc[:40, ["a", "p"]] = [-0.0, 0.0]
+    pdf = pd.concat([pdf, pd.DataFrame({"fold": 4, "a": 5.0, "p": rng.normal(0, 1, 30)}), pd.DataFrame({"fold": [5], "a": [1.0], "p": [2.0]})], ignore_index=True)
+    rows = [(int(f), float(a), float(p)) for f, a, p in pdf.itertuples(index=False)] + [(1, None, 2.0), (2, 3.0, None)]
+    got = {r[0]: r[1] for r in spearman(spark.createDataFrame(rows, "fold int, a double, p double"), "fold", "a", "p", buckets).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5} and got[4] is None and got[5] is None
+    for k in range(4):
+        part = pdf if k == 0 else pdf[pdf["fold"] == k]
+        assert got[k] == pytest.approx(part["a"].rank().corr(part["p"].rank()), abs=1e-12)
+
+
+def test_spearman_joins_no_rows_with_ranks(spark):
+    """Every join of the plan has a broadcast side of at most a few rows a bucket."""
+    from nightjar.operators.metrics import spearman
+
+    preds = spark.range(500).selectExpr("cast(id % 3 + 1 as int) fold", "cast(id % 37 as double) a", "cast(id * id % 101 as double) p")
+    plan = spearman(preds, "fold", "a", "p", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
