@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,14 @@ class Tables:
     def drop_all(self) -> None:
         self.drop(*[table for _, table in self.paths.values()])
 
+    @contextmanager
+    def dropped_at_end(self) -> Iterator[Tables]:
+        """For tables that nothing reads after a block, whether it ends well or not."""
+        try:
+            yield self
+        finally:
+            self.drop_all()
+
 
 def filter_derived(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on columns derived by a long projection chain.

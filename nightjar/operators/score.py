@@ -127,14 +127,16 @@ def batch_results(scored: DataFrame, model_mae: float | None = None, generate_re
     )
 
 
+def summary_aggregates() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col("error").isNull()).alias("n_success"),
+            F.count_if(F.col("error").isNotNull()).alias("n_failed"),
+            F.avg(F.when(F.col("error").isNull(), F.col("predicted_efficiency"))).alias("mean_predicted_efficiency")]
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     """counts and mean prediction in one aggregate."""
-    return results.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("error").isNull()).alias("n_success"),
-        F.count_if(F.col("error").isNotNull()).alias("n_failed"),
-        F.avg(F.when(F.col("error").isNull(), F.col("predicted_efficiency"))).alias("mean_predicted_efficiency"),
-    )
+    return results.agg(*summary_aggregates())
 
 
 def select_first_n(valid: DataFrame, n: int | None = None) -> DataFrame:

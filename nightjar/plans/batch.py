@@ -7,15 +7,18 @@ literals collected once at fit time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from nightjar import constants as K
 from nightjar.operators.features import prepare_training
 from nightjar.operators.model import LinearScorer, fit_linear_scorer
-from nightjar.operators.score import batch_results, score_nights
+from nightjar.operators.quality import schema_columns, schema_counts, schema_report
+from nightjar.operators.score import batch_results, score_nights, summary_aggregates
 from nightjar.operators.impute import imputation_values
 from nightjar.plans.training import cross_validate_linear
 from nightjar.session import tune_session
+from nightjar.sinks import write_batch_export
 
 
 def fit_fixture_model(nights: DataFrame, n_splits: int = 5, with_metrics: bool = True) -> LinearScorer:
@@ -39,6 +42,25 @@ def run_batch(nights: DataFrame, scorer, generate_reports: bool = False,
     return batch_results(scored, scorer.model_mae, generate_reports, fallback_only)
 
 
+def export_batch(nights: DataFrame, scorer, path: str, fmt: str = "parquet", with_preview: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The three-part export, with the one-row batch summary (F11) and schema report (C12-C14) of its rows.
+
+    Both are observed while the rows are computed for the export, so the nights are validated
+    and scored once. A table without a required column is refused before that.
+    """
+    missing = schema_columns(nights.columns)["missing"]
+    if missing:
+        raise ValueError(K.SCHEMA_MISSING + ", ".join(missing))
+    spark = tune_session(nights.sparkSession)
+    validated, summed = Observation(), Observation()
+    scored = score_nights(nights, scorer).observe(validated, *schema_counts())
+    results = batch_results(scored, scorer.model_mae).observe(summed, *summary_aggregates())
+    write_batch_export(results, None, path, preview=nights if with_preview else None, fmt=fmt)
+    counts = spark.createDataFrame([validated.get], "n_rows bigint, n_valid_rows bigint, n_error_rows bigint")
+    summary = spark.createDataFrame([summed.get], "n_rows bigint, n_success bigint, n_failed bigint, mean_predicted_efficiency double")
+    return summary, schema_report(counts, nights.columns)
+
+
 def learnable_nights(nights: DataFrame) -> DataFrame:
     """Valid nights whose target is the fixture's learnable clean variant.
 

@@ -27,7 +27,8 @@ from nightjar.operators.lineage import table_path
 from nightjar.operators.model import EfficiencyModelLoadError
 from nightjar.plans import oracle as O
 from nightjar.plans import training as TR
-from nightjar.plans.catalog import (_BR_D, _CV, _FM, _TOP, SPLITS, both, cv, iso, learnable_training, nights, passed, register, scored, single_result,
+from nightjar.plans.batch import export_batch, fit_fixture_model
+from nightjar.plans.catalog import (_BR_D, _CV, _FM, _TOP, SPLITS, _schema_report_sql, both, cv, iso, learnable_training, nights, passed, register, scored, single_result,
                                     training)
 from nightjar.sinks import save_evaluation_outputs, write_batch_csv, write_batch_export, write_result_json
 
@@ -227,13 +228,28 @@ _PARTS = ["part", "source_row", "text"]
 def q_export_parts(spark, sf_dir):
     s, model = tree_scored(spark, sf_dir)
     results, path = SC.batch_results(s, model.model_mae), table_path(spark, "export")
-    write_batch_export(results, SC.processing_errors(results), path, preview=nights(spark, sf_dir))
+    write_batch_export(results, None, path, preview=nights(spark, sf_dir))
     text = {"Analysis_Results": ("source_row", "record_label"), "Processing_Errors": ("source_row", "error"), "Input_Preview": (F.col("source_index") + 2, "date")}
     parts = [spark.read.parquet(f"{path}/{part}").select(F.lit(part).alias("part"), (F.col(row) if isinstance(row, str) else row).alias("source_row"), F.col(c).alias("text"))
              for part, (row, c) in text.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_OBSERVED = ["n_rows", "n_valid_rows", "n_error_rows", "errors", "warnings", "state"]
+
+
+@both("export_observed", [*_OBSERVED, "n_success", "n_failed", "mean_predicted_efficiency"], ["mean_predicted_efficiency"],
+      f"select {', '.join('r.' + c for c in _OBSERVED)}, s.n_success, s.n_failed, s.mean_predicted_efficiency "
+      f"from ({_schema_report_sql()}) r, (select count(*) filter (where error is null) as n_success, count(*) filter (where error is not null) as n_failed, "
+      f"avg(predicted_efficiency) filter (where error is null) as mean_predicted_efficiency from ({O.batch_results_sql(with_mae=False)}) b) s")
+def q_export_observed(spark, sf_dir):
+    """Schema report and summary as observed by the pass that writes the export."""
+    rows = nights(spark, sf_dir)
+    summary, report = export_batch(rows, fit_fixture_model(rows, with_metrics=False), table_path(spark, "export"))
+    texts = [F.array_join(c, "; ").alias(c) if c in ("errors", "warnings") else c for c in _OBSERVED]
+    return report.select(*texts).crossJoin(summary.drop("n_rows"))  # one row each
+
+
 _EVALUATION = [*ME.METRIC_NAMES, "number_of_rows", "number_of_participants", "mean_actual_efficiency", "mean_predicted_efficiency"]
 
 

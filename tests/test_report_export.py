@@ -1,11 +1,18 @@
 import json
+import os
 
+import pytest
+from conftest import text_frame
 from pyspark.sql import functions as F
 
 from nightjar import constants as K
 from nightjar.functions.formatting import fixed_decimals
+from nightjar.operators.model import LinearScorer
+from nightjar.operators.quality import validate_schema
 from nightjar.operators.report import deterministic_report, result_json, safe_struct
-from nightjar.sinks.export import EXPORT_PARTS, save_evaluation_outputs, write_batch_csv, write_batch_export
+from nightjar.operators.score import batch_results, batch_summary, score_nights
+from nightjar.plans.batch import export_batch
+from nightjar.sinks.export import EXPORT_PARTS, committed, save_evaluation_outputs, write_batch_csv, write_batch_export
 
 FACTOR = "array<struct<feature:string,display_name:string,feature_value:double,shap_value:double>>"
 
@@ -76,3 +83,77 @@ def test_exports_are_written(spark, tmp_path):
                             spark.createDataFrame([(1, 1.0)], "fold int, mae double"), preds)
     header = next((tmp_path / "eval" / "test_predictions").glob("*.csv")).read_text().splitlines()[0]
     assert header == "participant_id,date,actual_efficiency,predicted_efficiency,absolute_error,fold"
+
+
+def failing(spark):
+    """Forty rows, of which the thirty-eighth can't be computed."""
+    return spark.range(0, 40, 1, 4).select(
+        F.col("id").alias("source_row"), F.lit("x").alias("record_label"),
+        F.when(F.col("id") == 37, F.raise_error(F.lit("lost"))).otherwise(F.when(F.col("id") % 2 == 0, "e")).cast("string").alias("error"))
+
+
+@pytest.mark.parametrize("there", [False, True])
+def test_a_failing_task_leaves_no_part_behind(spark, tmp_path, there):
+    good, preview = failing(spark).filter("source_row < 37"), spark.range(3).withColumnRenamed("id", "source_index")
+    path = str(tmp_path / "out")
+    if there:
+        write_batch_export(good, None, path, preview=preview)
+    before = sorted(str(p) for p in tmp_path.rglob("*"))
+    with pytest.raises(Exception, match="lost"):
+        write_batch_export(failing(spark), None, path, preview=preview)
+    with pytest.raises(Exception, match="lost"):  # the results are there already when the errors fail
+        write_batch_export(good, failing(spark).select("source_row", "error"), path)
+    with pytest.raises(Exception, match="lost"):
+        write_batch_csv(failing(spark), path)
+    assert sorted(str(p) for p in tmp_path.rglob("*")) == before
+    assert write_batch_export(good, None, path) == list(EXPORT_PARTS[:2])  # replaced whole: no preview of before
+    assert sorted(os.listdir(path)) == sorted(EXPORT_PARTS[:2]) and os.listdir(tmp_path) == ["out"]
+    counts = [spark.read.parquet(f"{path}/{part}").count() for part in EXPORT_PARTS[:2]]
+    assert counts == [18, 19]
+
+
+def test_files_that_are_there_are_replaced_or_refused(spark, tmp_path):
+    rows, path = failing(spark).filter("source_row < 5"), str(tmp_path / "out")
+    write_batch_csv(rows, path, mode="error")
+    with pytest.raises(FileExistsError):
+        write_batch_csv(rows, path, mode="error")
+    with pytest.raises(ValueError, match="append"):
+        write_batch_csv(rows, path, mode="append")
+    write_batch_csv(spark.read.option("header", True).csv(path).limit(2), path)  # read while it is replaced
+    assert spark.read.option("header", True).csv(path).count() == 2
+    with pytest.raises(KeyboardInterrupt), committed(spark, path) as folder:
+        rows.write.parquet(f"{folder}/a")
+        raise KeyboardInterrupt
+    assert os.listdir(tmp_path) == ["out"] and spark.read.option("header", True).csv(path).count() == 2
+
+
+def test_one_pass_writes_and_observes(spark, tmp_path, valid_record):
+    rows = [{**valid_record, "participant_id": f"S{i}", "total": 0 if i % 5 == 4 else 28800, "efficiency": 80 + i % 7} for i in range(60)]
+    frame, seen = text_frame(spark, rows).repartition(5), spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scorer = LinearScorer(medians={f: 0.0 for f in K.MODEL_FEATURES}, metrics={"mae_mean": 3.0})
+    summary, report = export_batch(frame.mapInArrow(passing, frame.schema), scorer, str(tmp_path / "out"), with_preview=False)
+    assert seen.value == 60
+    results = batch_results(score_nights(frame, scorer), scorer.model_mae)
+    want = batch_summary(results).first().asDict()
+    got = summary.first().asDict()
+    assert got.pop("mean_predicted_efficiency") == pytest.approx(want.pop("mean_predicted_efficiency")) and got == want
+    assert report.collect() == validate_schema(frame).collect() and report.first()["n_error_rows"] == 12
+    parts = [spark.read.parquet(str(tmp_path / "out" / part)).count() for part in EXPORT_PARTS[:2]]
+    assert parts == [48, 12]
+
+
+def test_export_of_tables_without_rows_or_columns(spark, tmp_path, valid_record):
+    scorer = LinearScorer(medians={f: 0.0 for f in K.MODEL_FEATURES})
+    none = text_frame(spark, [valid_record]).filter("false")
+    summary, report = export_batch(none, scorer, str(tmp_path / "none"))
+    assert tuple(summary.first()) == (0, 0, 0, None)
+    assert report.collect() == validate_schema(none).collect() and report.first()["state"] == K.STATE_BLOCKED
+    with pytest.raises(ValueError, match="total"):
+        export_batch(text_frame(spark, [valid_record]).drop("total"), scorer, str(tmp_path / "less"))
+    assert os.listdir(tmp_path) == ["none"]
