@@ -31,6 +31,7 @@ from nightjar.plans.batch import export_batch, fit_fixture_model
 from nightjar.plans.catalog import (_BR_D, _CV, _FM, _TOP, SPLITS, _schema_report_sql, both, cv, iso, learnable_training, nights, passed, register, scored, single_result,
                                     training)
 from nightjar.sinks import save_evaluation_outputs, write_batch_csv, write_batch_export, write_result_json
+from nightjar.streaming import read_reports, start_report_stream
 
 #: Where a session's bundles are, by application, tables and settings (None: the full fit).
 _BUNDLES: dict[tuple[str, str, Settings | None], str] = {}
@@ -238,10 +239,13 @@ def q_export_parts(spark, sf_dir):
 _OBSERVED = ["n_rows", "n_valid_rows", "n_error_rows", "errors", "warnings", "state"]
 
 
-@both("export_observed", [*_OBSERVED, "n_success", "n_failed", "mean_predicted_efficiency"], ["mean_predicted_efficiency"],
-      f"select {', '.join('r.' + c for c in _OBSERVED)}, s.n_success, s.n_failed, s.mean_predicted_efficiency "
-      f"from ({_schema_report_sql()}) r, (select count(*) filter (where error is null) as n_success, count(*) filter (where error is not null) as n_failed, "
-      f"avg(predicted_efficiency) filter (where error is null) as mean_predicted_efficiency from ({O.batch_results_sql(with_mae=False)}) b) s")
+_OBSERVED_SQL = (
+    f"select {', '.join('r.' + c for c in _OBSERVED)}, s.n_success, s.n_failed, s.mean_predicted_efficiency "
+    f"from ({_schema_report_sql()}) r, (select count(*) filter (where error is null) as n_success, count(*) filter (where error is not null) as n_failed, "
+    f"avg(predicted_efficiency) filter (where error is null) as mean_predicted_efficiency from ({O.batch_results_sql(with_mae=False)}) b) s")
+
+
+@both("export_observed", [*_OBSERVED, "n_success", "n_failed", "mean_predicted_efficiency"], ["mean_predicted_efficiency"], _OBSERVED_SQL)
 def q_export_observed(spark, sf_dir):
     """Schema report and summary as observed by the pass that writes the export."""
     rows = nights(spark, sf_dir)
@@ -250,6 +254,21 @@ def q_export_observed(spark, sf_dir):
     return report.select(*texts).crossJoin(summary.drop("n_rows"))  # one row each
 
 
+@both("stream_report", [*_OBSERVED, "n_success", "n_failed", "mean_predicted_efficiency"], ["mean_predicted_efficiency"], _OBSERVED_SQL)
+def q_stream_report(spark, sf_dir):
+    """The last report of a stream of the nights, which come in four micro-batches."""
+    rows, source, out = nights(spark, sf_dir), table_path(spark, "stream-nights"), table_path(spark, "stream-reports")
+    rows.repartition(4, "source_index").write.parquet(source)
+    files = spark.read.parquet(source).select(F.input_file_name()).distinct().count()
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(source)
+    query = start_report_stream(arriving, fit_fixture_model(rows, with_metrics=False), out, table_path(spark, "stream-state"))
+    query.awaitTermination()
+    reports = read_reports(spark, out)
+    texts = [F.array_join(c, "; ").alias(c) if c in ("errors", "warnings") else c for c in _OBSERVED]
+    # One row a micro-batch.
+    return reports.orderBy(F.col("batch").desc()).limit(1).select(*texts, "n_success", "n_failed", "mean_predicted_efficiency")
+
+
 _EVALUATION = [*ME.METRIC_NAMES, "number_of_rows", "number_of_participants", "mean_actual_efficiency", "mean_predicted_efficiency"]
 
 

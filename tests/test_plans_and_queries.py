@@ -13,7 +13,8 @@ from nightjar import constants as K
 FAST = ["load_nights", "clean_numeric", "prepare_rows", "dq_errors", "dq_warnings", "schema_report", "features",
         "training_set", "record_labels", "participant_folds", "fold_medians", "spearman", "cv_summary",
         "batch_results", "top_factors", "reports", "error_histogram", "tree_attribution_fixed", "date_spellings", "read_nights_csv",
-        "batch_results_trees", "saved_bundle", "bundle_refusals", "leakage_columns", "batch_csv", "result_document"]
+        "batch_results_trees", "saved_bundle", "bundle_refusals", "leakage_columns", "batch_csv", "result_document",
+        "export_observed", "stream_report"]
 
 
 def _canon(df):
@@ -52,7 +53,7 @@ def test_every_query_has_oracle_unless_rows_only():
     from nightjar.plans import catalog
 
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"gbt_predictions", "attributions_gbt", "batch_results_gbt"}
-    assert len(catalog.queries()) == 65 and set(catalog.queries()) <= set(E.queries())
+    assert len(catalog.queries()) == 67 and set(catalog.queries()) <= set(E.queries())
 
 
 def test_entry_runs(spark):
