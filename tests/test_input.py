@@ -111,3 +111,14 @@ def test_parquet_is_numbered_without_a_copy(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
     spark.createDataFrame([], "total string").write.parquet(str(tmp_path / "none"))
     assert read_nights(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_nights_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
+    from nightjar.plans.catalog import nights
+
+    rows = spark.range(60_000).selectExpr("if(id % 1000 = 0, null, id % 50000) as event_id", "id % 7 as user_id", "timestamp'2024-01-01 00:00:00' as ts", "'x' as props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = nights(spark, str(tmp_path))
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 3 and max(r["count"] for r in sizes) < 25_000
+    assert got.select("source_index").exceptAll(rows.select("event_id")).isEmpty() and got.count() == 60_000
