@@ -157,3 +157,13 @@ def test_export_of_tables_without_rows_or_columns(spark, tmp_path, valid_record)
     with pytest.raises(ValueError, match="total"):
         export_batch(text_frame(spark, [valid_record]).drop("total"), scorer, str(tmp_path / "less"))
     assert os.listdir(tmp_path) == ["none"]
+
+
+def test_entries_open_a_document_in_one_pass(spark):
+    from nightjar.plans.saved import entries
+
+    texts = ['{"a": 1, "b": {"c": [], "d": ["x", null, {"e": 2.5}], "f": {}}, "g": null}', '[[["p", [[1]]]]]', '5', None]
+    found = entries(spark.createDataFrame(list(enumerate(texts)), "source_index long, j string"))
+    assert sorted(found.collect(), key=lambda r: (r[0], r[1])) == [
+        (0, "a", 1.0, None), (0, "b.d[0]", None, "x"), (0, "b.d[1]", None, None), (0, "b.d[2].e", 2.5, None), (0, "g", None, None), (1, "0][0][0]", None, "p")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
