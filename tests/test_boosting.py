@@ -87,3 +87,28 @@ def test_no_rows_no_values_and_too_many_bins(spark):
     assert 2 not in {r.feature for r in fit(spark, blank, held_out=(0,)).collect()}
     with pytest.raises(ValueError, match="255 bins"):
         fit(spark, frame, settings=B.Settings(bins=300))
+
+
+def test_a_tree_counts_each_row_on_half_of_the_levels_at_most(monkeypatch):
+    """Siblings and last leaves come from their parents' histograms, and equal those that are counted."""
+    rng = np.random.default_rng(3)
+    n, settings = 4000, B.Settings(trees=3, rate=0.3, depth=5, rows=1.0, columns=1.0, bins=16)
+    x = rng.random((n, 3))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    plan = B.Plan([np.arange(1, 16) / 16] * 3, [2], [[7, 3, 0]], settings)
+    fold = rng.integers(1, 4, n)
+    block = B.Block(plan.binned(x), 80 + 9 * np.nan_to_num(x[:, 0]) * np.nan_to_num(x[:, 1]), fold, np.arange(n), 1)
+    counted, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda values, *more: counted.append(len(values)) or plain(values, *more))
+    _, trees = B._fit_block(block, plan)
+    mine = np.count_nonzero(fold != 2)
+    assert sum(counted) <= 3 * 2 * 3 * mine * (1 + 4 / 2)
+    again = B.Block(plan.binned(x), block.target, fold, np.arange(n), 1)
+    again.start([again.base(2)[0] / mine / B.UNITS])
+    for tree in trees:
+        nodes = [i for i in range(32, 64) if tree.cover[i]]
+        sums = again.sums(0, tree, 0, nodes, [0], plan)
+        assert tree.cover[nodes].tolist() == sums[1, :, 0].sum(1).tolist()
+        assert np.array_equal(tree.value[nodes], settings.rate * (sums[0, :, 0].sum(1) / B.UNITS / (sums[1, :, 0].sum(1) + 1.0)))
+        again.add(0, tree, plan.missing[0])
+    assert np.array_equal(again.predicted[0], block.predicted[0])
