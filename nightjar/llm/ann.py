@@ -10,7 +10,7 @@ its nearest lists, as many as trial queries need to find their neighbours among
 vectors of the sample that were held out from the fit. Inside a list vectors lie in blocks of columns: distances are summed
 block by block, and after each block a hypothesis test drops the candidates
 whose partial distance is already too large for their full distance to be below
-the query's bound. The bound starts at the query's k-th distance within the
+the query's bound; a block is computed for all queries of a task at once. The bound starts at the query's k-th distance within the
 sample and falls as the list's own candidates are completed. The sample gives
 bounds only: a query that finds fewer than k asks again without a bound, and visits
 further lists, nearest first, until it has k or has seen all. What is left is
@@ -60,6 +60,8 @@ TRIALS, COVERED = 256, 0.96
 CELL = 4096
 #: Dimensions of a column block.
 STEP = 16
+#: Pairs of a query and a vector whose partial distances a task holds at once; the share of them, as 1 / SPARSE, from which on they are computed singly.
+PAIRS, SPARSE = 1 << 18, 16
 #: Standard errors that a partial distance may be off before its candidate is dropped.
 EPSILON = 2.1
 SEED = 9
@@ -151,30 +153,66 @@ class Index:
         return np.maximum(bounds, 0) * (1 + 1e-9) + 1e-9 * self.longest ** 2
 
 
-def scan(query: np.ndarray, columns: list[np.ndarray], bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that survive the column blocks and their squared distances; ``columns``: blocks (rows x dimensions)."""
+def scan_many(queries: np.ndarray, columns: list[np.ndarray], bounds: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and squared distance of the pairs that survive the column blocks. ``columns``: blocks (rows x dimensions); ``slack``: rounding of a distance.
+
+    A block is a product of matrices for all pairs while many are left, and is computed for single pairs after that.
+    """
     width = sum(c.shape[1] for c in columns)
-    rows = np.arange(len(columns[0]))
-    far = np.zeros(len(rows))
-    at = 0
-    for i, block in enumerate(columns):
-        part = block if i == 0 else block[rows]
-        gap = part - query[at:at + block.shape[1]]
-        far = far + np.einsum("ij,ij->i", gap, gap)
-        at += block.shape[1]
-        if at < width and bound < math.inf:
-            kept = far * (width / at) <= bound * (1 + EPSILON / math.sqrt(at)) ** 2
-            rows, far = rows[kept], far[kept]
-    if len(rows) > k + 1:
-        bound = min(bound, np.partition(far, k)[k] * (1 + 1e-9) + 1e-12)  # one more: the query itself may be among them
-    kept = far <= bound
-    return rows[kept], far[kept]
-
-
-def exact_products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(vectors))
-    for j in range(vectors.shape[1]):
-        total = total + vectors[:, j] * query[j]
+    n, own = len(columns[0]), [np.einsum("ij,ij->i", c, c) for c in columns]
+    step, out = max(1, PAIRS // max(1, n)), []
+    for a in range(0, len(queries), step):
+        q, bound = queries[a:a + step], bounds[a:a + step]
+        far, alive, at = np.zeros((len(q), n)), np.ones((len(q), n), bool), 0
+        asks = rows = np.zeros(0, np.int64)
+        dense = True
+        for block, length in zip(columns, own):
+            part = q[:, at:at + block.shape[1]]
+            at += block.shape[1]
+            if dense:
+                far += length + np.einsum("ij,ij->i", part, part)[:, None] - 2 * (part @ block.T)
+            else:
+                gap = block[rows] - part[asks]
+                far += np.einsum("ij,ij->i", gap, gap)
+            if at < width:
+                most = bound * (1 + EPSILON / math.sqrt(at)) ** 2 * (at / width) + slack
+                if dense:
+                    alive &= far <= most[:, None]
+                    if np.count_nonzero(alive) * SPARSE <= alive.size:
+                        dense, (asks, rows) = False, np.nonzero(alive)
+                        far = far[asks, rows]
+                else:
+                    kept = far <= most[asks]
+                    asks, rows, far = asks[kept], rows[kept], far[kept]
+        if dense:
+            asks, rows = np.nonzero(alive)
+            far = far[asks, rows]
+        kept = far <= bound[asks] + slack
+        asks, rows, far = asks[kept], rows[kept], far[kept]
+        order = np.lexsort((far, asks))
+        asks, rows, far = asks[order], rows[order], far[order]
+        first = np.searchsorted(asks, np.arange(len(q)))
+        held = np.diff(np.append(first, len(asks)))
+        last = np.full(len(q), np.inf)  # one more than k: the query itself may be among them
+        last[held > k + 1] = far[first[held > k + 1] + k] * (1 + 1e-9) + slack
+        kept = far <= last[asks]
+        out.append((asks[kept] + a, rows[kept], far[kept]))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def scan(query: np.ndarray, columns: list[np.ndarray], bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that survive the column blocks and their squared distances, for one query."""
+    return scan_many(query[None], columns, np.array([bound]), k, 1e-12)[1:]
+
+
+def pair_products(queries: np.ndarray, vectors: np.ndarray, asks: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of a query and a vector, summed in order of the dimensions."""
+    total = np.zeros(len(asks))
+    step = max(1, PAIRS // vectors.shape[1])
+    for a in range(0, len(asks), step):
+        x, q = vectors[rows[a:a + step]], queries[asks[a:a + step]]
+        for j in range(x.shape[1]):
+            total[a:a + step] += x[:, j] * q[:, j]
     return total
 
 
@@ -233,17 +271,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probes: int | None
         turned = own.rotated(x, False) if len(x) else np.zeros((0, d + 1))
         columns = [np.ascontiguousarray(turned[:, i:i + STEP]) for i in range(0, d + 1, STEP)]
         asked_ids = right.column("id").to_numpy()
-        out_q, out_v, out_s = [], [], []
-        for i, t in enumerate(own.rotated(q, True) if len(q) and len(x) else []):
-            rows, _ = scan(t, columns, bounds[i], own.k)
-            rows = rows[ids[rows] != asked_ids[i]]
-            score = exact_products(q[i], x[rows])
-            best = np.lexsort((ids[rows], -score))[:own.k]
-            out_q.append(np.full(len(best), asked_ids[i]))
-            out_v.append(ids[rows][best])
-            out_s.append(score[best])
-        join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        return pa.table({"query_id": pa.array(join(out_q, np.int64), pa.int64()), "vec_id": pa.array(join(out_v, np.int64), pa.int64()), "score": pa.array(join(out_s, float), pa.float64())})
+        asks, rows = scan_many(own.rotated(q, True), columns, bounds, own.k, 1e-9 * own.longest ** 2)[:2] if len(q) and len(x) else (np.zeros(0, np.int64),) * 2
+        other = ids[rows] != asked_ids[asks]
+        asks, rows = asks[other], rows[other]
+        score = pair_products(q, x, asks, rows)
+        order = np.lexsort((ids[rows], -score, asks))
+        asks, rows, score = asks[order], rows[order], score[order]
+        best = np.arange(len(asks)) - np.searchsorted(asks, asks) < own.k
+        return pa.table({"query_id": pa.array(asked_ids[asks[best]], pa.int64()), "vec_id": pa.array(ids[rows[best]], pa.int64()), "score": pa.array(score[best], pa.float64())})
 
     keys = ["list", "cell", "grp"]
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
