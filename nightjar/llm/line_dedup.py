@@ -17,6 +17,7 @@ words are never removed.
    share a prefix word, and at the first one they share the length filter, the positional filter and
    a bitmap filter (the bits of the words that only one of two sets holds can't outnumber these
    words) let the pair pass, so none is lost. The filters are the join's condition; only pairs that pass are rows.
+   The words take ``TURNS`` turns, so that a share of the index is on disk at a time, once for both sides of the join.
 5. Candidate pairs are verified on their whole word sets, read again from the
    texts of the documents concerned.
 
@@ -31,6 +32,7 @@ rows; a line of any length is one row until its prefix is indexed; other columns
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -43,6 +45,8 @@ THRESHOLD = 0.8
 #: Word-frequency counters; a power of two.
 BUCKETS = 1 << 16
 LOW_BITS = 64 - 16
+#: Turns in which the index of prefix words is built and joined, a share of the words in each; a power of two.
+TURNS = 4
 #: Odd factors of the orders whose least and greatest word hashes are tried first.
 TRIED_ORDERS = (1, 0x9E3779B1)
 
@@ -124,15 +128,26 @@ def _tries(sets: DataFrame, t: float) -> DataFrame:
     return met.select(F.col("place").alias("x"), F.col("y.place").alias("y")).distinct()
 
 
-def _candidates(sets: DataFrame, gone: DataFrame, t: float) -> DataFrame:
-    """Pairs (x, y): each open line with the earlier lines that share a prefix word and pass all filters."""
-    marked = sets.filter(F.size("prefix") > 0).join(gone.select(F.col("x").alias("place"), F.lit(0).alias("open")), "place", "left")
-    index = marked.select("place", "n", "bits", "more", F.coalesce("open", F.lit(1)).alias("open"), F.posexplode("prefix").alias("i", "token"))
-    x, y = ({c: F.col(f"{k}.{c}") for c in ("place", "n", "i", "bits", "more", "token", "open")} for k in "xy")
-    # The condition on x.open names y too, so that both sides read one exchange.
-    is_open = x["open"] + y["open"] * 0 > 0
-    pairs = index.alias("x").join(index.alias("y"), (x["token"] == y["token"]) & is_open & (y["place"] < x["place"]) & _may_match(x, y, t))
-    return pairs.select(x["place"].alias("x"), y["place"].alias("y")).distinct()
+def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """The sets, with open: 0 for lines that are settled, else 1."""
+    return sets.join(gone.select(F.col("x").alias("place"), F.lit(0).alias("settled")), "place", "left").withColumn("open", F.coalesce("settled", F.lit(1))).drop("settled")
+
+
+def _candidates(marked: DataFrame, turn: int, t: float) -> DataFrame:
+    """Pairs (x, y): each open line with the earlier lines that share a prefix word of the turn and pass all filters."""
+    rows = marked.select(F.col("place.doc_id").alias("doc"), F.col("place.tp").alias("tp"), "n", "open", "bits", "more", F.posexplode("prefix").alias("i", "token"))
+    # Size, place in the prefix and openness are one number: as both sides read it, they have the same columns and share one exchange.
+    facts = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    index = rows.filter(F.pmod("token", F.lit(TURNS)) == turn).select("token", "doc", "tp", facts.alias("facts"), "bits", "more")
+
+    def side(k: str) -> dict[str, Column]:
+        held = F.col(f"{k}.facts")
+        return {"n": F.shiftright(held, 32), "i": F.shiftright(held.bitwiseAND((1 << 32) - 1), 1), "bits": F.col(f"{k}.bits"), "more": F.col(f"{k}.more")}
+
+    x, y = (F.struct(F.col(f"{k}.doc").alias("doc_id"), F.col(f"{k}.tp").alias("tp")) for k in "xy")
+    is_open = F.col("x.facts").bitwiseAND(1) * F.col("y.facts") > 0  # not pushed to one side, as it names both
+    pairs = index.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & is_open & _may_match(side("x"), side("y"), t) & (y < x))
+    return pairs.select(x.alias("x"), y.alias("y")).distinct()
 
 
 def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
@@ -166,11 +181,18 @@ def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     tries = tables.write(_tries(sets, t), "lines-tries")
     settled = _verified(tables, tries, slim, ranks, t)
     tables.drop(tries)
-    pairs = tables.write(_candidates(sets, settled, t), "lines-pairs")
+    marked = tables.write(_marked(sets, settled), "lines-marked")
+    tables.drop(sets)
+    found = []
+    for turn in range(TURNS):
+        found.append(tables.write(_candidates(marked, turn, t), "lines-pairs"))
+        tables.drop()
+    pairs = tables.write(functools.reduce(DataFrame.union, found).distinct(), "lines-pairs")
+    tables.drop(*found)
     later = _verified(tables, pairs, slim, ranks, t)
     tables.drop(pairs)
     gone = settled.union(later)
-    stay = sets.select("place").join(gone.select(F.col("x").alias("place")), "place", "left_anti")
+    stay = marked.select("place").join(gone.select(F.col("x").alias("place")), "place", "left_anti")
     number = F.expr("cast(place.tp - shiftleft(shiftright(place.tp, 32), 32) as int)")
     kept = stay.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set(number).alias("kept"))
     kept = Tables(docs.sparkSession).write(kept, "lines-kept")  # read by the caller's plan

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from nightjar.llm import line_dedup as L
+from nightjar.operators.lineage import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -81,3 +82,24 @@ def test_empty_table_and_native_plan(spark):
     assert L.dedup_lines(none).count() == 0 and L.removed_lines(none).count() == 0
     plan = L.dedup_lines(spark.createDataFrame([(1, "a b c d e", None, None, None)], SCHEMA).cache())._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "ArrowEval" not in plan
+
+
+def test_the_index_of_prefix_words_is_shuffled_once_in_turns(spark, monkeypatch):
+    """Both sides of the join read one exchange, and the turns together find what one turn over all words finds."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    docs = spark.createDataFrame(rows + [(1000 + i, text.replace(" of ", " off ") if text else text) for i, text in rows], "doc_id long, text string")
+    sets = L._sets(docs, L.word_ranks(docs), 0.8)
+    marked = materialize(L._marked(sets, spark.createDataFrame([], "x struct<doc_id: bigint, tp: bigint>")))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        text = L._candidates(marked, 0, 0.8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in text and text.count("hashpartitioning(token") == text.count("ReusedExchange") + 1
+    pairs = [sorted(map(str, L._candidates(marked, turn, 0.8).collect())) for turn in range(L.TURNS)]
+    assert sum(1 for p in pairs if p) > 1
+    monkeypatch.setattr(L, "TURNS", 1)
+    assert {p for turn in pairs for p in turn} == set(map(str, L._candidates(marked, 0, 0.8).collect()))
