@@ -57,6 +57,8 @@ BANDS, ROWS = 16, 4
 IDF_SHARE = 0.5
 #: Rounds in which the texts of a split band meet a random text of it.
 RANDOM_LEADS = 3
+#: Edges that one task takes without a shuffle, at most; their number never grows in a round.
+FEW_EDGES = 1 << 14
 BLOCK_CHARS = 3_000_000
 BLOCK_DOCS = 4096
 HOT_SHARE = 1 / 16
@@ -356,19 +358,21 @@ def _verify(pairs: DataFrame, sketches: DataFrame, n_docs: int, threshold: float
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of an undirected graph given as rows (x, y): alternating large and small stars."""
     edges = materialize(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "near-edges")
-    seen = None
+    few = edges.count() <= FEW_EDGES
+    together = lambda df: df.coalesce(1) if few else df
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "near-large")
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = together(materialize(large, "near-large"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u <> v").distinct(), "near-small")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
+        edges = materialize(together(small.filter("u <> v")).distinct(), "near-small")
+        # Done when every node has one smaller neighbour, which has none, so that each component is a star around its smallest node.
+        ends = together(edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1))))
+        chained = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0")
+        if not chained.agg(F.count(F.lit(1))).first()[0]:
             break
-        seen = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
@@ -398,14 +402,16 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         most = F.least(col(x, "total") - col(x, "alone"), col(y, "total") - col(y, "alone"))
         return most >= F.greatest(col(x, "total") + col(y, "alone"), col(y, "total") + col(x, "alone")) * F.lit(threshold * (1 - 1e-9))
 
-    links = _verify(tested, sketches, n_docs, threshold)
+    found = components(_verify(tested, sketches, n_docs, threshold))
     for step in ("first", *range(1, RANDOM_LEADS + 1), "all"):
-        found = components(links)
         placed = members.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "rank", "total", "alone", F.coalesce("component", "digest").alias("component"))
         # Only bands whose texts are in several components go on: against a lead text of the band, last against all that are still apart.
         order = F.col("rank") if step in ("first", "all") else F.xxhash64("digest", "band", F.lit(step))
         split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(order, "digest", "component", "total", "alone")).alias("lead")).filter("lo <> hi")
         apart = materialize(placed.join(split.select("band", "key", "lead"), ["band", "key"]), "near-open")
+        if apart.isEmpty():
+            break
+        members = apart.select(*members.columns)  # no other band can be split later, as components only grow
         if step != "all":
             pairs = apart.alias("x").filter((F.col("component") != F.col("lead.component")) & may_match("x", "lead")).select(F.col("digest").alias("x"), F.col("lead.digest").alias("y"))
         else:
@@ -416,11 +422,13 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             pairs = x.join(y, ~earlier & (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.digest") > F.col("y.digest"))
                            & (F.col("x.component") != F.col("y.component")) & may_match("x", "y")).select(F.col("x.digest").alias("x"), F.col("y.digest").alias("y"))
         pairs = materialize(pairs.distinct().join(tested, ["x", "y"], "left_anti"), "near-across")
-        if not pairs.isEmpty():
-            tested, links = tested.union(pairs), links.union(_verify(pairs, sketches, n_docs, threshold))
-        elif step == "all":
-            return found.withColumnRenamed("node", "digest")
-    return components(links).withColumnRenamed("node", "digest")
+        if pairs.isEmpty():
+            continue
+        tested, more = tested.union(pairs), _verify(pairs, sketches, n_docs, threshold)
+        if not more.isEmpty():
+            # The stars found so far stand for their links.
+            found = components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more))
+    return found.withColumnRenamed("node", "digest")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

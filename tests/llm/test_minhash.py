@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from nightjar.llm import minhash as M
+from nightjar.operators.lineage import materialize
 
 SCHEMA = "doc_id long, text string, digest string, class_id string"
 
@@ -115,3 +116,27 @@ def test_components(spark):
 def test_packing(values):
     x = np.array(values, np.uint64)
     assert (M.unpack(M.pack(x)) == x).all() and len(M.unpack(M.pack(x))) == len(x)
+
+
+@pytest.mark.parametrize("few", [1 << 14, 3])
+def test_components_end_without_a_round_to_confirm(spark, monkeypatch, few):
+    """A star takes one round of two tables, a path of 40 nodes a few; the classes are the components."""
+    written = []
+    monkeypatch.setattr(M, "FEW_EDGES", few)
+    monkeypatch.setattr(M, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    star = M.components(spark.createDataFrame([(9, i) for i in range(1, 9)] + [(9, 9)], "x long, y long"))
+    assert {tuple(r) for r in star.collect()} == {(i, 1) for i in range(1, 10)} and written.count("near-small") == 1
+    path = [(i * 7 % 41, (i + 1) * 7 % 41) for i in range(40)] + [(100, 101), (102, 101)]
+    got = {tuple(r) for r in M.components(spark.createDataFrame(path, "x long, y long")).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
+
+
+def test_rounds_without_new_links_are_not_computed_again(spark, monkeypatch):
+    """Copies with one changed word are all linked to the first of them; no band is split after that, so no later round is run."""
+    written = []
+    monkeypatch.setattr(M, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in (50, 120, 180)] + [f"quite another text number {i} here" for i in range(5)]
+    got = M.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert written.count("near-edges") == 1 and written.count("near-open") == 1
