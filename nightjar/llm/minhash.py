@@ -50,6 +50,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nightjar.operators.lineage import materialize
+from nightjar.session import bound_batches
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -63,6 +64,8 @@ BLOCK_CHARS = 3_000_000
 BLOCK_DOCS = 4096
 HOT_SHARE = 1 / 16
 BUCKETS_PER_PARTITION = 4
+#: Cells (elements x samples) that are drawn at once; about ten numbers of 8 bytes are held for each.
+CELLS = 1 << 17
 SEED = 11
 
 KEPT_BITS = 40
@@ -228,25 +231,26 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int = BAND
     """ICWS samples (texts x n, hashed) of weighted sets given as runs of elements."""
     out = np.zeros((len(starts), n), U)
     ends = np.append(starts[1:], len(h))
+    keys = mix(np.arange(n, dtype=U) + U(SEED * 1000))
+    part = lambda v, s: (((v >> U(s)) & U(0x1FFFFF)).astype(np.float64) + 0.5) / (1 << 21)
     i = 0
     while i < len(starts):
-        j = int(np.searchsorted(ends, starts[i] + 20_000, "right"))
+        j = int(np.searchsorted(ends, starts[i] + CELLS // n, "right"))
         j = max(i + 1, min(j, len(starts)))
         a, b = starts[i], ends[j - 1]
         x, log_w = h[a:b, None], np.log(weight[a:b])[:, None]
-        k = mix(np.arange(n, dtype=U) + U(SEED * 1000))[None, :]
-        one, two = mix(x ^ k), mix(x + k * U(0x9E3779B97F4A7C15))
-        part = lambda v, s: (((v >> U(s)) & U(0x1FFFFF)).astype(np.float64) + 0.5) / (1 << 21)
-        r = -np.log(part(one, 0) * part(one, 21))
-        beta = part(one, 42)
-        c = -np.log(part(two, 0) * part(two, 21))
-        t = np.floor(log_w / r + beta)
-        a_log = np.log(c) - r * (t - beta + 1)
-        at = starts[i:j] - a
-        least = np.minimum.reduceat(a_log, at, axis=0)
         owner = np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])
-        row, col = np.nonzero(a_log == least[owner])
-        out[i + owner[row], col] = mix(h[a:b][row] + mix(t[row, col].astype(np.int64).astype(U)))
+        width = max(1, min(n, CELLS // max(1, b - a)))  # a text with many elements takes its samples in turns
+        for c in range(0, n, width):
+            k = keys[None, c:c + width]
+            one, two = mix(x ^ k), mix(x + k * U(0x9E3779B97F4A7C15))
+            r = -np.log(part(one, 0) * part(one, 21))
+            beta = part(one, 42)
+            t = np.floor(log_w / r + beta)
+            a_log = np.log(-np.log(part(two, 0) * part(two, 21))) - r * (t - beta + 1)
+            least = np.minimum.reduceat(a_log, starts[i:j] - a, axis=0)
+            row, col = np.nonzero(a_log == least[owner])
+            out[i + owner[row], c + col] = mix(h[a:b][row] + mix(t[row, col].astype(np.int64).astype(U)))
         i = j
     return out
 
@@ -382,6 +386,7 @@ def text_digest(text: Column) -> Column:
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """digest, component: the class of every text that is linked to a different text."""
+    bound_batches(docs.sparkSession)
     n_docs = docs.count()
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))

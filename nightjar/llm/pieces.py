@@ -30,6 +30,8 @@ REMEMBERED = 400_000
 #: Runs longer than this many characters are hashed one by one.
 LONG = 64
 RADIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Code points that are hashed at once, so that a worker's working memory doesn't grow with its block; a longer run is taken alone.
+STRETCH = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -44,18 +46,26 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 def _power(radix: int, n: int, k: int) -> np.ndarray:
     """radix ** 0 .. radix ** n modulo 2 ** 64."""
     if (k, 0) not in _powers or len(_powers[k, 0]) <= n:
-        made = np.full(n + 1 + (1 << 20), radix, np.uint64)
+        made = np.full(max(n, STRETCH) + 1, radix, np.uint64)
         made[0] = 1
         _powers[k, 0] = np.multiply.accumulate(made)
     return _powers[k, 0][:n + 1]
 
 
 def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit polynomial hash of each run of code points, from differences of running sums."""
-    radix = RADIX[k]
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_values(k)[codes] * _power(radix, len(codes), 2 * k)[:-1], out=sums[1:])
-    return (sums[ends] - sums[starts]) * _power(pow(radix, -1, 1 << 64), len(codes), 2 * k + 1)[starts]
+    """A 64-bit polynomial hash of each run of code points, from differences of running sums. The runs are in order and apart."""
+    radix, out = RADIX[k], np.zeros(len(starts), np.uint64)
+    back = pow(radix, -1, 1 << 64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + STRETCH, "right")))
+        n = int(ends[j - 1]) - a
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_values(k)[codes[a:a + n]] * _power(radix, n, 2 * k)[:-1], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * _power(back, n, 2 * k + 1)[starts[i:j] - a]
+        i = j
+    return out
 
 
 class CharMap:
