@@ -47,7 +47,7 @@ def test_samples_are_drawn_in_turns(monkeypatch):
     assert (M.samples(h, w, starts) == got).all()
 
 
-@pytest.mark.parametrize("operator", ["minhash"])
+@pytest.mark.parametrize("operator", ["minhash", "encode", "toxicity"])
 def test_batches_of_long_texts_are_bounded(spark, operator):
     docs = spark.range(0, 3_000, 1, 1).selectExpr("id as doc_id", "repeat('abcd efghi ', 1000) as text")  # 33 MB in one partition
     chain = toxicity.Chain(["toxic"], [toxicity.Linear(np.zeros(2 * toxicity.BUCKETS, np.float32), np.zeros(0), 0.0)], [1.0])
