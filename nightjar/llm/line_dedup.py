@@ -19,7 +19,7 @@ words are never removed.
    words) let the pair pass, so none is lost. The filters are the join's condition; only pairs that pass are rows.
    The words take ``TURNS`` turns, so that a share of the index is on disk at a time, once for both sides of the join.
 5. Candidate pairs are verified on their whole word sets, read again from the
-   texts of the documents concerned.
+   texts of the documents concerned, also in ``TURNS`` turns.
 
 Intermediate tables are deleted as soon as the next step is written.
 
@@ -45,22 +45,31 @@ THRESHOLD = 0.8
 #: Word-frequency counters; a power of two.
 BUCKETS = 1 << 16
 LOW_BITS = 64 - 16
-#: Turns in which the index of prefix words is built and joined, a share of the words in each; a power of two.
+#: Turns in which the index of prefix words is built and joined, a share of the words in each, and in which texts are read again, a share of
+#: the documents in each; a power of two.
 TURNS = 4
-#: Odd factors of the orders whose least and greatest word hashes are tried first.
-TRIED_ORDERS = (1, 0x9E3779B1)
+#: What the word hashes are combined with, for orders whose least and greatest hashes are tried first.
+TRIED_ORDERS = (0, 0x1E3779B97F4A7C15)
+#: White space of a line.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, tp (32 bits of text hash, 32 bits of line number: orders and tells lines apart), line."""
-    place = F.shiftleft(F.hash("text").cast("long"), 32) + F.col("pos").cast("long")
-    return docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", place.alias("tp"), "line")
+    head = F.shiftleft(F.hash("text").cast("long"), 32)  # once for a text, not for each of its lines
+    return (docs.select("doc_id", head.alias("head"), F.split("text", "\n").alias("lines")).select("doc_id", "head", F.posexplode("lines").alias("pos", "line"))
+            .select("doc_id", (F.col("head") + F.col("pos").cast("long")).alias("tp"), "line"))
+
+
+def _words(line: Column) -> Column:
+    """A line's lower-case words, with empty ones between neighbouring blanks."""
+    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    return F.split(F.lower(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)), " ")
 
 
 def _hashes(line: Column) -> Column:
     """Distinct 64-bit hashes of a line's lower-case words."""
-    plain = F.when(line.rlike("[\t\x0b\x0c\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
-    words = F.transform(F.split(F.lower(plain), " "), lambda w: F.xxhash64(w))
+    words = F.transform(_words(line), lambda w: F.xxhash64(w))
     return F.array_distinct(F.array_remove(words, F.xxhash64(F.lit(""))))
 
 
@@ -70,7 +79,8 @@ def _bucket(h: Column) -> Column:
 
 def word_ranks(docs: DataFrame) -> np.ndarray:
     """For each bucket its place from rare to common, shifted to be centred on 0. BUCKETS numbers reach the driver."""
-    counted = _lines(docs).select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    counted = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     frequency = np.zeros(BUCKETS, np.int64)
     frequency[counted.column("b").to_numpy()] = counted.column("n").to_numpy()
     ranks = np.zeros(BUCKETS, np.int32)
@@ -78,11 +88,11 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def ordered_words(line: Column, ranks: np.ndarray) -> Column:
-    """Sorted keys of a line's words: the bucket's place, then the other bits of the hash. A key stands for one hash."""
+def ordered_words(hashes: Column, ranks: np.ndarray) -> Column:
+    """Sorted keys of a line's word hashes: the bucket's place, then the other bits of the hash. A key stands for one hash."""
     table = F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<int>")  # folded to one array when planned
     low = (1 << LOW_BITS) - 1
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.get(table, _bucket(h).cast("int")).cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(table, _bucket(h).cast("int")).cast("long"), LOW_BITS).bitwiseOR(h.bitwiseAND(low))))
 
 
 def _may_match(x: dict[str, Column], y: dict[str, Column], t: float) -> Column:
@@ -95,27 +105,23 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], t: float) -> Column:
 
 
 def _sets(docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
-    """One row per distinct set: place (first line), n, bits, prefix, extremes. Sets too small for unequal matches have one key, their hash."""
+    """One row per distinct set: a and b (its hash), place (first line), n, bits, prefix, extremes. Sets too small for unequal matches have one key, their hash."""
     # A filter on the words would be pushed below their projection and make them twice.
-    worded = _lines(docs).filter(F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0)
-    words = worded.select("doc_id", "tp", ordered_words(F.col("line"), ranks).alias("words"))
+    worded = _lines(docs).filter(F.length(F.btrim("line", F.lit(BLANKS))) > 0)
+    hashed = worded.select("doc_id", "tp", _hashes(F.col("line")).alias("hashes"))
+    other = [F.transform("hashes", lambda h, k=k: h.bitwiseXOR(F.lit(k))) if k else F.col("hashes") for k in TRIED_ORDERS]
+    words = hashed.select("doc_id", "tp", ordered_words(F.col("hashes"), ranks).alias("words"), *[o.alias(f"order{i}") for i, o in enumerate(other)])
     n = F.size("words")
     alone = math.ceil(t / (1 - t) - 1e-9) - 1  # up to so many words only equal sets reach t
     prefix = F.when(n <= alone, F.array().cast("array<bigint>")).otherwise(F.slice("words", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1))
     # Parities of 128 word classes: 64 would leave long lines alike by chance.
     bits = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L - (shiftright(w, 6) & 1L), cast(w & 63L as int)))")
     more = F.expr("aggregate(words, 0L, (a, w) -> a ^ shiftleft(shiftright(w, 6) & 1L, cast(w & 63L as int)))")
-    extreme = [f(_scrambled(factor)) for factor in TRIED_ORDERS for f in (F.array_min, F.array_max)]
+    extreme = [f(f"order{i}") for i in range(len(TRIED_ORDERS)) for f in (F.array_min, F.array_max)]
     extremes = F.when(n > alone, F.array(*[F.xxhash64(F.lit(i), x) for i, x in enumerate(extreme)])).otherwise(F.array().cast("array<bigint>"))
     line = F.struct(F.struct("doc_id", "tp").alias("place"), n.alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix"), extremes.alias("extremes"))
     sets = words.select(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), F.col("words")).alias("b"), line.alias("line"))
-    return sets.groupBy("a", "b").agg(F.min("line").alias("line")).select("line.*")
-
-
-def _scrambled(factor: int) -> Column:
-    """The words' low bits in another order."""
-    low = (1 << 31) - 1
-    return F.transform("words", lambda w: (w.bitwiseAND(low) * F.lit(factor)).bitwiseAND(F.lit((1 << 48) - 1)))
+    return sets.groupBy("a", "b").agg(F.min("line").alias("line")).select("a", "b", "line.*")
 
 
 def _tries(sets: DataFrame, t: float) -> DataFrame:
@@ -129,8 +135,9 @@ def _tries(sets: DataFrame, t: float) -> DataFrame:
 
 
 def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """The sets, with open: 0 for lines that are settled, else 1."""
-    return sets.join(gone.select(F.col("x").alias("place"), F.lit(0).alias("settled")), "place", "left").withColumn("open", F.coalesce("settled", F.lit(1))).drop("settled")
+    """The sets, with open: 0 for lines that are settled, else 1. The sets lie dealt out by their hash, so the settled ones come to them by it."""
+    settled = sets.select("a", "b", "place").join(gone.select(F.col("x").alias("place")), "place").select("a", "b", F.lit(0).alias("settled"))
+    return sets.join(settled, ["a", "b"], "left").withColumn("open", F.coalesce("settled", F.lit(1))).drop("settled", "a", "b", "extremes")
 
 
 def _candidates(marked: DataFrame, turn: int, t: float) -> DataFrame:
@@ -156,29 +163,37 @@ def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, ranks: np.ndarr
     wanted = places.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set("place.tp").alias("tps"))
     texts = docs.select("doc_id", "text", F.hash("text").alias("th"))
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))
-    found = texts.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.text", "w.tps")
-    lines = (_lines_of(found).filter(F.array_contains("tps", F.col("tp")))
-             .select(F.struct("doc_id", "tp").alias("place"), ordered_words(F.col("line"), ranks).alias("words")))
-    lines = tables.write(lines, "lines-words")
+    parts = []
+    for turn in range(TURNS):  # a share of the documents' texts is on disk at a time
+        now = F.pmod(F.xxhash64("doc_id", "th"), F.lit(TURNS)) == turn
+        found = texts.filter(now).alias("d").join(wanted.filter(now).alias("w"), same).select("d.doc_id", "d.text", "w.tps")
+        part = (_lines_of(found).filter(F.array_contains("tps", F.col("tp")))
+                .select(F.struct("doc_id", "tp").alias("place"), ordered_words(_hashes(F.col("line")), ranks).alias("words")))
+        parts.append(tables.write(part, "lines-words"))
+        tables.drop()
+    lines = functools.reduce(DataFrame.union, parts)
     left, right = (lines.groupBy("place").agg(F.first("words").alias("words")).select(F.col("place").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
     common = F.size(F.array_intersect("wx", "wy"))
     near = common >= (F.size("wx") + F.size("wy") - common) * F.lit(t) - 1e-9
     found = tables.write(pairs.join(left, "x").join(right, "y").filter(near).select("x").distinct(), "lines-gone")
-    tables.drop(lines)
+    tables.drop(*parts)
     return found
 
 
 def _lines_of(found: DataFrame) -> DataFrame:
-    place = F.shiftleft(F.hash("text").cast("long"), 32) + F.col("pos").cast("long")
-    return found.select("doc_id", "text", "tps", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", place.alias("tp"), "tps", "line")
+    head = F.shiftleft(F.hash("text").cast("long"), 32)
+    return (found.select("doc_id", "tps", head.alias("head"), F.split("text", "\n").alias("lines")).select("doc_id", "tps", "head", F.posexplode("lines").alias("pos", "line"))
+            .select("doc_id", (F.col("head") + F.col("pos").cast("long")).alias("tp"), "tps", "line"))
 
 
 def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, th, kept: the numbers of the lines with words that stay, per document that keeps any."""
     slim, tables = docs.select("doc_id", "text"), Tables(docs.sparkSession)
     ranks = word_ranks(slim)
-    sets = tables.write(_sets(slim, ranks, t), "lines-sets")
+    sets = tables.write_bucketed(_sets(slim, ranks, t), "lines-sets", "a", "b")
+    tables.drop()
     tries = tables.write(_tries(sets, t), "lines-tries")
+    tables.drop()
     settled = _verified(tables, tries, slim, ranks, t)
     tables.drop(tries)
     marked = tables.write(_marked(sets, settled), "lines-marked")
@@ -203,7 +218,7 @@ def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
 def removed_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed and the numbers (from 0) of the removed lines."""
     lines = F.split("text", "\n")
-    worded = F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0, i)), lambda i: i.isNotNull())
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.btrim(x, F.lit(BLANKS))) > 0, i)), lambda i: i.isNotNull())
     slim = docs.select("doc_id", "text")
     kept = kept_lines(slim, t).withColumnsRenamed({"doc_id": "__line_doc", "th": "__line_th", "kept": "__line_kept"})
     facts = slim.select("doc_id", F.hash("text").alias("th"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(worded, F.array().cast("array<int>")).alias("worded"))
@@ -217,6 +232,6 @@ def dedup_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     columns = docs.columns
     kept = kept_lines(docs, t).withColumnsRenamed({"doc_id": "__line_doc", "th": "__line_th", "kept": "__line_kept"})
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__line_doc")) & (F.hash("text") == F.col("__line_th")), "left")
-    stays = lambda x, i: (F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) == 0) | F.array_contains("__line_kept", i)
+    stays = lambda x, i: (F.length(F.btrim(x, F.lit(BLANKS))) == 0) | F.array_contains("__line_kept", i)
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(stays(x, i), F.lit(False))), "\n")
     return joined.withColumn("text", text).select(*columns)

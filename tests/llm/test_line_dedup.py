@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 from nightjar.llm import line_dedup as L
-from nightjar.operators.lineage import materialize
+from nightjar.operators.lineage import Tables, materialize
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -103,3 +104,30 @@ def test_the_index_of_prefix_words_is_shuffled_once_in_turns(spark, monkeypatch)
     assert sum(1 for p in pairs if p) > 1
     monkeypatch.setattr(L, "TURNS", 1)
     assert {p for turn in pairs for p in turn} == set(map(str, L._candidates(marked, 0, 0.8).collect()))
+
+
+def test_the_sets_are_not_shuffled_again_to_be_marked(spark):
+    """They lie in buckets by their hash, so only the few settled ones move, and the sets' wide rows stay."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(12)) + "\nsame line for all of them") for i in range(40)]
+    docs, tables = spark.createDataFrame(rows, "doc_id long, text string"), Tables(spark)
+    sets = tables.write_bucketed(L._sets(docs, L.word_ranks(docs), 0.8), "lines-sets", "a", "b")
+    gone = sets.select(F.col("place").alias("x")).limit(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    name = tables.names[id(sets)]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        marked = L._marked(sets, gone)
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert Counter(r.open for r in marked.collect()) == {0: 5, 1: sets.count() - 5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = plan.split("Exchange hashpartitioning")[1:]
+    assert all("prefix" not in x.splitlines()[1] for x in moved) and "prefix" in plan
+    tables.drop_all()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_odd_blanks_between_words(spark):
+    rows = [(1, "a\tb\x0bc d e f g h\r\n\x0c\n  \t"), (2, " A  b c\x0cd e f g\th"), (3, "\t\r"), (4, "x\u00a0y a b c d e f g h"), (5, "x\u00a0y  a b c d e f g h z")]
+    got = {r.doc_id: list(r.removed) for r in L.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip((r[0] for r in rows), brute([r[1] for r in rows])))
