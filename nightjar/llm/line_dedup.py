@@ -157,8 +157,9 @@ def _candidates(marked: DataFrame, turn: int, t: float) -> DataFrame:
     return pairs.select(x.alias("x"), y.alias("y")).distinct()
 
 
-def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, ranks: np.ndarray, t: float) -> DataFrame:
-    """The places x of pairs (x, y) whose whole sets reach the threshold, as a table."""
+def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """The places x of pairs (x, y) whose whole sets reach the threshold, as a table. Sets are compared as they are: the table of ranks, which is
+    written out in each plan that holds it and in each of its updates on the driver, stays out of these plans."""
     places = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct()
     wanted = places.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set("place.tp").alias("tps"))
     texts = docs.select("doc_id", "text", F.hash("text").alias("th"))
@@ -168,7 +169,7 @@ def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, ranks: np.ndarr
         now = F.pmod(F.xxhash64("doc_id", "th"), F.lit(TURNS)) == turn
         found = texts.filter(now).alias("d").join(wanted.filter(now).alias("w"), same).select("d.doc_id", "d.text", "w.tps")
         part = (_lines_of(found).filter(F.array_contains("tps", F.col("tp")))
-                .select(F.struct("doc_id", "tp").alias("place"), ordered_words(_hashes(F.col("line")), ranks).alias("words")))
+                .select(F.struct("doc_id", "tp").alias("place"), _hashes(F.col("line")).alias("words")))
         parts.append(tables.write(part, "lines-words"))
         tables.drop()
     lines = functools.reduce(DataFrame.union, parts)
@@ -194,7 +195,7 @@ def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     tables.drop()
     tries = tables.write(_tries(sets, t), "lines-tries")
     tables.drop()
-    settled = _verified(tables, tries, slim, ranks, t)
+    settled = _verified(tables, tries, slim, t)
     tables.drop(tries)
     marked = tables.write(_marked(sets, settled), "lines-marked")
     tables.drop(sets)
@@ -204,7 +205,7 @@ def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
         tables.drop()
     pairs = tables.write(functools.reduce(DataFrame.union, found).distinct(), "lines-pairs")
     tables.drop(*found)
-    later = _verified(tables, pairs, slim, ranks, t)
+    later = _verified(tables, pairs, slim, t)
     tables.drop(pairs)
     gone = settled.union(later)
     stay = marked.select("place").join(gone.select(F.col("x").alias("place")), "place", "left_anti")

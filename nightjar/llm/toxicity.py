@@ -11,7 +11,8 @@ count ratio between the classes.
 Spark makes the features (row-local expressions), finds the training rows and
 scores every document in Arrow batches. The models are fitted on the driver with
 NumPy on a bounded sample: the ``SAMPLE`` labelled documents with the smallest
-hashed ids. Model size is fixed (``2 * BUCKETS`` weights per category).
+hashed ids. Model size is fixed (``2 * BUCKETS`` weights per category). Features
+that too few of them hold for any fit leave first, and numbers of rows and features take 32 bits.
 
 Defined results: a null text has no words; null labels or ids and labels without
 a document don't train; several labels of a document count as their maximum;
@@ -126,12 +127,15 @@ def fit_linear(idx: np.ndarray, row: np.ndarray, n: int, before: np.ndarray, y:
         return Linear(np.zeros(size, np.float32), np.zeros(before.shape[1]), float(_logit(np.array([(positives + 0.5) / (n + 1)]))[0]))
     held = np.bincount(idx, minlength=size)
     ones = np.bincount(idx, y[row], size)
-    ratio = np.log((ones + 1) / (positives + 2)) - np.log((held - ones + 1) / (n - positives + 2))
     used = np.flatnonzero(held >= LEAST_DOCS)
-    place = np.full(size, -1)
+    ones, held = ones[used], held[used]
+    scale = np.log((ones + 1) / (positives + 2)) - np.log((held - ones + 1) / (n - positives + 2))
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    kept = place[idx] >= 0
-    at, row_at, scale = place[idx[kept]], row[kept], ratio[used]
+    at = place[idx]
+    kept = at >= 0
+    at, row_at = at[kept].astype(np.intp), row[kept].astype(np.intp)
+    del idx, row, kept
     k = len(used)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -165,7 +169,9 @@ def _threshold(margin: np.ndarray, y: np.ndarray) -> float:
 def fit_chain(idx: np.ndarray, sizes: np.ndarray, labels: np.ndarray, names: Sequence[str], size: int = 2 * BUCKETS) -> Chain:
     """Chain from ragged feature lists (``idx``, ``sizes``) and a 0/1 label matrix (rows x categories)."""
     n = len(sizes)
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    kept = np.bincount(idx, minlength=size)[idx] >= LEAST_DOCS  # the others have no weight in any fit
+    idx, row = idx[kept].astype(np.int32), row[kept]
     fold = np.arange(n) % FOLDS
     chain, before = Chain(list(names)), np.zeros((n, 0))
     for c in range(len(names)):
@@ -173,9 +179,9 @@ def fit_chain(idx: np.ndarray, sizes: np.ndarray, labels: np.ndarray, names: Seq
         out = np.zeros(n)
         for k in range(FOLDS):
             train, test = fold != k, fold == k
-            number = np.cumsum(train) - 1
+            number = np.cumsum(train, dtype=np.int32) - 1
             model = fit_linear(idx[train[row]], number[row[train[row]]], int(train.sum()), before[train], y[train], size)
-            number = np.cumsum(test) - 1
+            number = np.cumsum(test, dtype=np.int32) - 1
             out[test] = model.margins(idx[test[row]], number[row[test[row]]], int(test.sum()), before[test])
         chain.models.append(fit_linear(idx, row, n, before, y, size))
         chain.thresholds.append(_threshold(out, y))

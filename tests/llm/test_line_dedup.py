@@ -131,3 +131,17 @@ def test_odd_blanks_between_words(spark):
     rows = [(1, "a\tb\x0bc d e f g h\r\n\x0c\n  \t"), (2, " A  b c\x0cd e f g\th"), (3, "\t\r"), (4, "x\u00a0y a b c d e f g h"), (5, "x\u00a0y  a b c d e f g h z")]
     got = {r.doc_id: list(r.removed) for r in L.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(zip((r[0] for r in rows), brute([r[1] for r in rows])))
+
+
+def test_plans_of_the_verification_hold_no_table_of_ranks(spark, monkeypatch):
+    """Plans are written out on the driver, each time that they change; the ranks alone take some 400 KB of text."""
+    plans, write = defaultdict(list), Tables.write
+
+    def noted(self, df, label):
+        plans[label].append(len(df._jdf.queryExecution().analyzed().toString()))
+        return write(self, df, label)
+
+    monkeypatch.setattr(Tables, "write", noted)
+    rows = [(i, " ".join(f"w{k}" for k in range(30)) + f" x{i}") for i in range(20)]
+    L.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(plans["lines-words"]) > 1 and max(n for label in plans for n in plans[label]) < 50_000

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from nightjar.llm import toxicity as T
@@ -69,3 +71,15 @@ def test_minimiser_finds_a_quadratic_minimum():
     a = np.diag([1.0, 10.0, 100.0])
     x = T._minimise(lambda v: (v @ a @ v / 2 - v.sum(), a @ v - 1), np.zeros(3), steps=200)
     assert np.allclose(x, [1, 0.1, 0.01], atol=1e-2)
+
+
+def test_a_fit_holds_few_bytes_for_each_feature_of_a_document():
+    rng = np.random.default_rng(2)
+    sizes = np.full(3000, 200)
+    idx = np.where(rng.random(600_000) < 0.5, rng.integers(0, 2000, 600_000), 2000 + np.arange(600_000)).astype(np.int32)
+    labels = np.column_stack([rng.random(3000) < 0.2, rng.random(3000) < 0.1]).astype(int)
+    tracemalloc.start()
+    T.fit_chain(idx, sizes, labels, ["a", "b"], 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
