@@ -19,7 +19,8 @@ words are never removed.
    words) let the pair pass, so none is lost. The filters are the join's condition; only pairs that pass are rows.
    The words take ``TURNS`` turns, so that a share of the index is on disk at a time, once for both sides of the join.
 5. Candidate pairs are verified on their whole word sets, read again from the
-   texts of the documents concerned, also in ``TURNS`` turns.
+   texts of the documents concerned; a bitmap of their ids keeps nearly all other
+   texts from being shuffled. If they are many they take up to ``TURNS`` turns.
 
 Intermediate tables are deleted as soon as the next step is written.
 
@@ -36,6 +37,7 @@ import functools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,11 @@ THRESHOLD = 0.8
 #: Word-frequency counters; a power of two.
 BUCKETS = 1 << 16
 LOW_BITS = 64 - 16
-#: Turns in which the index of prefix words is built and joined, a share of the words in each, and in which texts are read again, a share of
-#: the documents in each; a power of two.
+#: Turns in which the index of prefix words is built and joined, a share of the words in each, and, at most, in which texts are read again,
+#: a share of the documents in each; a power of two.
 TURNS = 4
+#: Bits of the bitmap of documents for each of them, and at most (2 ** this, 2 MB).
+HELD_BITS, MOST_BITS = 16, 24
 #: What the word hashes are combined with, for orders whose least and greatest hashes are tried first.
 TRIED_ORDERS = (0, 0x1E3779B97F4A7C15)
 #: White space of a line.
@@ -157,21 +161,37 @@ def _candidates(marked: DataFrame, turn: int, t: float) -> DataFrame:
     return pairs.select(x.alias("x"), y.alias("y")).distinct()
 
 
-def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+def _held(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The documents whose id may be among the n wanted ones: none of these is left out, and few others are kept while the bitmap has room."""
+    bits = 1 << min(MOST_BITS, max(6, (HELD_BITS * n).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    word = F.shiftright(at, 6).cast("int")
+    found = wanted.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    table = docs.sparkSession.createDataFrame(pa.table({"bitmap": pa.array([bitmap], pa.list_(pa.int64()))}))
+    return docs.filter(F.get(table.scalar(), word).bitwiseAND(mask) != 0)
+
+
+def _verified(tables: Tables, pairs: DataFrame, docs: DataFrame, n_docs: int, t: float) -> DataFrame:
     """The places x of pairs (x, y) whose whole sets reach the threshold, as a table. Sets are compared as they are: the table of ranks, which is
     written out in each plan that holds it and in each of its updates on the driver, stays out of these plans."""
     places = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct()
-    wanted = places.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set("place.tp").alias("tps"))
-    texts = docs.select("doc_id", "text", F.hash("text").alias("th"))
+    wanted = tables.write(places.groupBy("place.doc_id", F.expr("cast(shiftright(place.tp, 32) as int)").alias("th")).agg(F.collect_set("place.tp").alias("tps")), "lines-wanted")
+    n = wanted.count()
+    turns = min(TURNS, max(1, math.ceil(TURNS * n / max(1, n_docs))))
+    texts = _held(docs.select("doc_id", "text"), wanted, n).select("doc_id", "text", F.hash("text").alias("th"))
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))
     parts = []
-    for turn in range(TURNS):  # a share of the documents' texts is on disk at a time
-        now = F.pmod(F.xxhash64("doc_id", "th"), F.lit(TURNS)) == turn
+    for turn in range(turns):  # a share of the documents' texts is on disk at a time
+        now = F.pmod(F.xxhash64("doc_id", "th"), F.lit(turns)) == turn if turns > 1 else F.lit(True)
         found = texts.filter(now).alias("d").join(wanted.filter(now).alias("w"), same).select("d.doc_id", "d.text", "w.tps")
         part = (_lines_of(found).filter(F.array_contains("tps", F.col("tp")))
                 .select(F.struct("doc_id", "tp").alias("place"), _hashes(F.col("line")).alias("words")))
         parts.append(tables.write(part, "lines-words"))
         tables.drop()
+    tables.drop(wanted)
     lines = functools.reduce(DataFrame.union, parts)
     left, right = (lines.groupBy("place").agg(F.first("words").alias("words")).select(F.col("place").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
     common = F.size(F.array_intersect("wx", "wy"))
@@ -190,12 +210,12 @@ def _lines_of(found: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """doc_id, th, kept: the numbers of the lines with words that stay, per document that keeps any."""
     slim, tables = docs.select("doc_id", "text"), Tables(docs.sparkSession)
-    ranks = word_ranks(slim)
+    ranks, n_docs = word_ranks(slim), slim.count()
     sets = tables.write_bucketed(_sets(slim, ranks, t), "lines-sets", "a", "b")
     tables.drop()
     tries = tables.write(_tries(sets, t), "lines-tries")
     tables.drop()
-    settled = _verified(tables, tries, slim, t)
+    settled = _verified(tables, tries, slim, n_docs, t)
     tables.drop(tries)
     marked = tables.write(_marked(sets, settled), "lines-marked")
     tables.drop(sets)
@@ -205,7 +225,7 @@ def kept_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
         tables.drop()
     pairs = tables.write(functools.reduce(DataFrame.union, found).distinct(), "lines-pairs")
     tables.drop(*found)
-    later = _verified(tables, pairs, slim, t)
+    later = _verified(tables, pairs, slim, n_docs, t)
     tables.drop(pairs)
     gone = settled.union(later)
     stay = marked.select("place").join(gone.select(F.col("x").alias("place")), "place", "left_anti")

@@ -144,4 +144,15 @@ def test_plans_of_the_verification_hold_no_table_of_ranks(spark, monkeypatch):
     monkeypatch.setattr(Tables, "write", noted)
     rows = [(i, " ".join(f"w{k}" for k in range(30)) + f" x{i}") for i in range(20)]
     L.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert len(plans["lines-words"]) > 1 and max(n for label in plans for n in plans[label]) < 50_000
+    assert len(plans["lines-words"]) >= 2 and max(n for label in plans for n in plans[label]) < 50_000
+
+
+def test_the_verification_reads_few_texts_of_documents_without_a_candidate(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in [None, *range(2000)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = docs.filter("doc_id is null or doc_id % 100 = 0")
+    kept = {r.doc_id for r in L._held(docs, wanted, 21).collect()}
+    assert {r.doc_id for r in wanted.collect()} <= kept and len(kept) < 400
+    monkeypatch.setattr(L, "MOST_BITS", 6)  # a full bitmap keeps more and loses nothing
+    assert {r.doc_id for r in wanted.collect()} <= {r.doc_id for r in L._held(docs, wanted, 21).collect()}
+    assert L._held(docs, docs.limit(0), 0).count() == 0
