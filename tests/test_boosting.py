@@ -112,3 +112,50 @@ def test_a_tree_counts_each_row_on_half_of_the_levels_at_most(monkeypatch):
         assert np.array_equal(tree.value[nodes], settings.rate * (sums[0, :, 0].sum(1) / B.UNITS / (sums[1, :, 0].sum(1) + 1.0)))
         again.add(0, tree, plan.missing[0])
     assert np.array_equal(again.predicted[0], block.predicted[0])
+
+
+def test_blocks_stay_with_the_executors_and_are_made_again_when_lost(spark, monkeypatch):
+    """Passes send names of files, not rows; without the files the same trees are grown from all trees so far."""
+    import glob
+    import shutil
+
+    from pyspark import SparkFiles
+
+    frame, _ = rows(spark)
+    one, plain, sent = listed(fit(spark, frame)), B.grown_trees, []
+
+    def lost(number, *more):
+        folders = glob.glob(f"{SparkFiles.getRootDirectory()}/boost-*")
+        sent.append(len(folders))
+        if number in (0, 5):
+            for folder in folders:
+                shutil.rmtree(folder)
+        return plain(number, *more)
+
+    monkeypatch.setattr(B, "grown_trees", lost)
+    assert one == listed(fit(spark, frame, task_rows=250)) and len(sent) == 12 and min(sent) > 1
+    assert not glob.glob(f"{SparkFiles.getRootDirectory()}/boost-*")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e9])
+def test_packed_histograms_equal_plain_sums(scale):
+    """Also where residuals are so large that a number would hold few rows of them."""
+    rng = np.random.default_rng(5)
+    n, settings = 3000, B.Settings(depth=2, bins=32)
+    x = np.column_stack([rng.random(n), rng.integers(0, 3, n) / 4, rng.random(n), rng.random(n)])
+    x[rng.random(x.shape) < 0.1] = np.nan
+    plan = B.Plan([np.arange(1, 32) / 32, np.array([0.1, 0.3]), np.arange(1, 32) / 32, np.zeros(0)], [3], [[4, 1, 9, 0]], settings)
+    fold, target = np.sort(rng.integers(1, 4, n)), scale * rng.normal(size=n)
+    block = B.Block(plan.binned(x), target, fold, np.arange(n), 1)
+    tree = B.Tree.empty(2)
+    tree.feature[1], tree.bin[1] = 2, 9
+    used = B.sampled(np.arange(n), 7, settings) & (fold != 3)
+    residual = np.floor(target * B.UNITS + 0.5)
+    bins = np.where(plan.binned(x) == B.MISSING, [4, 1, 9, 0], plan.binned(x))
+    for nodes, inside in (([1], [used]), ([2, 3], [used & (bins[:, 2] <= 9), used & (bins[:, 2] > 9)])):
+        found = block.sums(0, tree, 7, nodes, [1, 2, 3], plan)
+        for i, rows_of in enumerate(inside):
+            for j, f in enumerate((1, 2, 3)):
+                assert found[1, i, j].tolist() == np.bincount(bins[rows_of, f], minlength=32).tolist()
+                sums = [sum(map(int, residual[rows_of & (bins[:, f] == b)])) for b in range(32)]
+                assert found[0, i, j].tolist() == sums
